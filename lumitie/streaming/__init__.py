@@ -1,0 +1,4 @@
+"""Deliberately empty: calibration is a batch problem.
+
+The phases read and write whole tables, so nothing here uses Structured Streaming.
+"""

@@ -24,8 +24,7 @@ def _buckets(zone: Column, size: float) -> Column:
                       F.lit(1)).cast("long")
 
 
-def _cell(zone: Column, ra: Column, size: float) -> Column:
-    n = _buckets(zone, size)
+def _cell(zone: Column, n: Column, ra: Column) -> Column:
     bucket = F.pmod(F.floor(F.pmod(ra, F.lit(360.0)) / F.lit(360.0) * n).cast("long"), n)
     return F.shiftleft(zone, 32).bitwiseOR(bucket)
 
@@ -48,13 +47,21 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     wide = F.degrees(F.asin(F.least(
         F.sin(F.radians(F.lit(reach))) / F.greatest(F.cos(F.radians("_rdec")), F.lit(1e-12)),
         F.lit(1.0))))
-    corners = [_cell(_zone(F.col("_rdec") + dy * reach, size), F.col("_rra") + dx * wide, size)
-               for dy in (-1.0, 0.0, 1.0) for dx in (-1.0, 0.0, 1.0)]
-    r = r.withColumn("_cell", F.explode(F.array_distinct(F.array(*corners))))
+    # Zones and bucket counts become columns first, so each is computed once.
+    r = r.withColumn("_wide", wide)
+    for k, dy in enumerate((-1.0, 0.0, 1.0)):
+        r = r.withColumn(f"_z{k}", _zone(F.col("_rdec") + dy * reach, size))
+    for k in range(3):
+        r = r.withColumn(f"_n{k}", _buckets(F.col(f"_z{k}"), size))
+    corners = [_cell(F.col(f"_z{k}"), F.col(f"_n{k}"), F.col("_rra") + dx * F.col("_wide"))
+               for k in range(3) for dx in (-1.0, 0.0, 1.0)]
+    r = r.select("_rra", "_rdec", "_rid", F.explode(F.array_distinct(F.array(*corners))).alias("_cell"))
 
     spots = (left.where(F.col(left_ra).isNotNull() & F.col(left_dec).isNotNull())
              .select(F.col(left_ra).alias("_lra"), F.col(left_dec).alias("_ldec")).distinct())
-    spots = spots.withColumn("_cell", _cell(_zone(F.col("_ldec"), size), F.col("_lra"), size))
+    spots = spots.withColumn("_z", _zone(F.col("_ldec"), size))
+    spots = spots.withColumn("_n", _buckets(F.col("_z"), size))
+    spots = spots.select("_lra", "_ldec", _cell(F.col("_z"), F.col("_n"), F.col("_lra")).alias("_cell"))
     sep = separation_arcsec(F.col("_lra"), F.col("_ldec"), F.col("_rra"), F.col("_rdec"))
     near = (spots.join(r, "_cell").withColumn("sep_arcsec", sep)
             .where(F.col("sep_arcsec") < radius_arcsec)

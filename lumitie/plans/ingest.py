@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumitie.config import Config
-from lumitie.functions.healpix import radec_to_pixel
+from lumitie.functions.healpix import with_pixel
 from lumitie.operators.relational import cap_detections, min_detections
 from lumitie.sources import tables as T
 
@@ -38,7 +38,7 @@ def detections(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str,
     rows = T.quality_scan(meas, band, cuts)
     rows = local_joins(rows, T.band_lookup(chip, band, cuts.exclude_ccdnums),
                        T.band_lookup(exposure, band), band, cfg)
-    rows = rows.withColumn("healpix_pixel", radec_to_pixel(cfg.survey.nside_chunk, "ra", "dec"))
+    rows = with_pixel(rows, cfg.survey.nside_chunk)
     if pixels is not None:
         if isinstance(pixels, DataFrame):
             rows = rows.join(pixels.select("healpix_pixel"), "healpix_pixel", "left_semi")

@@ -73,7 +73,7 @@ def x1_healpix(w):
     """Stars spread over the whole sky per RING pixel, caps included."""
     sky = w.stars.selectExpr("objectid", "((objectid*7919) % 36000)/100.0e0 + 0.00317e0 AS ra",
                              "((objectid*1047) % 17990)/100.0e0 - 89.94937e0 AS dec")
-    return sky.select("objectid", H.radec_to_pixel(32, "ra", "dec").alias("healpix_pixel"))
+    return H.with_pixel(sky, 32).select("objectid", "healpix_pixel")
 
 
 @query
@@ -90,7 +90,7 @@ def x3_pixel_box(w):
 def x4_region_stars(w):
     """Stars per pixel of the test patch, empty pixels included."""
     pix = H.named_region_pixels(w.spark, 32, "test-patch")
-    stars = w.stars.select(H.radec_to_pixel(32, "ra", "dec").alias("healpix_pixel"), "objectid")
+    stars = H.with_pixel(w.stars, 32).select("healpix_pixel", "objectid")
     return pix.join(stars, "healpix_pixel", "left").groupBy("healpix_pixel").agg(
         F.count("objectid").alias("n_stars"))
 
@@ -118,7 +118,7 @@ def _joined(w):
     cuts = w.cfg.quality_cuts
     rows = I.local_joins(T.quality_scan(w.meas, "g", cuts),
                          T.band_lookup(w.chip, "g", cuts.exclude_ccdnums), w.exposure, "g", w.cfg)
-    return rows.withColumn("healpix_pixel", H.radec_to_pixel(32, "ra", "dec"))
+    return H.with_pixel(rows, 32)
 
 
 @query

@@ -14,6 +14,7 @@ from lumitie.plans import catalog as K
 from lumitie.plans import ingest as I
 from lumitie.sources import fixtures as X
 from lumitie.sources import tables as T
+from lumitie.session import tune
 from lumitie.sources.stage import Stage
 
 _OPEN: dict = {}
@@ -28,7 +29,7 @@ def workspace(spark: SparkSession, sf_dir: str, band: str = "g") -> "Workspace":
 
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, band: str = "g"):
-        self.spark, self.sf_dir, self.band = spark, sf_dir, band
+        self.spark, self.sf_dir, self.band = tune(spark), sf_dir, band
         self.cfg = X.config()
         self.stage = Stage(spark, f"work-{band}")
 

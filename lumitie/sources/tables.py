@@ -123,11 +123,11 @@ def pad_columns(df: DataFrame, struct) -> DataFrame:
 
 def attach_ebv(catalog: DataFrame, ebv: DataFrame | None, nside: int = 512) -> DataFrame:
     """Reddening by HEALPix cell of a dust table; NULL without a map."""
-    from lumitie.functions.healpix import radec_to_pixel
+    from lumitie.functions.healpix import with_pixel
 
     if ebv is None:
         return catalog.withColumn("ebv_sfd", F.lit(None).cast("double"))
-    keyed = catalog.withColumn("healpix_pixel", radec_to_pixel(nside, "ra", "dec"))
+    keyed = with_pixel(catalog, nside)
     return (keyed.join(ebv.select("healpix_pixel", F.col("ebv").alias("ebv_sfd")),
                        "healpix_pixel", "left").drop("healpix_pixel"))
 

@@ -164,7 +164,7 @@ class Run:
 
     def phase_5(self, band: str) -> None:
         zp = self.solution(band, "unanchored").select("expnum", "ccdnum", "zp_solved")
-        stars = T.flagged(self.spark, self.path("flagged_stars", band), S.DETECTIONS[["objectid"]])
+        stars = T.flagged(self.spark, self.path("flagged_stars", band), S.STAR_FLAGS)
         zpterm = self.stage.write(self.zpterm(band), "zpterm")
         offset = K.magzero(self.anchors(band), zpterm)
         rows = K.calibrated_rows(
@@ -179,7 +179,7 @@ class Run:
 
     def phase_6(self, band: str) -> None:
         zp = self.solution(band, "unanchored").select("expnum", "ccdnum", "zp_solved")
-        stars = T.flagged(self.spark, self.path("flagged_stars", band), S.DETECTIONS[["objectid"]])
+        stars = T.flagged(self.spark, self.path("flagged_stars", band), S.STAR_FLAGS)
         anchors, zpterm = self.anchors(band), self.zpterm(band)
         offset = K.magzero(anchors, zpterm)
         catalog = self.spark.read.parquet(self.path("star_catalog", band))
@@ -190,7 +190,7 @@ class Run:
         if anchored is not None:
             checks += [VA.anchored_difference(anchored), VA.boundary(
                 anchored, self.optional("flagged_nodes", band, S.NODES),
-                T.flagged(self.spark, self.path("flagged_exposures", band), S.NODES[["expnum"]]))]
+                T.flagged(self.spark, self.path("flagged_exposures", band), S.EXPOSURE_FLAGS))]
         gaia = self.given("gaia", S.GAIA)
         if gaia is not None:
             matched = prebuilt_match(gaia, self.given("gaia_xmatch", S.XMATCH), "source_id",

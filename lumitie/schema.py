@@ -24,6 +24,8 @@ DETECTIONS = _struct(
     "objectid:s expnum:l ccdnum:i band:s m_inst:d m_err:d mjd:d ra:d dec:d x:f y:f healpix_pixel:l")
 STAR_LISTS = _struct("objectid:s expnum:l ccdnum:i m_inst:d m_err:d healpix_pixel:l")
 NODES = _struct("expnum:l ccdnum:i")
+STAR_FLAGS = _struct("objectid:s")
+EXPOSURE_FLAGS = _struct("expnum:l")
 ZEROPOINTS = _struct("expnum:l ccdnum:i band:s zp_solved:d zp_fgcm:d delta_zp:d")
 STAR_FLAT = _struct("ccdnum:i epoch_idx:i flat_correction:d")
 POSITIONS = _struct("expnum:l ccdnum:i ra_mean:d dec_mean:d")

@@ -96,7 +96,7 @@ def _coerce(default, value):
     if isinstance(default, tuple):
         return tuple(value)
     if isinstance(default, str):
-        return str(value)
+        return str(value) if value else ""
     return value
 
 

@@ -10,6 +10,7 @@ scalars that steer the next step.  A lost executor costs at most one iteration.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -23,6 +24,22 @@ from lumitie.operators.robust import scalar_median
 from lumitie.sources.stage import Stage
 
 
+LINKS_PER_PARTITION = 1_000_000
+
+
+@contextmanager
+def shuffle_partitions(spark, n: int):
+    """Shuffle into ``n`` partitions inside the block: the vectors are far smaller than the
+    tables the session's default is meant for, and every iteration pays for each one."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class SolveInfo:
     iterations: int
@@ -60,12 +77,18 @@ def conjugate_gradient(links: DataFrame, vec: DataFrame, stage: Stage, rtol: flo
     (i, d, b) the diagonal and right-hand side of every unknown.  Returns (i, x) and
     iteration count, convergence flag and the relative residual |Ax - b| / |b|.
     """
-    n_parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(links.sparkSession.sparkContext.defaultParallelism,
+                  math.ceil(links.count() / LINKS_PER_PARTITION))
+    with shuffle_partitions(links.sparkSession, n_parts):
+        return _iterate(links, vec, stage, rtol, maxiter, n_parts)
+
+
+def _iterate(links, vec, stage, rtol, maxiter, n_parts):
     held = links.select("i", "j", "w").repartition(n_parts, "j").persist(
         StorageLevel.MEMORY_AND_DISK)
     dots = {"rr": F.sum(F.col("r") * F.col("r")), "rw": F.sum(F.col("r") * F.col("w"))}
     zero = F.lit(0.0)
-    # Column "w" of the state is A r; the links' weight is renamed while multiplying.
+    # In the state table "w" is A r.
     start = vec.select("i", "d", "b", zero.alias("x"), F.col("b").alias("r"),
                        zero.alias("p"), zero.alias("s"))
     state, seen = stage.write(_times_matrix(held, start, "r", "w"), "cg", dots)

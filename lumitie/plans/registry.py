@@ -28,6 +28,7 @@ from lumitie.plans import starflat as SF
 from lumitie.plans import validate as VA
 from lumitie.plans.workspace import workspace
 from lumitie.sources import fixtures as X
+from lumitie.sources import references as REF
 from lumitie.sources import tables as T
 
 QUERIES: dict = {}
@@ -531,11 +532,7 @@ def j9_sky_match(w):
 
 @query
 def j10_prebuilt_match(w):
-    where = ((F.col("phot_g_mean_flux_over_error") > 50) & (F.col("phot_bp_mean_flux_over_error") > 10)
-             & (F.col("phot_rp_mean_flux_over_error") > 10))
-    box = S.bounding_box(w.trial_catalog)
-    return S.prebuilt_match(X.gaia(w.spark, w.sf_dir), X.xmatch(w.spark, w.sf_dir), "source_id", box,
-                            where=where).select("source_id", "nsc_objectid", "xmatch_dist", "bp_rp")
+    return REF.gaia(X.gaia(w.spark, w.sf_dir), X.xmatch(w.spark, w.sf_dir), w.trial_catalog).select("source_id", "nsc_objectid", "xmatch_dist", "bp_rp")
 
 
 @query

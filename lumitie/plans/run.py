@@ -20,7 +20,7 @@ from lumitie.functions.healpix import footprint_pixels, named_region_pixels
 from lumitie.operators import graph as G
 from lumitie.operators import normal as N
 from lumitie.operators import solver as V
-from lumitie.operators.skymatch import bounding_box, prebuilt_match
+from lumitie.operators.skymatch import prebuilt_match
 from lumitie.plans import catalog as K
 from lumitie.plans import detrend as D
 from lumitie.plans import ingest as I
@@ -28,6 +28,7 @@ from lumitie.plans import outliers as O
 from lumitie.plans import starflat as SF
 from lumitie.plans import validate as VA
 from lumitie.session import build_session
+from lumitie.sources import references as R
 from lumitie.sources import tables as T
 from lumitie.sources.stage import Stage
 
@@ -132,6 +133,12 @@ class Run:
             T.write(state.flat, self.path("star_flat", band))
 
     def phase_3b(self, band: str) -> None:
+        method = self.cfg.solve.gradient_detrend
+        if method not in ("gaia", "fgcm"):
+            return
+        if method == "fgcm":
+            self.anchor_detrend(band)
+            return
         other = "r" if band == "g" else "g"
         gaia = self.given("gaia", S.GAIA)
         if gaia is None or self.optional("zeropoints_unanchored", other, S.ZEROPOINTS) is None:
@@ -145,6 +152,17 @@ class Run:
             table.select("expnum", "ccdnum", "zp_solved"), I.star_lists(self.detections(band)),
             I.star_lists(self.detections(other)), self.solution(other, "unanchored", raw=True),
             matched, positions, anchors, band, self.stage)
+        self.keep_detrended(zp, anchors, g, band)
+
+    def anchor_detrend(self, band: str) -> None:
+        """Plane fitted to the anchors instead of Gaia."""
+        zp = self.solution(band, "unanchored", raw=True).select("expnum", "ccdnum", "zp_solved")
+        positions = self.stage.write(I.node_positions(self.detections(band)), "positions")
+        anchors = self.stage.write(self.anchors(band), "anchors")
+        g = D.anchor_plane(zp, positions, anchors)
+        self.keep_detrended(D.subtract_plane(zp, positions, g, anchors), anchors, g, band)
+
+    def keep_detrended(self, zp: DataFrame, anchors: DataFrame, g: D.Gradient, band: str) -> None:
         log.info("band %s: %s", band, g)
         # The raw solution stays beside the detrended one, so a rerun starts from it.
         T.write(V.zeropoint_table(zp, anchors, band), self.path("detrended_unanchored", band))
@@ -193,9 +211,14 @@ class Run:
                 T.flagged(self.spark, self.path("flagged_exposures", band), S.EXPOSURE_FLAGS))]
         gaia = self.given("gaia", S.GAIA)
         if gaia is not None:
-            matched = prebuilt_match(gaia, self.given("gaia_xmatch", S.XMATCH), "source_id",
-                                     bounding_box(catalog))
-            checks.append(VA.gaia_comparison(catalog, matched, band, self.stage))
+            matched = R.gaia(gaia, self.given("gaia_xmatch", S.XMATCH), catalog)
+            both = [self.path("star_catalog", b) for b in ("g", "r")]
+            colours = (VA.good_colours(*[self.spark.read.parquet(p) for p in both])
+                       if all(T.exists(self.spark, p) for p in both) else None)
+            checks.append(VA.gaia_comparison(catalog, matched, band, self.stage, colours))
+        ps1 = self.given("ps1", S.PS1)
+        if ps1 is not None:
+            checks.append(VA.ps1_comparison(catalog, R.ps1(ps1, catalog, band), band, self.stage))
         report = VA.melt(checks[0])
         for c in checks[1:]:
             report = report.unionByName(VA.melt(c))

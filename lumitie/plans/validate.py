@@ -215,7 +215,8 @@ def gaia_comparison(catalog: DataFrame, gaia: DataFrame, band: str, stage: Stage
     own = False
     if colours is not None:
         colours = stage.write(colours, "colours")
-        seen = catalog.where(F.col(f"nobs_{band}") >= 3).join(colours, "objectid", "left_semi").count()
+        mag = F.col(f"mag_cal_{band}")
+        seen = catalog.where((F.col(f"nobs_{band}") >= 3) & (mag > 15.0) & (mag < 22.0)).join(colours, "objectid", "left_semi").count()
         own = seen > 1000
     rows = stage.write(gaia_rows(catalog, gaia, band, colours, own), "gaia-rows")
     n = rows.count()

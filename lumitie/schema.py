@@ -34,5 +34,12 @@ GAIA = _struct(
     "source_id:l ra:d dec:d phot_g_mean_mag:d phot_bp_mean_mag:d phot_rp_mean_mag:d bp_rp:d "
     "phot_g_mean_flux_over_error:d phot_bp_mean_flux_over_error:d phot_rp_mean_flux_over_error:d "
     "ag_gspphot:d ebpminrp_gspphot:d")
+LEGACY = _struct(
+    "ls_id:l ra:d dec:d type:s mag_g:d mag_r:d mag_i:d mag_z:d flux_ivar_g:d flux_ivar_r:d "
+    "flux_ivar_i:d flux_ivar_z:d")
+PS1 = _struct(
+    "objID:l raMean:d decMean:d nDetections:i gMeanPSFMag:d rMeanPSFMag:d iMeanPSFMag:d zMeanPSFMag:d "
+    "gMeanApMag:d rMeanApMag:d iMeanApMag:d zMeanApMag:d gQfPerfect:d rQfPerfect:d iQfPerfect:d "
+    "zQfPerfect:d")
 XMATCH = _struct("id1:l id2:s distance:d")
 EBV = _struct("healpix_pixel:l ebv:d")

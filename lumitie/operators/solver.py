@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumitie.functions import photometry as P
 from lumitie.operators import normal as N
-from lumitie.operators.relational import node_columns, node_id
+from lumitie.operators.relational import node_columns
 from lumitie.operators.robust import scalar_median
 from lumitie.sources.stage import Stage
 

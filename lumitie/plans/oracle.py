@@ -56,7 +56,7 @@ EPOCH_SHARED = count_bounds(">=", BOUNDS.all_ccds)
 
 
 def epoch_ccd(ccd: str) -> str:
-    out = f"CASE"
+    out = "CASE"
     for c, extra in BOUNDS.per_ccd.items():
         out += f" WHEN {ccd} = {c} THEN {count_bounds('>', set(BOUNDS.all_ccds) | set(extra))}"
     return out + f" ELSE {count_bounds('>', BOUNDS.all_ccds)} END"
@@ -236,8 +236,7 @@ def statement(final: str, extra: dict | None = None, recursive: bool = False) ->
     visit(final)
     if not order:
         return final
-    body = ",\n".join(f"{n} AS MATERIALIZED ({steps[n]})" if "UNION ALL SELECT w0" not in steps[n]
-                      else f"{n} AS ({steps[n]})" for n in order)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({steps[n]})" for n in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{final}"
 
 
@@ -279,10 +278,6 @@ def node_of(key: str) -> str:
     return f"{key} // 1024 AS expnum, CAST({key} % 1024 AS INT) AS ccdnum"
 
 
-def box(prefix: str = "") -> str:
-    return prefix
-
-
 def _build() -> dict:
     o = {}
     det_cols = "healpix_pixel, objectid, expnum, ccdnum"

@@ -12,7 +12,6 @@ import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumitie import schema as S
 from lumitie.config import Config, load_config

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, urlfilter
+from lumitie.llm import bpe, secrets, urlfilter
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -14,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(_read(spark, sf_dir, "documents"), shared)
@@ -31,6 +35,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
 }

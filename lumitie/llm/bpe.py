@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 #: Largest rank file that is sent to the executors.
 MAX_RANK_BYTES = 64 << 20
 #: Pre-tokens a worker remembers, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Above every rank.
+NO_RANK = 1 << 40
 
 # Letters and numbers that Unicode 16 added to 15.1, as first-last in hexadecimal.
 LETTERS_16 = ("1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 "
@@ -76,49 +79,49 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token, merging the leftmost pair of lowest rank until none is left."""
-    n = len(piece)
+    """Ids of one pre-token, merging the leftmost pair of lowest rank until none is left.
+
+    A leaf is the pair's rank times the number of leaves plus its position, so the smallest
+    entry is the leftmost pair of lowest rank and names its place.
+    """
     if piece in ranks:
         return [ranks[piece]]
-    none = len(ranks) + max(ranks.values(), default=0) + 1
-    size = 1 << max(n - 1, 1).bit_length()
-    tree = [none] * (2 * size)
+    n, look = len(piece), ranks.get
+    leaves = n - 1
+    tree = [NO_RANK] * leaves
+    tree += [NO_RANK if (rank := look(piece[i:i + 2])) is None else rank * leaves + i for i in range(leaves)]
+    for k in range(leaves - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    look = ranks.get
-    tree[size:size + n - 1] = [look(piece[i:i + 2], none) for i in range(n - 1)]
-    for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(at: int, rank: int) -> None:
-        k = at + size
-        tree[k] = rank
-        while k > 1:
-            k >>= 1
-            low = tree[2 * k]
-            if tree[2 * k + 1] < low:
-                low = tree[2 * k + 1]
-            if tree[k] == low:
-                return
-            tree[k] = low
-
-    while (best := tree[1]) != none:
-        k = 1
-        while k < size:
-            k *= 2
-            if tree[k] != best:
-                k += 1
-        at = k - size
+    while (best := tree[1]) != NO_RANK:
+        at = best % leaves
         gone = after[at]
         end = after[gone]
         after[at] = end
-        put(gone, none)
         if end < n:
             before[end] = at
-            put(at, look(piece[at:after[end]], none))
+            rank = look(piece[at:after[end]])
+            points = (at, NO_RANK if rank is None else rank * leaves + at), (gone, NO_RANK)
         else:
-            put(at, none)
-        if (left := before[at]) >= 0:
-            put(left, look(piece[left:end], none))
+            points = ((at, NO_RANK),)
+        left = before[at]
+        if left >= 0:
+            rank = look(piece[left:end])
+            points += ((left, NO_RANK if rank is None else rank * leaves + left),)
+        for k, low in points:
+            k += leaves
+            if tree[k] == low:
+                continue
+            tree[k] = low
+            while k > 1:
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < low:
+                    low = other
+                if tree[k] == low:
+                    break
+                tree[k] = low
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at:after[at]]])
@@ -126,31 +129,45 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Codec:
-    """Ranks with the memory of one worker; ids travel as little-endian unsigned 32-bit integers."""
+class Known(dict):
+    """Ids of pre-tokens, as little-endian unsigned 32-bit integers, computed when first asked for."""
 
-    def __init__(self, data: bytes):
-        self.ranks = parse_ranks(data)
-        self.tokens = {rank.to_bytes(4, "little"): token for token, rank in self.ranks.items()}
-        self.known: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
 
-    def _fresh(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in merge(word.encode("utf-8"), self.ranks))
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join([i.to_bytes(4, "little") for i in merge(word.encode("utf-8"), self.ranks)])
         if len(word) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[word] = ids
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = ids
         return ids
 
+
+class Codec:
+    """Ranks with the memory of one worker."""
+
+    def __init__(self, data: bytes):
+        ranks = parse_ranks(data)
+        self.known = Known(ranks)
+        sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.blob = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        known, fresh = self.known.get, self._fresh
-        return b"".join([known(w) or fresh(w) for w in split(text)])
+        return b"".join(map(self.known.__getitem__, split(text))) if text else b""
 
     def decode(self, ids: bytes | None) -> bytes:
-        ids, tokens = ids or b"", self.tokens
-        return b"".join([tokens[ids[k:k + 4]] for k in range(0, len(ids), 4)])
+        """Copy each token's bytes from the table of all tokens."""
+        at = np.frombuffer(ids or b"", "<u4")
+        sizes = self.sizes[at]
+        if not (sizes > 0).all():
+            raise ValueError("an id that stands for no token")
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[at] - ends + sizes, sizes)
+        return self.blob[shift + np.arange(len(shift))].tobytes()
 
 
 _CODECS: dict[int, Codec] = {}

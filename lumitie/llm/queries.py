@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, secrets, urlfilter
+from lumitie.llm import bpe, chat, decontaminate, langid, pii, secrets, urlfilter
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return decontaminate.contained_items(docs.select("doc_id", "text"), items, Stage(spark, "leaks"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
@@ -34,13 +39,51 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, hosts, stage)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_read(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(turns.unionByName(extra)))
+
+
+#: Key of the registered query; a real run passes its own secret.
+PII_KEY = b"lumitie registered query"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, Stage(spark, "pii"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_language": op6_language,
+    "op7_chat": op7_chat,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '') AS w FROM benchmark),
+k AS (SELECT DISTINCT least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+dg AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), i -> array_to_string(w[i:i + k - 1], ' ')))) AS g
+       FROM dw, k WHERE len(w) >= k),
+ig AS (SELECT item_id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, CAST(len(w) - least(5, len(w)) + 2 AS BIGINT)),
+              i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS g FROM iw WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(any_value(n_item) AS INTEGER) AS n_item,
+       count(*) / CAST(any_value(n_item) AS DOUBLE) AS containment
+FROM dg JOIN ig USING (k, g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
     "op5_url_filter": r"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url,

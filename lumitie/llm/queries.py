@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, chat, decontaminate, langid, pii, secrets, urlfilter
+from lumitie.llm import bpe, chat, decontaminate, jaccard, langid, pii, secrets, urlfilter
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -51,6 +51,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_report(_read(spark, sf_dir, "documents"), Stage(spark, "jaccard"))
+
+
 #: Key of the registered query; a real run passes its own secret.
 PII_KEY = b"lumitie registered query"
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
     "op7_chat": op7_chat,
+    "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
 }
 

@@ -91,21 +91,39 @@ class Level:
         return joined.withColumn(name, F.coalesce(self._set(F.col("_bits"), F.lit(0), k), F.lit(False))).drop("_shard", "_bits")
 
 
+def _bitmaps(keys: DataFrame, level: Level) -> DataFrame:
+    """Table (shard, _bits) of the level's filter over the column ``key``."""
+    return (keys.select(level.shard(F.col("key")).alias("shard"), F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
+            .groupBy("shard").agg(F.bitmap_construct_agg("p").alias("_bits")))
+
+
+def _literal(bits: DataFrame, shards: int) -> bytes:
+    """The shards as one constant; the caller has bounded their number."""
+    data = bytearray(shards * SHARD_BYTES)
+    for row in bits.collect():
+        data[row["shard"] * SHARD_BYTES:(row["shard"] + 1) * SHARD_BYTES] = row["_bits"]
+    return bytes(data)
+
+
 def build_level(keys: DataFrame, number: int, count: int, rate: float, stage: Stage,
                 max_literal: int = MAX_LITERAL_BYTES) -> Level:
     """Encode distinct ``key`` values with about the given rate of false positives."""
     hashes = max(1, round(-math.log2(rate)))
     shards = max(1, math.ceil(count * 1.44 * -math.log2(rate) / SHARD_BITS))
     level = Level(number, shards, hashes, None)
-    bits = (keys.select(level.shard(F.col("key")).alias("shard"), F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
-            .groupBy("shard").agg(F.bitmap_construct_agg("p").alias("_bits")))
+    bits = _bitmaps(keys, level)
     if shards * SHARD_BYTES > max_literal:
         level.table = stage.write(bits, f"level{number}")
-        return level
-    data = bytearray(shards * SHARD_BYTES)
-    for row in bits.collect():  # at most max_literal bytes
-        data[row["shard"] * SHARD_BYTES:(row["shard"] + 1) * SHARD_BYTES] = row["_bits"]
-    level.data = bytes(data)
+    else:
+        level.data = _literal(bits, shards)
+    return level
+
+
+def bitmap_level(keys: DataFrame, count: int, most_shards: int) -> Level:
+    """A single filter of at most so many shards, as a constant; with too many keys it lets more through."""
+    shards = min(most_shards, max(1, math.ceil(count * 8 / SHARD_BITS)))
+    level = Level(1, shards, 3, None)
+    level.data = _literal(_bitmaps(keys, level), shards)
     return level
 
 

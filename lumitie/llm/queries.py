@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, chat, decontaminate, jaccard, langid, pii, secrets, urlfilter
+from lumitie.llm import bpe, chat, chunks, decontaminate, jaccard, langid, pii, secrets, urlfilter
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(_read(spark, sf_dir, "documents"), Stage(spark, "chunks"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(_read(spark, sf_dir, "documents"), shared)
@@ -67,6 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
+    "op3_substrings": op3_substrings,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,

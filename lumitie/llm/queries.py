@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, chat, chunks, decontaminate, jaccard, langid, pii, secrets, urlfilter
+from lumitie.llm import bpe, chat, chunks, decontaminate, jaccard, langid, neighbours, pii, secrets, urlfilter
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -55,6 +55,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), Stage(spark, "neighbours"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_report(_read(spark, sf_dir, "documents"), Stage(spark, "jaccard"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
     "op7_chat": op7_chat,
+    "op8_neighbours": op8_neighbours,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
 }

@@ -51,7 +51,7 @@ def edge_stats(edges: DataFrame) -> DataFrame:
                          "edge_stars_mean", "edge_stars_max")
 
 
-def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, component) with the smallest node of each component as its label.
 
     Alternating large-star and small-star contraction (Kiveris et al. 2014) on edges
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 200)
     current = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .where("u <> v").distinct(), "cc-edges")
     print_of = None
-    for _ in range(max_rounds):
+    while True:  # ends: labels only ever decrease
         both = current.select("u", "v").unionByName(
             current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))

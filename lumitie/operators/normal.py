@@ -13,26 +13,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumitie.config import QualityCuts
 from lumitie.functions import photometry as P
 from lumitie.functions.epochs import epoch_index
 from lumitie.operators.relational import STAR, node_id
 from lumitie.sources.stage import Stage
 
-MAX_GROUP = 100     # a star touches at most four pixels of max_detections_per_star rows
+PIXELS_PER_STAR = 4     # a star touches at most four pixels, each capped by itself
 
 
 def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err",
-               max_group: int = MAX_GROUP) -> DataFrame:
+               cap: int = QualityCuts().max_detections_per_star) -> DataFrame:
     """One row per pair of detections of a star: nodes i <= j, w, wdm.
 
-    Stars are capped at ingest, so a star's array and its pairs are bounded; an uncapped
-    star stops the job rather than being cut short.
+    Stars are capped at ingest by ``cap`` rows, so a star's array and its pairs are bounded; an
+    uncapped star stops the job rather than being cut short.
     """
     d = F.struct(F.col(node).alias("k"), F.col(mag).alias("m"),
                  (F.col(err) * F.col(err)).alias("v"))
     stars = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(d)).alias("_d"))
     size = F.size("_d")
-    safe = F.when(size <= max_group, F.col("_d")).otherwise(
+    safe = F.when(size <= PIXELS_PER_STAR * cap, F.col("_d")).otherwise(
         F.raise_error(F.lit("star above the detection cap; run cap_detections first")))
     first = (stars.where(size >= 2).select(safe.alias("_d"))
              .select(F.posexplode("_d").alias("_p", "a"), "_d"))
@@ -63,7 +64,7 @@ class System:
 
 
 def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_inst",
-               keys=STAR) -> System:
+               keys=STAR, cap: int = QualityCuts().max_detections_per_star) -> System:
     """Constraints between connected nodes.
 
     Repeat detections of a star on one node cancel out of the equations but count as
@@ -71,7 +72,7 @@ def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_in
     """
     keyed = nodes.select("expnum", "ccdnum", node_id().alias("node"))
     used = dets.join(keyed, ["expnum", "ccdnum"])
-    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag)), "pair-sums", {
+    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap)), "pair-sums", {
         "pairs": F.coalesce(F.sum("n"), F.lit(0)), "stars": F.coalesce(F.sum("opened"), F.lit(0)),
         "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
     return System(sums.where("i < j").select("i", "j", "w", "wdm"),
@@ -88,11 +89,12 @@ def apply_flat(dets: DataFrame, exposure_mjd: DataFrame, flat: DataFrame, bounds
 
 
 def accumulate_gray(dets: DataFrame, exposures: DataFrame, exposure_mjd: DataFrame,
-                    flat: DataFrame, bounds, stage: Stage, keys=STAR) -> System:
+                    flat: DataFrame, bounds, stage: Stage, keys=STAR,
+                    cap: int = QualityCuts().max_detections_per_star) -> System:
     """Constraints between whole exposures; pairs inside one exposure carry none."""
     used = apply_flat(dets.join(exposures.select("expnum"), "expnum"), exposure_mjd, flat, bounds)
     sums, seen = stage.write(
-        pair_sums(star_pairs(used, keys, node="expnum", mag="m_flat")), "gray-sums", {
+        pair_sums(star_pairs(used, keys, node="expnum", mag="m_flat", cap=cap)), "gray-sums", {
             "pairs": F.coalesce(F.sum(F.when(F.col("i") < F.col("j"), F.col("n"))), F.lit(0)),
             "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0)),
             "stars": F.coalesce(F.sum("opened"), F.lit(0))})

@@ -10,37 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 4 * SKETCH_ACCURACY
 
 
-BROADCAST_GROUPS = 100_000
-
-
-def attach(df: DataFrame, per_group: DataFrame, keys, max_groups: int | None) -> DataFrame:
-    """Join a per-group table to its rows; broadcast only below a known group count."""
-    if max_groups is not None and max_groups <= BROADCAST_GROUPS:
-        per_group = F.broadcast(per_group)
+def attach(df: DataFrame, per_group: DataFrame, keys) -> DataFrame:
+    """Join a per-group table to its rows; Catalyst broadcasts it if it is small."""
     return df.join(per_group, list(keys))
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table to every row."""
-    return attach(df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1)),
-                  ["_one"], 1).drop("_one")
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def quantiles(df: DataFrame, value: str, probs: dict, keys=(), max_groups: int | None = None,
-              accuracy: int = SKETCH_ACCURACY, small: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: dict, keys=(), accuracy: int = SKETCH_ACCURACY,
+              small: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per group, plus ``n``.
 
     A mergeable sketch brackets each target rank; a second pass counts the rows below
     the bracket and ranks only the values inside it, a few in ``accuracy`` of the group.
-    Groups up to ``small`` rows are bracketed by their extremes.  No task ever holds a
-    whole large group, and a bracket that missed its rank raises instead of answering.
+    Groups up to ``small`` rows are bracketed by their extremes; both brackets give the same exact
+    answer.  No task ever holds a whole large group, and a bracket that missed its rank raises
+    instead of answering.
     """
     small = 4 * accuracy if small is None else small
-    if not keys:
-        max_groups = 1
     keys = list(keys) or ["_all"]
     rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -59,7 +51,7 @@ def quantiles(df: DataFrame, value: str, probs: dict, keys=(), max_groups: int |
     sketch = sketch.select(*keys, "n", brackets.alias("_b"))
 
     # Values under a bracket collapse to one NULL row per map task and group.
-    inside = (attach(rows, sketch, keys, max_groups)
+    inside = (attach(rows, sketch, keys)
               .select(*keys, "n", "_v", F.explode("_b").alias("_b"))
               .where(F.col("_v") <= F.col("_b.hi"))
               .select(*keys, "n", F.col("_b.k").alias("_k"),
@@ -88,35 +80,24 @@ def quantiles(df: DataFrame, value: str, probs: dict, keys=(), max_groups: int |
     return out.drop("_all")
 
 
-SMALL_COLUMN = 1_000_000
-
-
 def scalar_quantiles(df: DataFrame, value: str, probs: dict) -> dict:
-    """Quantiles of a whole column as Python numbers; None for an empty column.
-
-    A column counted at no more than SMALL_COLUMN rows goes through the builtin exact
-    percentile in one step; a longer one through the bracketed two-pass form.
-    """
-    n = df.agg(F.count(value)).first()[0]
-    if n <= SMALL_COLUMN:
-        row = df.agg(*[F.percentile(value, F.lit(float(q))).alias(k) for k, q in probs.items()]).first()
-    else:
-        row = quantiles(df, value, probs).first()
-    return {**{k: row[k] for k in probs}, "n": n}
+    """Quantiles of a whole column and its count ``n`` as Python numbers; None for an empty column."""
+    row = quantiles(df, value, probs).first()
+    return {**{k: row[k] if row else None for k in probs}, "n": row["n"] if row else 0}
 
 
 def scalar_median(df: DataFrame, value: str):
     return scalar_quantiles(df, value, {"median": 0.5})["median"]
 
 
-def robust_stats(df: DataFrame, value: str, keys=(), max_groups: int | None = None) -> DataFrame:
+def robust_stats(df: DataFrame, value: str, keys=()) -> DataFrame:
     """Per group: n, median, mad and sigma = 1.4826 MAD, or the population std when MAD is 0."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    med = quantiles(rows, value, {"median": 0.5}, keys, max_groups).drop("n")
-    joined = attach(rows, med, keys, max_groups) if keys else attach_scalar(rows, med)
+    med = quantiles(rows, value, {"median": 0.5}, keys).drop("n")
+    joined = attach(rows, med, keys) if keys else attach_scalar(rows, med)
     dev = joined.withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = quantiles(dev, "_dev", {"mad": 0.5}, keys, max_groups)
+    mad = quantiles(dev, "_dev", {"mad": 0.5}, keys)
     spread = dev.groupBy(*keys).agg(F.first("median").alias("median"),
                                     F.stddev_pop(value).alias("_std"))
     out = mad.join(spread, keys) if keys else attach_scalar(mad, spread)
@@ -124,37 +105,40 @@ def robust_stats(df: DataFrame, value: str, keys=(), max_groups: int | None = No
     return out.select(*keys, "n", "median", "mad", sigma.alias("sigma"))
 
 
-def bin_index(c: Column, lo: float, width: float, n_bins: int) -> Column:
-    """0-based bin of the half-open grid lo, lo + width, ...; NULL outside it."""
+def bin_index(c: Column, lo: float, width: float, n_bins: int | None = None) -> Column:
+    """Bin of the grid lo, lo + width, ..., negative below ``lo``.
+
+    With ``n_bins`` values outside are NULL and the last bin takes its upper edge as well.
+    """
     b = F.floor((c - F.lit(float(lo))) / F.lit(float(width))).cast("int")
-    return F.when((b >= 0) & (b < n_bins), b)
+    if n_bins is None:
+        return b
+    inside = (c >= F.lit(float(lo))) & (c <= F.lit(float(lo + width * n_bins)))
+    return F.when(inside, F.least(b, F.lit(n_bins - 1)))
 
 
-def histogram(df: DataFrame, value: str, lo: float, width: float, n_bins: int, keys=()) -> DataFrame:
-    """Counts per fixed bin; the last bin also takes values on its upper edge."""
-    top = lo + width * n_bins
-    b = F.when(F.col(value) == top, n_bins - 1).otherwise(bin_index(F.col(value), lo, width, n_bins))
-    return (df.withColumn("bin", b).where(F.col("bin").isNotNull())
+def histogram(df: DataFrame, value: str, lo: float, width: float, n_bins: int | None = None, keys=()) -> DataFrame:
+    """Counts per bin."""
+    return (df.withColumn("bin", bin_index(F.col(value), lo, width, n_bins)).where(F.col("bin").isNotNull())
             .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("center", F.lit(lo) + (F.col("bin") + 0.5) * F.lit(width)))
 
 
 def histogram2d(df: DataFrame, x: str, y: str, x_grid, y_grid) -> DataFrame:
-    """Counts per cell of two (lo, width, n_bins) grids."""
+    """Counts per cell of two grids (lo, width) or (lo, width, n_bins)."""
     return (df.select(bin_index(F.col(x), *x_grid).alias("bin_x"),
                       bin_index(F.col(y), *y_grid).alias("bin_y"))
             .where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
             .groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
 
 
-def binned_median(df: DataFrame, x: str, value: str, lo: float, width: float, n_bins: int,
-                  least: int = 1, keys=(), max_keys: int | None = 1) -> DataFrame:
+def binned_median(df: DataFrame, x: str, value: str, lo: float, width: float, n_bins: int | None = None,
+                  least: int = 1, keys=()) -> DataFrame:
     """Median, standard error (sample std / sqrt n) and count per bin with enough rows."""
     keys = list(keys)
     binned = df.withColumn("bin", bin_index(F.col(x), lo, width, n_bins)).where(
         F.col("bin").isNotNull() & F.col(value).isNotNull())
-    groups = None if max_keys is None else n_bins * max_keys
-    med = quantiles(binned, value, {"median": 0.5}, [*keys, "bin"], groups)
+    med = quantiles(binned, value, {"median": 0.5}, [*keys, "bin"])
     spread = binned.groupBy(*keys, "bin").agg(F.stddev_samp(value).alias("std"))
     return (med.where(F.col("n") >= least).join(spread, [*keys, "bin"])
             .select(*keys, "bin", (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(width)).alias("center"),

@@ -34,7 +34,7 @@ def constant_flat(rows: DataFrame, flat: DataFrame | None, cfg: Config,
     idx = (epoch_for_ccd(mjd, F.col("ccdnum"), bounds) if per_ccd_epochs
            else epoch_index(mjd, bounds.all_ccds))
     keyed = rows.withColumn("epoch_idx", F.when(mjd.isNotNull(), idx))
-    joined = keyed.join(F.broadcast(flat), ["ccdnum", "epoch_idx"], "left")
+    joined = keyed.join(flat, ["ccdnum", "epoch_idx"], "left")
     return joined.withColumn("flat_const", F.coalesce("flat_correction", F.lit(0.0))).drop(
         "flat_correction", "epoch_idx")
 

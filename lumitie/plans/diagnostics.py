@@ -14,13 +14,12 @@ from lumitie.operators.relational import remove_flagged
 from lumitie.operators.robust import (attach_scalar, bin_index, binned_median, quantiles,
                                       scalar_median, scalar_quantiles)
 
-# Bin grids (start, width, count) of the reports, in degrees or arcsec.
-RA_ONE_DEGREE = (49.0, 1.0, 12)
-RA_HALF_DEGREE = (49.0, 0.5, 25)
-RA_WIDE = (48.0, 1.0, 13)
-FWHM_FINE = (0.5, 0.1, 29)
-DEC_HALF_DEGREE = (-35.0, 0.5, 21)
-RA_TWO_DEGREES = (50.0, 2.0, 4)
+# An edge and the width of the reports' bins, in degrees or arcsec; bins are open-ended.
+RA_ONE_DEGREE = (49.0, 1.0)
+RA_HALF_DEGREE = (49.0, 0.5)
+FWHM_FINE = (0.5, 0.1)
+DEC_HALF_DEGREE = (-35.0, 0.5)
+RA_TWO_DEGREES = (50.0, 2.0)
 # Exposure-time bin edges in seconds and RA-distance thresholds in degrees.
 EXPTIME_EDGES = (30, 50, 80, 95, 120, 160, 190, 250, 350, 500)
 REACH_DEGREES = (2.0, 5.0, 8.0)
@@ -57,8 +56,7 @@ def gradient_by_depth(diffs: DataFrame) -> DataFrame:
     tagged = diffs.select("exp_ra", "diff_mmag", F.explode(F.filter(F.array(
         F.lit("all"), F.when(F.col("exptime") == 90.0, "90s"),
         F.when(F.col("exptime") > 100.0, "deep")), lambda s: s.isNotNull())).alias("sample"))
-    return binned_median(tagged, "exp_ra", "diff_mmag", *RA_ONE_DEGREE, least=11, keys=["sample"],
-                         max_keys=3)
+    return binned_median(tagged, "exp_ra", "diff_mmag", *RA_ONE_DEGREE, least=11, keys=["sample"])
 
 
 def difference_by_exptime(diffs: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def difference_by_exptime(diffs: DataFrame) -> DataFrame:
         hit = (F.col("exptime") >= lo) & (F.col("exptime") < hi)
         bucket = F.when(hit, k) if bucket is None else bucket.when(hit, k)
     rows = diffs.withColumn("bin", bucket).where(F.col("bin").isNotNull())
-    return quantiles(rows, "diff_mmag", {"median": 0.5}, ["bin"], 16).where(F.col("n") > 10)
+    return quantiles(rows, "diff_mmag", {"median": 0.5}, ["bin"]).where(F.col("n") > 10)
 
 
 def exposure_classes(exptime: DataFrame, positions: DataFrame) -> DataFrame:
@@ -96,9 +94,9 @@ def deep_minus_normal(dets: DataFrame, exptime: DataFrame) -> DataFrame:
         "dm", F.col("m_deep") - F.col("m_normal"))
 
 
-def seeing_by_exposure(dets: DataFrame, fwhm: DataFrame, exptime: DataFrame) -> DataFrame:
+def seeing_by_exposure(dets: DataFrame, exptime: DataFrame) -> DataFrame:
     """Median FWHM and RA per exposure with its depth class."""
-    rows = dets.join(fwhm, ["objectid", "expnum", "ccdnum"])
+    rows = dets.where(F.col("fwhm").isNotNull())
     f = quantiles(rows, "fwhm", {"fwhm_median": 0.5}, ["expnum"]).withColumnRenamed("n", "n_det")
     ra = quantiles(rows, "ra", {"ra_median": 0.5}, ["expnum"]).drop("n")
     return (f.join(ra, "expnum").join(exptime, "expnum", "left")
@@ -106,10 +104,10 @@ def seeing_by_exposure(dets: DataFrame, fwhm: DataFrame, exptime: DataFrame) ->
             .withColumn("exp_class", P.depth_class(F.col("exptime"))))
 
 
-def seeing_residuals(dets: DataFrame, fwhm: DataFrame, least: int = 3) -> DataFrame:
+def seeing_residuals(dets: DataFrame, least: int = 3) -> DataFrame:
     """Deviation from the star's plain mean, for stars with enough detections."""
     star = Window.partitionBy("objectid")
-    rows = dets.join(fwhm, ["objectid", "expnum", "ccdnum"])
+    rows = dets.where(F.col("fwhm").isNotNull())
     return (rows.withColumn("_n", F.count(F.lit(1)).over(star))
             .withColumn("resid", F.col("m_inst") - F.avg("m_inst").over(star))
             .where(F.col("_n") >= least).drop("_n"))
@@ -154,7 +152,7 @@ def gradient_summary(rows: DataFrame, quantities=GRADIENT_QUANTITIES) -> DataFra
     long = long.select("ra", "e.quantity", "e.value")
     fits = line(long, "ra", "value", ["quantity"])
     span = long.groupBy("quantity").agg((F.max("ra") - F.min("ra")).alias("_span"))
-    return fits.join(F.broadcast(span), "quantity").select(
+    return fits.join(span, "quantity").select(
         "quantity", "n", "slope", "intercept", (F.col("slope") * F.col("_span")).alias("total"))
 
 
@@ -199,7 +197,7 @@ def binned_along(table: DataFrame, medians: DataFrame, x: str, grid, split: bool
         return binned_median(rows, x, "diff", *grid, least=11)
     side = F.when(F.col("dec_median") > -30.0, "north").when(F.col("dec_median") < -30.0, "south")
     rows = rows.withColumn("side", side).where(F.col("side").isNotNull())
-    return binned_median(rows, x, "diff", *grid, least=11, keys=["side"], max_keys=2)
+    return binned_median(rows, x, "diff", *grid, least=11, keys=["side"])
 
 
 def ra_gradient(table: DataFrame, positions: DataFrame, flagged_nodes: DataFrame | None = None):
@@ -239,9 +237,9 @@ def repeatability_floor(star_lists: DataFrame, zp: DataFrame):
     cut = scalar_quantiles(stars, "mag", {"lo": 0.02, "hi": 0.98})
     if cut["n"] < 100:
         return None
-    n_bins = max(int(np.ceil((cut["hi"] - cut["lo"]) / 0.5)) - 1, 0)
+    n_bins = int(np.ceil((cut["hi"] - cut["lo"]) / 0.5))
     if n_bins:
-        bins = binned_median(stars, "mag", "scatter", cut["lo"], 0.5, n_bins, least=21)
+        bins = binned_median(stars.where(F.col("mag") <= cut["hi"]), "mag", "scatter", cut["lo"], 0.5, n_bins, least=21)
         low = bins.agg(F.min("median")).first()[0]
         if low is not None:
             return low
@@ -254,7 +252,7 @@ def prior_sweep(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, zpt
     """Solve under ever stronger zpterm priors and report gradient, RMS and floor."""
     clean = stage.write(remove_flagged(star_lists, flagged_stars, None, flagged_exposures,
                                        flagged_nodes, least=1), "prior-lists")
-    system = N.accumulate(clean, nodes, stage)
+    system = N.accumulate(clean, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
     known = nodes.join(zpterm, ["expnum", "ccdnum"]).select(
         (F.col("zpterm") + F.lit(PRIOR_OFFSET)).alias("t"))
     default = scalar_median(known, "t")
@@ -274,18 +272,17 @@ def prior_sweep(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, zpt
              "repeatability double, iterations int, converged boolean")
 
 
-def usable_seeing(dets: DataFrame, fwhm: DataFrame) -> DataFrame:
+def usable_seeing(dets: DataFrame) -> DataFrame:
     """Detections with a FWHM inside the quality range (both ends excluded)."""
     lo, hi = FWHM_QUALITY
-    return dets.join(fwhm, ["objectid", "expnum", "ccdnum"]).where(
-        (F.col("fwhm") > lo) & (F.col("fwhm") < hi))
+    return dets.where((F.col("fwhm") > lo) & (F.col("fwhm") < hi))
 
 
-def seeing_bins(dets: DataFrame, fwhm: DataFrame) -> DataFrame:
+def seeing_bins(dets: DataFrame) -> DataFrame:
     """Median weighted-mean residual per FWHM bin with at least 50 rows."""
     star = Window.partitionBy("objectid")
     w = P.weight(F.col("m_err"))
-    rows = usable_seeing(dets, fwhm)
+    rows = usable_seeing(dets)
     mean = F.sum(w * F.col("m_inst")).over(star) / F.sum(w).over(star)
     rows = (rows.withColumn("_n", F.count(F.lit(1)).over(star))
             .withColumn("residual", F.col("m_inst") - mean).where(F.col("_n") >= 2))
@@ -293,9 +290,9 @@ def seeing_bins(dets: DataFrame, fwhm: DataFrame) -> DataFrame:
     n_bins = int(round((hi - lo) / FWHM_BIN))
     b = bin_index(F.col("fwhm"), lo, FWHM_BIN, n_bins)
     binned = rows.withColumn("bin", b).where(F.col("bin").isNotNull())
-    med = quantiles(binned, "residual", {"median": 0.5}, ["bin"], n_bins).where(F.col("n") >= 50)
+    med = quantiles(binned, "residual", {"median": 0.5}, ["bin"]).where(F.col("n") >= 50)
     err = binned.groupBy("bin").agg(F.stddev_pop("residual").alias("_s"))
-    return med.join(F.broadcast(err), "bin").select(
+    return med.join(err, "bin").select(
         "bin", (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(FWHM_BIN)).alias("center"), "n", "median",
         (F.col("_s") / F.sqrt("n")).alias("std_err"))
 
@@ -313,9 +310,9 @@ def aperture_correction(bins: DataFrame, degree: int = APERTURE_DEGREE):
     return np.poly1d(fit.coeffs)(np.poly1d([1.0, -mid])).coeffs
 
 
-def corrected_magnitudes(dets: DataFrame, fwhm: DataFrame, coeffs) -> DataFrame:
+def corrected_magnitudes(dets: DataFrame, coeffs) -> DataFrame:
     """Detections with the seeing-dependent aperture loss removed."""
-    rows = usable_seeing(dets, fwhm)
+    rows = usable_seeing(dets)
     ac = P.polynomial(F.col("fwhm"), coeffs)
     return rows.withColumn("ac", ac).withColumn("m_inst_corr", F.col("m_inst") - F.col("ac"))
 
@@ -336,9 +333,11 @@ def flat_closure(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, po
     Star medians plus seeded noise replace the measurements on the real graph.
     """
     star = Window.partitionBy("healpix_pixel", "objectid")
-    noise = F.randn(seed) * F.col("m_err")
+    # Twelve uniform numbers from the row's key sum to nearly normal noise, the same in every attempt.
+    draws = [F.pmod(F.xxhash64("objectid", "expnum", "ccdnum", F.lit(seed + k)), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(12)]
+    noise = (sum(draws[1:], draws[0]) - F.lit(6.0)) * F.col("m_err")
     flat = stage.write(star_lists.withColumn("m_inst", F.median("m_inst").over(star) + noise), "flat-lists")
-    system = N.accumulate(flat, nodes, stage)
+    system = N.accumulate(flat, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
     ref = anchors.where(P.valid_zp(F.col("zp_fgcm"))).withColumn("zp_fgcm", F.lit(zp_true))
     zp, info = V.solve_unanchored(system, nodes, ref, cfg, stage)
     rows = stage.write(zp.join(positions, ["expnum", "ccdnum"]).withColumn(
@@ -368,9 +367,15 @@ def star_level_reference(dets: DataFrame, table: DataFrame, flagged_nodes: DataF
         "objectid", "ra", "dec", "n", (F.col("_d") - F.col("_mean")).alias("diff_mmag"))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of ``n`` rows; the limit merges per-task samples."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, keys, seed: int = 42) -> DataFrame:
+    """``n`` rows in the order of a congruence of their integer keys, which a retried task gives again.
+
+    The limit merges per-task samples; ties go by all columns.
+    """
+    mixed = F.lit(seed).cast("long")
+    for k in keys:
+        mixed = F.pmod(mixed * F.lit(69069) + F.col(k).cast("long") * F.lit(7919), F.lit(1_000_003))
+    return df.orderBy(F.pmod(mixed * F.lit(7907) + F.lit(13), F.lit(1_000_003)), *df.columns).limit(n)
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def local_joins(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str
         "objectid", F.col("expnum").cast("long"), F.col("ccdnum").cast("int"),
         F.lit(band).alias("band"), (F.col("mag_aper4") - F.col("zpterm")).alias("m_inst"),
         F.col("magerr_aper4").cast("double").alias("m_err"),
-        *[F.col(c).cast("double") for c in ("mjd", "ra", "dec") if c in cols],
+        *[F.col(c).cast("double") for c in ("mjd", "ra", "dec", "fwhm") if c in cols],
         *[F.col(c).cast("float") for c in ("x", "y") if c in cols])
 
 

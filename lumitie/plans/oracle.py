@@ -12,6 +12,8 @@ from lumitie.config import EXTINCTION, EpochBoundaries
 from lumitie.sources.fixtures import MEAS_EXPR
 
 BOUNDS = EpochBoundaries()
+# Median, MAD and standard deviation of the detectors' scatter.
+SCATTER_SPREAD = ("(SELECT any_value(m) AS m, median(abs(scatter - m)) AS mad, stddev_samp(scatter) AS s FROM scatter, scatter_mid)")
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -320,7 +322,8 @@ def _build() -> dict:
         "SELECT count(*) AS n_detections, count(DISTINCT objectid) AS n_stars, count(DISTINCT expnum) AS n_exposures, "
         f"count(DISTINCT {KEY}) AS n_ccd_exposures, count(DISTINCT healpix_pixel) AS n_pixels FROM det")
     o["u3_missing_pixels"] = statement(
-        "SELECT healpix_pixel FROM patch EXCEPT SELECT healpix_pixel FROM det WHERE objectid % 3 <> 0", patch)
+        "SELECT healpix_pixel FROM region EXCEPT SELECT healpix_pixel FROM det",
+        {"region": f"SELECT DISTINCT {ang2pix(32, '50.0e0 + (k % 150)*(20.0e0/149)', '-40.0e0 + (k // 150)*(15.0e0/149)')} AS healpix_pixel FROM range(22500) t(k)"})
     o["t15_node_positions"] = statement(f"SELECT expnum, ccdnum, {cols('ra_mean', 'dec_mean')} FROM positions")
     o["w6_dense_index"] = statement(
         "SELECT expnum, ccdnum, row_number() OVER (ORDER BY expnum, ccdnum) - 1 AS idx FROM (SELECT DISTINCT expnum, ccdnum FROM det)")
@@ -344,10 +347,10 @@ def _build() -> dict:
     stats = ("count(*) AS n_edges, min(n_shared) AS edge_stars_min, CAST(trunc(median(n_shared)) AS INT) AS edge_stars_median, "
              + cols("edge_stars_mean=avg(n_shared)") + ", max(n_shared) AS edge_stars_max")
     o["a12_edge_stats"] = statement(f"SELECT {stats} FROM edges")
-    comp = {"split_all": f"SELECT DISTINCT healpix_pixel, objectid, {KEY} AS node FROM det WHERE objectid % 3 = expnum % 3",
-            "split_mem": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY healpix_pixel, objectid) AS nn FROM split_all) WHERE nn >= 2",
-            "hubs": "SELECT healpix_pixel, objectid, min(node) AS hub FROM split_mem GROUP BY ALL",
-            "ties": "SELECT DISTINCT node AS u, hub AS v FROM split_mem JOIN hubs USING (healpix_pixel, objectid) WHERE node <> hub",
+    comp = {"split_all": f"SELECT DISTINCT healpix_pixel, objectid, expnum % 3 AS part, {KEY} AS node FROM det",
+            "split_mem": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY healpix_pixel, objectid, part) AS nn FROM split_all) WHERE nn >= 2",
+            "hubs": "SELECT healpix_pixel, objectid, part, min(node) AS hub FROM split_mem GROUP BY ALL",
+            "ties": "SELECT DISTINCT node AS u, hub AS v FROM split_mem JOIN hubs USING (healpix_pixel, objectid, part) WHERE node <> hub",
             "ties2": "SELECT u, v FROM ties UNION SELECT v, u FROM ties",
             "reach": "SELECT DISTINCT node, node AS label FROM split_mem UNION SELECT t.v, r.label FROM reach r JOIN ties2 t ON t.u = r.node WHERE r.label < t.v",
             "comps": "SELECT node, min(label) AS root FROM reach GROUP BY node",
@@ -358,7 +361,7 @@ def _build() -> dict:
         .replace("AS expnum", "AS exp").replace("AS ccdnum", "AS ccd"), comp, recursive=True)
     o["g4_des_component"] = statement(
         f"SELECT {node_of('node')}, (node // 1024) % 4 = 0 AS is_anchor, root = (SELECT root FROM picked) AS connected FROM comps", comp, recursive=True)
-    full = {k: v.replace("WHERE objectid % 3 = expnum % 3", "") for k, v in comp.items()}
+    full = {k: v.replace("expnum % 3 AS part", "0 AS part") for k, v in comp.items()}
     o["g6_connectivity"] = statement(
         "SELECT * FROM (SELECT count(*) AS n_nodes_total, count(*) FILTER (root = (SELECT root FROM picked)) AS n_nodes_connected, "
         "count(*) FILTER (root <> (SELECT root FROM picked)) AS n_nodes_dropped, count(*) FILTER (root = (SELECT root FROM picked) AND (node // 1024) % 4 = 0) AS n_anchor_nodes, "
@@ -392,8 +395,7 @@ def _build() -> dict:
     o["l6_anchor_terms"] = statement(
         f"SELECT {KEY} AS i, {cols('d=1.0e6', 'b=1.0e6*zp_fgcm')} FROM nodes JOIN good_anchors USING (expnum, ccdnum)")
     o["l7_prior_terms"] = statement(
-        f"SELECT {KEY} AS i, {cols('d=300.0e0', 'b=300.0e0*coalesce(zpterm + 31.4389e0, 31.4e0)')} FROM nodes LEFT JOIN "
-        "(SELECT * FROM zpterms WHERE expnum % 5 <> 1) USING (expnum, ccdnum)")
+        f"SELECT {KEY} AS i, {cols('d=300.0e0', 'b=300.0e0*coalesce(zpterm + 31.4389e0, 31.4e0)')} FROM nodes LEFT JOIN zpterms USING (expnum, ccdnum)")
 
     base = {"diag": "SELECT i, sum(w) AS d, -sum(wdm) AS b FROM twoway GROUP BY i",
             "keyed": f"SELECT {KEY} AS i, expnum, ccdnum FROM nodes"}
@@ -436,7 +438,8 @@ def _build() -> dict:
     o["i2_bad_exposures"] = statement(
         f"SELECT expnum, {cols('zp_exp_median', 'mjd')}, night, {cols('zp_deviation')} FROM bad_exps")
     o["i2_bad_ccds"] = statement(
-        f"SELECT expnum, ccdnum, {cols('scatter')}, n, {cols('threshold')} FROM scatter, scatter_cut WHERE scatter > threshold")
+        f"SELECT expnum, ccdnum, {cols('scatter')}, n, {cols('threshold')} FROM scatter, scatter_half WHERE scatter > threshold",
+        {"scatter_half": f"SELECT greatest(m + 0.5e0*(CASE WHEN mad > 0 THEN 1.4826e0*mad ELSE s END), 0.001e0) AS threshold FROM {SCATTER_SPREAD}"})
     o["i3_unusable_stars"] = statement(
         "SELECT objectid FROM star_chi2 WHERE dof >= 1 AND chi2/dof > 3.0 AND dof + 1 - n_half < 2")
     o["i4_apply_flags"] = statement(
@@ -505,11 +508,11 @@ def _build() -> dict:
         f"SELECT {t0}, {cols('rms_solved_mmag', 'rms_starflat_mmag', 'rms_before_mmag', 'improvement_mmag=rms_before_mmag - rms_solved_mmag')}, n_stars FROM t0")
     t1 = verdict("Test 1: Repeatability", "floor_mmag < 10.0", "n_stars > 0")
     o["v1_repeatability"] = statement(f"SELECT {t1}, {cols('floor_mmag')}, n_stars FROM t1")
-    bins = {"span": "SELECT quantile_cont(mag_cal_g, 0.05) AS lo, (quantile_cont(mag_cal_g, 0.95) - quantile_cont(mag_cal_g, 0.05))/15.0e0 AS wd FROM multi",
-            "bmulti": "SELECT CAST(floor((mag_cal_g - lo)/wd) AS INT) AS bin, scatter_mmag, lo, wd FROM multi, span"}
+    bins = {"span": "SELECT quantile_cont(mag_cal_g, 0.05) AS lo, (quantile_cont(mag_cal_g, 0.95) - quantile_cont(mag_cal_g, 0.05))/15.0e0 AS wd, quantile_cont(mag_cal_g, 0.95) AS hi FROM multi",
+            "bmulti": "SELECT CAST(least(floor((mag_cal_g - lo)/wd), 14) AS INT) AS bin, scatter_mmag, lo, wd FROM multi, span WHERE mag_cal_g >= lo AND mag_cal_g <= hi"}
     o["v1_repeatability_bins"] = statement(
         f"SELECT bin, {cols('center=any_value(lo) + (bin + 0.5e0)*any_value(wd)')}, count(*) AS n, {cols('median=median(scatter_mmag)')} FROM bmulti "
-        "WHERE bin BETWEEN 0 AND 13 GROUP BY bin HAVING count(*) >= 6", bins)
+        "GROUP BY bin HAVING count(*) >= 6", bins)
     t2 = verdict("Test 2: DR2 comparison", "rms_mmag < 15.0", "n_nodes > 0")
     o["v2_anchored_rms"] = statement(f"SELECT {t2}, {cols('rms_mmag', 'median_mmag')}, n_nodes FROM t2")
     side = "SELECT {f} FROM {t} WHERE (expnum + ccdnum) % 29 <> 0"
@@ -545,13 +548,17 @@ def _build() -> dict:
         "sqrt(avg((yb - fa - fb*x)*(yb - fa - fb*x))) AS rs FROM kept, clipfin)", ps)
 
     o["a15_histogram"] = statement(
-        "SELECT ccdnum, CAST(floor((ra - 49.0e0)/0.5e0) AS INT) AS bin, count(*) AS n FROM det WHERE ra >= 49 AND ra < 61.5 GROUP BY ALL")
+        "SELECT ccdnum, CAST(floor((ra - 49.0e0)/0.5e0) AS INT) AS bin, count(*) AS n FROM det GROUP BY ALL")
     o["a16_binned_median"] = statement(
         f"SELECT bin, {cols('center=-35.0e0 + (bin + 0.5e0)*0.5e0')}, count(*) AS n, {cols('median=median(m_inst)', 'std=stddev_samp(m_inst)', 'std_err=stddev_samp(m_inst)/sqrt(count(*))')} "
-        "FROM (SELECT CAST(floor((dec + 35.0e0)/0.5e0) AS INT) AS bin, m_inst FROM det) WHERE bin BETWEEN 0 AND 19 GROUP BY bin HAVING count(*) >= 11")
+        "FROM (SELECT CAST(floor((dec + 35.0e0)/0.5e0) AS INT) AS bin, m_inst FROM det) GROUP BY bin HAVING count(*) >= 11")
     o["a17_hist2d"] = statement(
-        "SELECT CAST(floor((ra - 50.0e0)/0.5e0) AS INT) AS bin_x, CAST(floor((dec + 35.0e0)/0.5e0) AS INT) AS bin_y, count(*) AS n FROM det "
-        "WHERE ra >= 50 AND ra < 60 AND dec >= -35 AND dec < -25 GROUP BY ALL")
+        "SELECT CAST(floor((ra - 50.0e0)/0.5e0) AS INT) AS bin_x, CAST(floor((dec + 35.0e0)/0.5e0) AS INT) AS bin_y, count(*) AS n FROM det GROUP BY ALL")
+    mixed = "42"
+    for key in ("objectid", "expnum", "ccdnum"):
+        mixed = f"(({mixed}*69069 + {key}*7919) % 1000003)"
+    o["o5_sample"] = statement(
+        f"SELECT objectid, expnum, ccdnum, {cols('m_inst')} FROM det ORDER BY (CAST({mixed} AS BIGINT)*7907 + 13) % 1000003, objectid, expnum, ccdnum, m_inst LIMIT 5000")
     o["a18_value_counts"] = statement("SELECT expnum, count(*) AS n FROM det GROUP BY expnum")
     o["o4_topk"] = statement("SELECT expnum, count(*) AS n FROM det GROUP BY expnum ORDER BY n DESC, expnum LIMIT 10")
     qs = {"q05": 0.05, "q20": 0.2, "q40": 0.4, "q50": 0.5, "q95": 0.95}
@@ -570,7 +577,7 @@ def _build() -> dict:
     deep = {"dpos": "SELECT expnum, (max(ra_mean) - 50.0e0)*2.0e0 + 45.0e0 AS exp_ra FROM positions GROUP BY expnum",
             "dcls": "SELECT CAST(floor((exp_ra - 49.0e0)/0.5e0) AS INT) AS bin, exptime FROM fx_exptime JOIN dpos USING (expnum)"}
     o["d1_deep_fraction"] = statement(
-        f"SELECT bin, count(*) AS n_total, count(*) FILTER (exptime > 100) AS n_deep, {cols('fraction=count(*) FILTER (exptime > 100)/count(*)')} FROM dcls WHERE bin BETWEEN 0 AND 24 GROUP BY bin", deep)
+        f"SELECT bin, count(*) AS n_total, count(*) FILTER (exptime > 100) AS n_deep, {cols('fraction=count(*) FILTER (exptime > 100)/count(*)')} FROM dcls GROUP BY bin", deep)
     o["d1_deep_minus_normal"] = statement(
         f"SELECT objectid, {cols('m_deep')}, n_deep, {cols('m_normal')}, n_normal, {cols('dm=m_deep - m_normal')} FROM (SELECT objectid, avg(m_inst) FILTER (exptime > 100) AS m_deep, "
         "count(*) FILTER (exptime > 100) AS n_deep, avg(m_inst) FILTER (exptime = 90) AS m_normal, count(*) FILTER (exptime = 90) AS n_normal FROM det JOIN fx_exptime USING (expnum) GROUP BY objectid) "
@@ -584,7 +591,7 @@ def _build() -> dict:
                        "count(*) OVER (PARTITION BY objectid) AS nn FROM seen WHERE fwhm > 0.5 AND fwhm < 3.0"),
               "wbin": "SELECT CAST(floor((fwhm - 0.8e0)/0.05e0) AS INT) AS bin, rs FROM wres WHERE nn >= 2"}
     o["d1_seeing_residuals"] = statement(
-        f"SELECT bin, {cols('center=0.5e0 + (bin + 0.5e0)*0.1e0')}, count(*) AS n, {cols('median=median(rs)', 'std=stddev_samp(rs)', 'std_err=stddev_samp(rs)/sqrt(count(*))')} FROM sbin WHERE bin BETWEEN 0 AND 28 "
+        f"SELECT bin, {cols('center=0.5e0 + (bin + 0.5e0)*0.1e0')}, count(*) AS n, {cols('median=median(rs)', 'std=stddev_samp(rs)', 'std_err=stddev_samp(rs)/sqrt(count(*))')} FROM sbin "
         "GROUP BY bin HAVING count(*) >= 51", seeing)
     o["m8_seeing_bins"] = statement(
         f"SELECT bin, {cols('center=0.8e0 + (bin + 0.5e0)*0.05e0')}, count(*) AS n, {cols('median=median(rs)', 'std_err=stddev_pop(rs)/sqrt(count(*))')} FROM wbin WHERE bin BETWEEN 0 AND 23 "
@@ -603,7 +610,7 @@ def _build() -> dict:
         + cols("discontinuity_mmag=CASE WHEN count(*) FILTER (x > -30.0) > 10 AND count(*) FILTER (x < -30.0) > 10 THEN (regr_slope(y, x) FILTER (x < -30.0))*(-30.0) + regr_intercept(y, x) FILTER (x < -30.0) "
                "- (regr_slope(y, x) FILTER (x > -30.0))*(-30.0) - regr_intercept(y, x) FILTER (x > -30.0) END") + " FROM dec_rows WHERE x > -32.0 AND x < -28.0")
     o["d6_binned_dec"] = statement(
-        f"SELECT CAST(floor((x + 35.0e0)/0.5e0) AS INT) AS bin, count(*) AS n, {cols('median=median(y)')} FROM dec_rows WHERE x >= -35 AND x < -24.5 GROUP BY ALL HAVING count(*) >= 11")
+        f"SELECT CAST(floor((x + 35.0e0)/0.5e0) AS INT) AS bin, count(*) AS n, {cols('median=median(y)')} FROM dec_rows GROUP BY ALL HAVING count(*) >= 11")
     m10 = {"m10rows": "SELECT ra_mean AS x, delta_zp AS y FROM ref_table JOIN positions USING (expnum, ccdnum)", **clip_line("m10rows", 3, True)}
     o["m10_ra_gradient"] = statement(f"SELECT {cols('slope_mmag_per_deg=any_value(fb)*1000', 'rms_mmag=stddev_pop(y - fa - fb*x)*1000')} FROM kept, clipfin", m10)
     o["a19_reference_rms"] = statement(

@@ -103,8 +103,7 @@ def star_flat(zp: DataFrame, exposure_mjd: DataFrame, bounds, flagged_nodes: Dat
     timed = (delta.join(exposure_mjd.select("expnum", "mjd"), "expnum")
              .withColumn("epoch_idx", epoch_index(F.col("mjd"), bounds)))
     # A detector-epoch holds a fixed share of all nodes, so its median is the scalable one.
-    groups = 1024 * (len(bounds) + 1)
-    med = quantiles(timed, "delta", {"m": 0.5}, ["ccdnum", "epoch_idx"], groups)
+    med = quantiles(timed, "delta", {"m": 0.5}, ["ccdnum", "epoch_idx"])
     return med.select("ccdnum", "epoch_idx",
                       F.when(F.col("n") >= 3, F.col("m")).otherwise(0.0).alias("flat_correction"))
 
@@ -143,7 +142,7 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
     star_type = star_lists.schema["objectid"].dataType.simpleString()
     empty = lambda ddl: spark.createDataFrame([], ddl)
     if zp is None:
-        system = N.accumulate(star_lists, nodes, stage)
+        system = N.accumulate(star_lists, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
         zp, _ = V.solve_anchored(system, nodes, anchors, cfg, stage)
     zp = stage.write(zp, "zp")
     out = Rejection(star_lists, zp, empty(f"objectid {star_type}"), empty("expnum bigint"),
@@ -169,6 +168,7 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
             bad_ccds(resid).select("expnum", "ccdnum")
             .join(out.flagged_nodes, ["expnum", "ccdnum"], "left_anti"), "flag-node",
             {"n": F.count(F.lit(1))})
+        before = out.flagged_detections, out.star_lists, out.zp
         out.flagged_detections = dets
         out.flagged_stars = out.flagged_stars.unionByName(new_stars)
         out.flagged_exposures = out.flagged_exposures.unionByName(new_exps)
@@ -177,10 +177,14 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
         out.star_lists = stage.write(
             remove_flagged(out.star_lists, out.flagged_stars, out.flagged_detections,
                            out.flagged_exposures, out.flagged_nodes), "star-lists")
-        out.system = N.accumulate(out.star_lists, nodes, stage)
+        out.system = N.accumulate(out.star_lists, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
         zp, info = V.solve_anchored(out.system, nodes, anchors, cfg, stage)
         out.zp = stage.write(zp, "zp")
         after = residuals(out.star_lists, out.zp).agg(_rms(None).alias("rms")).first()["rms"]
+        stage.drop(resid)
+        for old in before:  # those of this loop; the caller's tables are not staged under it
+            if iteration > 1 or old is before[2]:
+                stage.drop(old)
         out.stats.append(Row(
             iteration=iteration, n_stars_flagged=s["n"], n_exposures_flagged=e["n"],
             n_nodes_flagged=m["n"], n_outlier_dets=seen["bad"], rms_before_mmag=seen["rms"],
@@ -206,7 +210,7 @@ def final_solutions(state: Rejection, nodes: DataFrame, anchors: DataFrame, expo
                     band: str, cfg: Config, stage: Stage, modes=("unanchored", "anchored")) -> Rejection:
     """Solve the cleaned data in both modes; unanchored is refined by star flat + gray."""
     if state.system is None:
-        state.system = N.accumulate(state.star_lists, nodes, stage)
+        state.system = N.accumulate(state.star_lists, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
     if "unanchored" in modes:
         zp, info = V.solve_unanchored(state.system, nodes, anchors, cfg, stage)
         zp = stage.write(zp, "zp")
@@ -219,7 +223,8 @@ def final_solutions(state: Rejection, nodes: DataFrame, anchors: DataFrame, expo
                 .join(state.flagged_nodes, ["expnum", "ccdnum"], "left_anti")
                 .join(state.flagged_exposures, "expnum", "left_anti").select("expnum").distinct(),
                 "exposures")
-            system = N.accumulate_gray(state.star_lists, exps, exposure_mjd, flat, bounds, stage)
+            system = N.accumulate_gray(state.star_lists, exps, exposure_mjd, flat, bounds, stage,
+                                       cap=cfg.quality_cuts.max_detections_per_star)
             refined, gray, ginfo = V.solve_gray(system, nodes, anchors, flat, exposure_mjd, cfg, stage)
             state.info["gray"] = ginfo
             if ginfo.converged:

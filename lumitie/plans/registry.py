@@ -145,8 +145,8 @@ def a10_ingest_stats(w):
 
 @query
 def u3_missing_pixels(w):
-    return I.missing_pixels(H.named_region_pixels(w.spark, 32, "test-patch"),
-                            w.dets.where("objectid % 3 <> 0"))
+    """Pixels of the larger test region without any detection."""
+    return I.missing_pixels(H.named_region_pixels(w.spark, 32, "test-region"), w.dets)
 
 
 @query
@@ -217,20 +217,23 @@ def a12_edge_stats(w):
     return G.edge_stats(w.edges)
 
 
+def _split_components(w):
+    keys = (*R.STAR, "part")
+    mem = G.star_nodes(w.dets.withColumn("part", F.col("expnum") % 3), keys)
+    return G.connected_components(G.spanning_edges(mem, keys), w.stage)
+
+
 @query
 def g1_components(w):
-    """Components of the graph split by star and exposure residue classes."""
-    mem = G.star_nodes(w.dets.where("objectid % 3 = expnum % 3"))
-    comps = G.connected_components(G.spanning_edges(mem), w.stage)
+    """Components of the graph in which a star ties only exposures of one residue class."""
+    comps = _split_components(w)
     return comps.select(*_pair("node", ""), F.shiftright("component", 10).alias("root_exp"),
                         F.col("component").bitwiseAND(F.lit(1023)).cast("int").alias("root_ccd"))
 
 
 @query
 def g4_des_component(w):
-    mem = G.star_nodes(w.dets.where("objectid % 3 = expnum % 3"))
-    comps = G.connected_components(G.spanning_edges(mem), w.stage)
-    return G.select_component(comps, T.anchor_exposures(w.anchor_raw, "g")).select(
+    return G.select_component(_split_components(w), T.anchor_exposures(w.anchor_raw, "g")).select(
         "expnum", "ccdnum", "is_anchor", "connected")
 
 
@@ -317,7 +320,7 @@ def l6_anchor_terms(w):
 
 @query
 def l7_prior_terms(w):
-    return N.prior_terms(w.nodes, w.zpterm.where("expnum % 5 <> 1"), 300.0, D.PRIOR_OFFSET, 31.4)
+    return N.prior_terms(w.nodes, w.zpterm, 300.0, D.PRIOR_OFFSET, 31.4)
 
 
 @query
@@ -384,7 +387,8 @@ def i2_bad_exposures(w):
 
 @query
 def i2_bad_ccds(w):
-    return O.bad_ccds(_trial_residuals(w)).select("expnum", "ccdnum", "scatter", "n", "threshold")
+    """Detectors that scatter more than half a robust sigma above the median."""
+    return O.bad_ccds(_trial_residuals(w), 0.5, 0.001).select("expnum", "ccdnum", "scatter", "n", "threshold")
 
 
 @query
@@ -434,7 +438,7 @@ def i6_final_zeropoints(w):
 def a6_robust_stats(w):
     """Median, MAD and robust sigma of the plane residuals per detector and epoch."""
     r = SF.plane_residuals(w.dets, w.trial_zp.where("zp_solved > 1.0"), w.cfg)
-    return Q.robust_stats(r, "residual", ["ccdnum", "epoch"], SF.MAX_GROUPS)
+    return Q.robust_stats(r, "residual", ["ccdnum", "epoch"])
 
 
 @query
@@ -614,17 +618,17 @@ def v8_tally(w):
 
 @query
 def a15_histogram(w):
-    return Q.histogram(w.dets, "ra", 49.0, 0.5, 25, ["ccdnum"]).select("ccdnum", "bin", "n")
+    return Q.histogram(w.dets, "ra", 49.0, 0.5, keys=["ccdnum"]).select("ccdnum", "bin", "n")
 
 
 @query
 def a16_binned_median(w):
-    return Q.binned_median(w.dets, "dec", "m_inst", -35.0, 0.5, 20, least=11)
+    return Q.binned_median(w.dets, "dec", "m_inst", -35.0, 0.5, least=11)
 
 
 @query
 def a17_hist2d(w):
-    return Q.histogram2d(w.dets, "ra", "dec", (50.0, 0.5, 20), (-35.0, 0.5, 20))
+    return Q.histogram2d(w.dets, "ra", "dec", (50.0, 0.5), (-35.0, 0.5))
 
 
 @query
@@ -640,13 +644,13 @@ def o4_topk(w):
 @query
 def o5_sample(w):
     """Seeded sample of 5000 detections."""
-    return D.sample_rows(w.dets.select("objectid", "expnum", "ccdnum", "m_inst"), 5000)
+    return D.sample_rows(w.dets.select("objectid", "expnum", "ccdnum", "m_inst"), 5000, ["objectid", "expnum", "ccdnum"])
 
 
 @query
 def a20_quantiles(w):
     return Q.quantiles(w.dets, "m_inst", {"q05": 0.05, "q20": 0.2, "q40": 0.4, "q50": 0.5, "q95": 0.95},
-                       ["ccdnum"], 1024)
+                       ["ccdnum"])
 
 
 @query
@@ -680,26 +684,26 @@ def d1_deep_minus_normal(w):
 
 @query
 def d1_seeing_by_exposure(w):
-    return D.seeing_by_exposure(w.dets, w.fwhm, w.exptime)
+    return D.seeing_by_exposure(w.dets, w.exptime)
 
 
 @query
 def d1_seeing_residuals(w):
-    r = D.seeing_residuals(w.dets, w.fwhm)
+    r = D.seeing_residuals(w.dets)
     return Q.binned_median(r, "fwhm", "resid", *D.FWHM_FINE, least=51)
 
 
 @query
 def m8_seeing_bins(w):
-    return D.seeing_bins(w.dets, w.fwhm)
+    return D.seeing_bins(w.dets)
 
 
 @query
 def m8_aperture_correction(w):
     """Aperture correction fitted to the bins and applied to every detection."""
-    bins = w.stage.write(D.seeing_bins(w.dets, w.fwhm), "seeing-bins")
+    bins = w.stage.write(D.seeing_bins(w.dets), "seeing-bins")
     coeffs = D.aperture_correction(bins)
-    corrected = D.corrected_magnitudes(w.dets, w.fwhm, coeffs)
+    corrected = D.corrected_magnitudes(w.dets, coeffs)
     return D.correction_by_node(corrected, w.positions)
 
 

@@ -88,7 +88,7 @@ class Run:
     def phase_0(self, band: str) -> None:
         dets = I.detections(self.given("meas", S.MEAS), self.given("chip", S.CHIP),
                             self.given("exposure", S.EXPOSURE), band, self.cfg, self.pixels)
-        T.write_pixels(dets.select(*[f.name for f in S.DETECTIONS]), self.path("detections", band))
+        T.write_pixels(T.pad_columns(dets, S.DETECTIONS), self.path("detections", band))
         if self.pixels is not None:
             gone = I.missing_pixels(self.pixels, self.detections(band)).count()
             log.info("band %s: %d selected pixels hold no detections", band, gone)
@@ -107,7 +107,8 @@ class Run:
 
     def phase_2(self, band: str) -> None:
         nodes, anchors = self.table("connected_nodes", band, S.NODES), self.stage.write(self.anchors(band), "anchors")
-        system = N.accumulate(I.star_lists(self.detections(band)), nodes, self.stage)
+        system = N.accumulate(I.star_lists(self.detections(band)), nodes, self.stage,
+                              cap=self.cfg.quality_cuts.max_detections_per_star)
         for mode, solve in (("unanchored", V.solve_unanchored), ("anchored", V.solve_anchored)):
             if self.mode in (mode, "both"):
                 zp, info = solve(system, nodes, anchors, self.cfg, self.stage)
@@ -199,7 +200,7 @@ class Run:
         stars = T.flagged(self.spark, self.path("flagged_stars", band), S.STAR_FLAGS)
         anchors, zpterm = self.anchors(band), self.zpterm(band)
         offset = K.magzero(anchors, zpterm)
-        catalog = self.spark.read.parquet(self.path("star_catalog", band))
+        catalog = T.read(self.spark, self.path("star_catalog", band), S.catalog(band))
         level = VA.star_level(self.detections(band), zp, anchors, zpterm, offset, self.cfg,
                               self.optional("star_flat", band, S.STAR_FLAT), self.mjds(band), stars)
         checks = [VA.fgcm_comparison(level), VA.repeatability(catalog, band), VA.stellar_locus(self.spark)]
@@ -211,9 +212,9 @@ class Run:
         gaia = self.given("gaia", S.GAIA)
         if gaia is not None:
             matched = R.gaia(gaia, self.given("gaia_xmatch", S.XMATCH), catalog)
-            both = [self.path("star_catalog", b) for b in ("g", "r")]
-            colours = (VA.good_colours(*[self.spark.read.parquet(p) for p in both])
-                       if all(T.exists(self.spark, p) for p in both) else None)
+            both = {b: self.path("star_catalog", b) for b in ("g", "r")}
+            colours = (VA.good_colours(*[T.read(self.spark, p, S.catalog(b)) for b, p in both.items()])
+                       if all(T.exists(self.spark, p) for p in both.values()) else None)
             checks.append(VA.gaia_comparison(catalog, matched, band, self.stage, colours))
         ps1 = self.given("ps1", S.PS1)
         if ps1 is not None:
@@ -233,6 +234,7 @@ class Run:
                     began = time.time()
                     getattr(self, f"phase_{phase}")(band)
                     log.info("phase %s band %s took %.1f s", phase, band, time.time() - began)
+        self.stage.clear()
 
 
 def main(argv=None) -> None:

@@ -13,7 +13,6 @@ from lumitie.functions import photometry as P
 from lumitie.functions.epochs import epoch_for_ccd
 from lumitie.operators.robust import attach, robust_stats, scalar_median
 
-MAX_GROUPS = 1024 * 16      # detectors of a camera times hardware epochs
 
 
 def usable_zeropoints(zp: DataFrame) -> DataFrame:
@@ -39,8 +38,8 @@ def plane_residuals(dets: DataFrame, zp: DataFrame, cfg: Config) -> DataFrame:
 def clipped(resid: DataFrame, value: str = "residual", keys=("ccdnum", "epoch")) -> DataFrame:
     """Rows within three robust sigmas of their group's median."""
     keys = list(keys)
-    stats = robust_stats(resid, value, keys, MAX_GROUPS).select(*keys, "median", "sigma")
-    joined = attach(resid, stats, keys, MAX_GROUPS)
+    stats = robust_stats(resid, value, keys).select(*keys, "median", "sigma")
+    joined = attach(resid, stats, keys)
     return joined.where(F.abs(F.col(value) - F.col("median")) < 3.0 * F.col("sigma")).drop(
         "median", "sigma")
 
@@ -91,7 +90,7 @@ def corrections(dets: DataFrame, zp: DataFrame, cfg: Config, stage):
     resid = stage.write(plane_residuals(dets, usable_zeropoints(zp), cfg), "plane-resid")
     sizes = resid.groupBy("ccdnum", "epoch").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") >= least).drop("_n")
-    good = stage.write(clipped(attach(resid, sizes, ["ccdnum", "epoch"], MAX_GROUPS)), "plane-good")
+    good = stage.write(clipped(attach(resid, sizes, ["ccdnum", "epoch"])), "plane-good")
     coeffs = stage.write(fit_chebyshev(good, "residual", cfg.starflat.polynomial_order, least),
                          "coeffs")
     return coeffs, good
@@ -100,7 +99,7 @@ def corrections(dets: DataFrame, zp: DataFrame, cfg: Config, stage):
 def correction_stats(good: DataFrame, coeffs: DataFrame, order: int = 3) -> DataFrame:
     """Per group: points, size of the correction, residual RMS before and after (mmag)."""
     rms = lambda c: F.sqrt(F.avg(c * c)) * 1000.0
-    joined = attach(good, coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"], MAX_GROUPS)
+    joined = attach(good, coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"])
     fit = C.evaluate(F.col("x"), F.col("y"), F.col("coeffs"), order)
     joined = joined.withColumn("_fit", fit)
     return joined.groupBy("ccdnum", "epoch").agg(
@@ -115,8 +114,7 @@ def flat_offset(rows: DataFrame, coeffs: DataFrame | None, cfg: Config) -> DataF
         return rows.withColumn("delta_sf", F.lit(0.0))
     bounds = cfg.starflat.epoch_boundaries
     keyed = rows.withColumn("epoch", epoch_for_ccd(F.col("mjd"), F.col("ccdnum"), bounds))
-    joined = keyed.join(F.broadcast(coeffs.select("ccdnum", "epoch", "coeffs")),
-                        ["ccdnum", "epoch"], "left")
+    joined = keyed.join(coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"], "left")
     value = C.evaluate(F.col("x"), F.col("y"), F.col("coeffs"), cfg.starflat.polynomial_order)
     known = F.col("mjd").isNotNull()
     return joined.withColumn("delta_sf", F.coalesce(F.when(known, value), F.lit(0.0))).drop(

@@ -99,7 +99,7 @@ def repeatability_bins(catalog: DataFrame, band: str) -> DataFrame:
     cut = scalar_quantiles(multi, mag, {"lo": 0.05, "hi": 0.95})
     if cut["lo"] is None or cut["hi"] <= cut["lo"]:
         return binned_median(multi.limit(0), mag, "scatter_mmag", 0.0, 1.0, 1, 6)
-    return binned_median(multi, mag, "scatter_mmag", cut["lo"], (cut["hi"] - cut["lo"]) / 15.0, 14, 6)
+    return binned_median(multi.where(F.col(mag) <= cut["hi"]), mag, "scatter_mmag", cut["lo"], (cut["hi"] - cut["lo"]) / 15.0, 15, 6)
 
 
 def valid_reference() -> object:

@@ -106,11 +106,8 @@ class Workspace:
 
     @cached_property
     def system(self) -> N.System:
-        return N.accumulate(self.star_lists, self.nodes, self.stage)
-
-    @cached_property
-    def fwhm(self) -> DataFrame:
-        return self.stage.write(T.fwhm_table(self.meas, self.exposure), "fwhm")
+        return N.accumulate(self.star_lists, self.nodes, self.stage,
+                            cap=self.cfg.quality_cuts.max_detections_per_star)
 
     # A trial solution: the true zero-points plus a known error pattern, a sky tilt and
     # a few empty nodes, so every report has a reference that SQL can state.

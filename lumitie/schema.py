@@ -21,7 +21,7 @@ EXPOSURE = _struct("exposure:s expnum:l filter:s instrument:s mjd:d")
 ANCHOR = _struct("expnum:l ccdnum:i band:s mag_zero:d sigma_mag_zero:d source:s flag:i")
 EXPTIME = _struct("expnum:l exptime:d")
 DETECTIONS = _struct(
-    "objectid:s expnum:l ccdnum:i band:s m_inst:d m_err:d mjd:d ra:d dec:d x:f y:f healpix_pixel:l")
+    "objectid:s expnum:l ccdnum:i band:s m_inst:d m_err:d mjd:d ra:d dec:d x:f y:f fwhm:d healpix_pixel:l")
 STAR_LISTS = _struct("objectid:s expnum:l ccdnum:i m_inst:d m_err:d healpix_pixel:l")
 NODES = _struct("expnum:l ccdnum:i")
 STAR_FLAGS = _struct("objectid:s")
@@ -43,3 +43,10 @@ PS1 = _struct(
     "zQfPerfect:d")
 XMATCH = _struct("id1:l id2:s distance:d")
 EBV = _struct("healpix_pixel:l ebv:d")
+
+
+def catalog(band: str) -> StructType:
+    """Star catalog of one band."""
+    b = band
+    return _struct(f"objectid:s ra:d dec:d mag_cal_{b}:d mag_starflat_{b}:d mag_before_{b}:d magerr_cal_{b}:d "
+                   f"nobs_{b}:l chi2_{b}:d ebv_sfd:d mag_dered_{b}:d")

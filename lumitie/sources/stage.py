@@ -55,9 +55,17 @@ class Stage:
         self._paths[id(out)] = (path, out)
         return (out, observed.get) if metrics else out
 
+    def clear(self) -> None:
+        """Delete all staged tables, at the end of a run."""
+        self._paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, uri: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a staged table that nothing reads any more."""
         uri, _ = self._paths.pop(id(df), (None, None))
         if uri:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(uri)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lumitie import schema as S
 from lumitie.functions import photometry as P
-from lumitie.operators.relational import keep_first, last_wins
+from lumitie.operators.relational import last_wins
 
-# Raw columns a detection needs; FWHM rides along for the aperture diagnostics.
+# Raw columns a detection needs; FWHM rides along for the aperture diagnostics.
 MEAS_COLUMNS = ("objectid", "exposure", "ccdnum", "mag_aper4", "magerr_aper4", "mjd", "ra", "dec",
-                "x", "y")
+                "x", "y", "fwhm")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -66,7 +66,7 @@ def quality_scan(meas: DataFrame, band: str, cuts) -> DataFrame:
     rows = meas.where(F.col("filter") == band) if "filter" in meas.columns else meas
     rows = rows.where(P.quality_predicate(cuts))
     keep = [c for c in MEAS_COLUMNS if c in rows.columns]
-    return rows.select(*[P.nan_to_null(F.col(c)).alias(c) if c in ("mjd", "ra", "dec", "x", "y")
+    return rows.select(*[P.nan_to_null(F.col(c)).alias(c) if c in ("mjd", "ra", "dec", "x", "y", "fwhm")
                          else F.col(c) for c in keep])
 
 
@@ -106,14 +106,6 @@ def anchor_exposures(anchor: DataFrame, band: str) -> DataFrame:
         "expnum").distinct()
 
 
-def fwhm_table(meas: DataFrame, exposure: DataFrame) -> DataFrame:
-    """(objectid, expnum, ccdnum, fwhm) with repeats dropped."""
-    rows = meas.select("objectid", "exposure", "ccdnum", "fwhm").where(F.col("fwhm").isNotNull())
-    joined = rows.join(exposure.select("exposure", "expnum"), "exposure")
-    return keep_first(joined.select("objectid", "expnum", "ccdnum", "fwhm"),
-                      ["objectid", "expnum", "ccdnum"], ["fwhm"])
-
-
 def pad_columns(df: DataFrame, struct) -> DataFrame:
     """Rows with every declared column; absent ones become typed NULLs."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ def test_quantiles_are_exact(skewed, small):
     probs = {"q0": 0.0, "q2": 0.02, "q5": 0.5, "q9": 0.9, "q1": 1.0}
     acc = 500 if small == 0 else Q.SKETCH_ACCURACY
     keep = df.where("k <> 'c'") if small == 0 else df
-    got = {r.k: r for r in Q.quantiles(keep, "v", probs, ["k"], 10, acc, small).collect()}
+    got = {r.k: r for r in Q.quantiles(keep, "v", probs, ["k"], acc, small).collect()}
     for k in got:
         v = np.array([x for g, x in rows if g == k and x is not None])
         assert got[k].n == len(v)
@@ -31,19 +31,17 @@ def test_quantiles_are_exact(skewed, small):
             assert got[k][name] == pytest.approx(np.quantile(v, q), abs=1e-12)
 
 
-def test_scalar_quantiles_take_both_paths(skewed, monkeypatch):
+def test_scalar_quantiles(skewed):
     df, rows = skewed
     want = np.median([x for _, x in rows if x is not None])
     assert Q.scalar_median(df, "v") == pytest.approx(want)
-    monkeypatch.setattr(Q, "SMALL_COLUMN", 10)
-    assert Q.scalar_median(df, "v") == pytest.approx(want)
     assert Q.scalar_median(df.limit(0), "v") is None
 
 
 def test_robust_sigma_falls_back_to_std(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 1.0, 1.0, 1.0, 5.0)]
                                + [("b", v) for v in (1.0, 2.0, 3.0, 4.0, 50.0)], "k string, v double")
-    got = {r.k: r for r in Q.robust_stats(df, "v", ["k"], 5).collect()}
+    got = {r.k: r for r in Q.robust_stats(df, "v", ["k"]).collect()}
     assert got["a"].sigma == pytest.approx(np.std([1, 1, 1, 1, 5])) and got["b"].sigma == pytest.approx(1.4826)
 
 

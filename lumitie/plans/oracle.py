@@ -611,6 +611,12 @@ def _build() -> dict:
                "- (regr_slope(y, x) FILTER (x > -30.0))*(-30.0) - regr_intercept(y, x) FILTER (x > -30.0) END") + " FROM dec_rows WHERE x > -32.0 AND x < -28.0")
     o["d6_binned_dec"] = statement(
         f"SELECT CAST(floor((x + 35.0e0)/0.5e0) AS INT) AS bin, count(*) AS n, {cols('median=median(y)')} FROM dec_rows GROUP BY ALL HAVING count(*) >= 11")
+    o["d6_binned_ra_split"] = statement(
+        f"SELECT side, CAST(floor((x - 50.0e0)/2.0e0) AS INT) AS bin, count(*) AS n, {cols('median=median(y)')} FROM split_rows WHERE side IS NOT NULL GROUP BY ALL HAVING count(*) >= 11",
+        {"split_rows": "SELECT m.ra_median AS x, CASE WHEN m.dec_median > -30 THEN 'north' WHEN m.dec_median < -30 THEN 'south' END AS side, t.delta_zp*1000 AS y "
+                       "FROM valid_table t JOIN medpos m USING (expnum, ccdnum)"})
+    o["d8_pixel_counts"] = statement("SELECT healpix_pixel, count(*) AS n_detections, count(DISTINCT objectid) AS n_stars FROM det GROUP BY healpix_pixel")
+    o["o2_first_pixels"] = statement("SELECT DISTINCT healpix_pixel FROM det ORDER BY healpix_pixel LIMIT 5")
     m10 = {"m10rows": "SELECT ra_mean AS x, delta_zp AS y FROM ref_table JOIN positions USING (expnum, ccdnum)", **clip_line("m10rows", 3, True)}
     o["m10_ra_gradient"] = statement(f"SELECT {cols('slope_mmag_per_deg=any_value(fb)*1000', 'rms_mmag=stddev_pop(y - fa - fb*x)*1000')} FROM kept, clipfin", m10)
     o["a19_reference_rms"] = statement(

@@ -734,6 +734,26 @@ def d6_binned_dec(w):
         "bin", "n", "median")
 
 
+@query
+def d6_binned_ra_split(w):
+    """Median difference along RA on both sides of declination -30."""
+    return D.binned_along(w.trial_table, D.node_medians(w.dets), "ra_median", D.RA_TWO_DEGREES, split=True).select(
+        "side", "bin", "n", "median")
+
+
+@query
+def d8_pixel_counts(w):
+    """Detections and stars per pixel."""
+    return w.dets.groupBy("healpix_pixel").agg(F.count(F.lit(1)).alias("n_detections"),
+                                               F.countDistinct("objectid").alias("n_stars"))
+
+
+@query
+def o2_first_pixels(w):
+    """The first five pixels that hold detections."""
+    return w.dets.select("healpix_pixel").distinct().orderBy("healpix_pixel").limit(5)
+
+
 @query
 def m10_ra_gradient(w):
     slope, scatter = D.ra_gradient(w.trial_table.where("zp_solved > 1.0"), w.positions)

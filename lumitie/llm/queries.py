@@ -88,13 +88,13 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '') AS w FROM documents),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
 k AS (SELECT DISTINCT least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
-dg AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), i -> array_to_string(w[i:i + k - 1], ' ')))) AS g
+dg AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS g
        FROM dw, k WHERE len(w) >= k),
 ig AS (SELECT item_id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, CAST(len(w) - least(5, len(w)) + 2 AS BIGINT)),
-              i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS g FROM iw WHERE len(w) > 0),
+              lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS g FROM iw WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id)
 SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(any_value(n_item) AS INTEGER) AS n_item,
        count(*) / CAST(any_value(n_item) AS DOUBLE) AS containment
@@ -121,4 +121,17 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN host IN (SELECT host FROM h) THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    "op9_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, unnest(list_distinct(list_transform(range(1, CAST(len(w) - least(5, len(w)) + 2 AS BIGINT)),
+             lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach AS (SELECT rid, doc_id AS root FROM w UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.rid),
+c AS (SELECT rid, min(root) AS class_id FROM reach GROUP BY rid),
+k AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, count(*) OVER (PARTITION BY class_id) AS class_size
+FROM w JOIN c USING (rid) LEFT JOIN k USING (rid)""",
 }

@@ -193,9 +193,16 @@ def solve_anchored(system: N.System, nodes: DataFrame, anchors: DataFrame, cfg,
 
 
 def solve_with_prior(system: N.System, nodes: DataFrame, anchors: DataFrame, zpterm: DataFrame,
-                     strength: float, offset: float, default: float, cfg, stage: Stage,
+                     strength: float, offset: float, default: float | None, cfg, stage: Stage,
                      exclude: DataFrame | None = None):
-    """Solve with every node pulled to its survey zero-point, then shift to the anchors."""
+    """Solve with every node pulled to its survey zero-point, then shift to the anchors.
+
+    A node without one is pulled to ``default``, or to the median of the known targets.
+    """
+    if default is None:
+        known = nodes.join(zpterm, ["expnum", "ccdnum"]).select((F.col("zpterm") + F.lit(offset)).alias("t"))
+        default = scalar_median(known, "t")
+        default = offset if default is None else default
     terms = [N.prior_terms(nodes, zpterm, strength, offset, default)] if strength > 0 else []
     x, info = _run(system, cfg, stage, terms, tikhonov=cfg.solve.tikhonov_reg, mode="prior")
     zp = x.select(*node_columns("i"), F.col("x").alias("zp_solved"))

@@ -253,14 +253,10 @@ def prior_sweep(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, zpt
     clean = stage.write(remove_flagged(star_lists, flagged_stars, None, flagged_exposures,
                                        flagged_nodes, least=1), "prior-lists")
     system = N.accumulate(clean, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
-    known = nodes.join(zpterm, ["expnum", "ccdnum"]).select(
-        (F.col("zpterm") + F.lit(PRIOR_OFFSET)).alias("t"))
-    default = scalar_median(known, "t")
     out = []
     for lam in strengths:
         zp, info = V.solve_with_prior(system, nodes, anchors, zpterm, float(lam), PRIOR_OFFSET,
-                                      default if default is not None else PRIOR_OFFSET, cfg, stage,
-                                      flagged_nodes)
+                                      None, cfg, stage, flagged_nodes)
         table = stage.write(V.zeropoint_table(zp, anchors, "g"), "prior-table")
         slope, scatter = ra_gradient(table, positions, flagged_nodes)
         rms = reference_rms(table, flagged_nodes).first()["rms_mmag"]

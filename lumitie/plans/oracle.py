@@ -404,7 +404,7 @@ def _build() -> dict:
         "l10_unanchored": f"SELECT k.i, coalesce(d, 0) + {tik} AS d, coalesce(b, 0) AS b FROM keyed k LEFT JOIN diag USING (i)",
         "l6_anchored": ("SELECT k.i, coalesce(d, 0) + CASE WHEN zp_fgcm IS NULL THEN 0 ELSE 1.0e6 END AS d, coalesce(b, 0) + coalesce(1.0e6*zp_fgcm, 0) AS b "
                         "FROM keyed k LEFT JOIN diag USING (i) LEFT JOIN good_anchors USING (expnum, ccdnum)"),
-        "l7_prior_solve": (f"SELECT k.i, coalesce(d, 0) + 300.0e0 + {tik} AS d, coalesce(b, 0) + 300.0e0*coalesce(zpterm + 31.4389e0, 31.4e0) AS b "
+        "l7_prior_solve": (f"SELECT k.i, coalesce(d, 0) + 300.0e0 + {tik} AS d, coalesce(b, 0) + 300.0e0*coalesce(zpterm + 31.4389e0, (SELECT median(zpterm + 31.4389e0) FROM nodes JOIN zpterms USING (expnum, ccdnum))) AS b "
                            "FROM keyed k LEFT JOIN diag USING (i) LEFT JOIN zpterms USING (expnum, ccdnum)"),
     }
     for name, vec in systems.items():

@@ -335,7 +335,7 @@ def l6_anchored(w):
 
 @query
 def l7_prior_solve(w):
-    return V.solve_with_prior(w.system, w.nodes, w.anchors, w.zpterm, 300.0, D.PRIOR_OFFSET, 31.4,
+    return V.solve_with_prior(w.system, w.nodes, w.anchors, w.zpterm, 300.0, D.PRIOR_OFFSET, None,
                               w.cfg, w.stage)[0]
 
 

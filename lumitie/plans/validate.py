@@ -207,24 +207,26 @@ def gaia_rows(catalog: DataFrame, gaia: DataFrame, band: str, colours: DataFrame
 
 
 def gaia_comparison(catalog: DataFrame, gaia: DataFrame, band: str, stage: Stage,
-                    colours: DataFrame | None = None, degree: int = 5) -> DataFrame:
+                    colours: DataFrame | None = None, degree: int = 5, least_colours: int = 1000) -> DataFrame:
     """Degree-5 colour term against Gaia, before and after, on the same stars.
 
-    The survey's own g - r is the colour when more than 1000 stars have it, else BP - RP.
+    The survey's own g - r is the colour when more than ``least_colours`` stars have it, else
+    BP - RP; ``survey_colour`` in the result says which (1 or 0).
     """
     own = False
     if colours is not None:
         colours = stage.write(colours, "colours")
         mag = F.col(f"mag_cal_{band}")
         seen = catalog.where((F.col(f"nobs_{band}") >= 3) & (mag > 15.0) & (mag < 22.0)).join(colours, "objectid", "left_semi").count()
-        own = seen > 1000
+        own = seen > least_colours
     rows = stage.write(gaia_rows(catalog, gaia, band, colours, own), "gaia-rows")
     n = rows.count()
     fit, keep = (colour_polynomial(rows, "color", "delta", degree) if n >= 50
                  else (None, F.lit(True)))
     model = P.polynomial(F.col("color"), fit.coeffs) if fit else F.lit(0.0)
     names = [f"color_term_c{k}" for k in range(degree, -1, -1)]
-    return _colour_result(rows, fit, keep, model, "Test 4: Gaia comparison", 50.0, True, names)
+    out = _colour_result(rows, fit, keep, model, "Test 4: Gaia comparison", 50.0, True, names)
+    return out.withColumn("survey_colour", F.lit(int(own)))
 
 
 def ps1_rows(catalog: DataFrame, ps1: DataFrame, band: str) -> DataFrame:

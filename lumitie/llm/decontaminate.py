@@ -112,6 +112,11 @@ def build_index(items: list[tuple], threshold: float) -> Index:
     return Index(ids, sets, classes, sorted_minima, filters, threshold)
 
 
+def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted, non-empty array."""
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
 def search(text: str | None, index: Index, hasher: MinHash) -> list[tuple]:
     """(item id, shingles shared, shingles of the item) of the items that a whole text contains."""
     words = word_hashes(text)
@@ -119,7 +124,9 @@ def search(text: str | None, index: Index, hasher: MinHash) -> list[tuple]:
     for width in sorted(index.minima):
         shingles = shingle_hashes(words, width)
         maybe = np.flatnonzero(index.filters[width][shingles >> np.uint64(64 - FILTER_BITS)])
-        hits = maybe[np.isin(shingles[maybe], index.minima[width])]
+        if not len(maybe):
+            continue
+        hits = maybe[_member(shingles[maybe], index.minima[width])]
         if not len(hits):
             continue
         candidates: set[int] = set()
@@ -140,8 +147,7 @@ def search(text: str | None, index: Index, hasher: MinHash) -> list[tuple]:
             own = np.unique(shingles)
             for at in sorted(candidates):
                 item = index.sets[at]
-                place = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                shared = int((own[place] == item).sum())
+                shared = int(_member(item, own).sum())
                 if shared >= index.threshold * len(item):
                     out.append((index.ids[at], shared, len(item)))
     return out

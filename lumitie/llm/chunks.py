@@ -21,13 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumitie.llm.urlfilter import bitmap_level
+from lumitie.llm.prefilter import Prefilter
 from lumitie.sources.stage import Stage
 
 REACH = 20
 LEAST_BYTES = 80
 WINDOW = 32
-FILTER_SHARDS = 1024
 PIECE = 4 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -112,8 +111,7 @@ def repeated_passages(docs: DataFrame, stage: Stage, least_bytes: int = LEAST_BY
     each = F.xxhash64("doc_id", "t", "idx")
     often = stage.write(found.groupBy("d1").agg(F.min(each).alias("a"), F.max(each).alias("b")).where("a <> b").select(F.col("d1").alias("key")),
                         "often")
-    level = bitmap_level(often, often.count(), FILTER_SHARDS)
-    near = level.probe(found, "d1", "_may").where("_may").drop("_may")
+    near = Prefilter(often, stage).keep(found, "d1")
     digests = near.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     again = (near.join(digests.select("d1", "d2", "first"), ["d1", "d2"])
              .select("doc_id", "t", "idx", "start", "stop", (place == F.col("first")).alias("is_first"), F.col("first.doc_id").alias("from"))

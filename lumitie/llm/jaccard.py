@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumitie.llm.prefilter import Prefilter
 from lumitie.llm.shingle import MinHash, shingle_set, word_hashes
-from lumitie.llm.urlfilter import bitmap_level
 from lumitie.operators.graph import connected_components
 from lumitie.sources.stage import Stage
 
@@ -38,8 +38,6 @@ TOLERANCE = 1e-6
 STEPS = (16, 32, 64, HASHES)
 BUCKET_BLOCK = 256
 CLUSTER_BLOCK, CLUSTER_SHINGLES = 128, 400_000
-#: Bytes of the filter that keeps texts without any candidate from being moved.
-FILTER_SHARDS = 1024
 COLUMNS = 1 << 14
 
 
@@ -224,12 +222,11 @@ def verified_links(members: DataFrame) -> DataFrame:
             .mapInArrow(run, "rid long, links long, root long, blocks int"))
 
 
-def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, stage: Stage) -> DataFrame:
     """``members`` with their text; rows of ``docs`` that no member needs are left where they are."""
     keys = members.select(F.concat_ws(":", "t1", "t2").alias("key"))
-    level = bitmap_level(keys, members.count(), FILTER_SHARDS)
     rows = docs.where("text is not null").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.col("text"), F.lit(7)).alias("t2"), "text")
-    near = level.probe(rows.withColumn("_key", F.concat_ws(":", "t1", "t2")), "_key", "_may").where("_may").select("t1", "t2", "text")
+    near = Prefilter(keys, stage).keep(rows.withColumn("_key", F.concat_ws(":", "t1", "t2")), "_key").select("t1", "t2", "text")
     return members.join(near.groupBy("t1", "t2").agg(F.first("text").alias("text")), ["t1", "t2"])
 
 
@@ -244,7 +241,7 @@ def classes(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     clusters = connected_components(surviving_edges(contents, stage), stage)
     members = stage.write(clusters.select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
                           .join(contents.select("rid", "n", "copies", "t.t1", "t.t2"), "rid"), "members")
-    found = stage.write(verified_links(_texts(docs, members)), "links")
+    found = stage.write(verified_links(_texts(docs, members, stage)), "links")
     whole = found.where("blocks = 1").select("rid", "root")
     cut = stage.write(found.where("blocks > 1 and rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v")).distinct(), "edges")
     if not cut.isEmpty():
@@ -286,10 +283,10 @@ def one_of_each_class(docs: DataFrame, stage: Stage) -> DataFrame:
     judged = keys.join(best, "root").withColumn("keep", F.col("best") == order)
     touched = stage.write(judged.where("not keep or rows > 1").select("doc_id", "t1", "t2", "keep"), "touched")
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "t1", "t2")
-    level = bitmap_level(touched.select(name.alias("key")), touched.count(), FILTER_SHARDS)
+    level = Prefilter(touched.select(name.alias("key")), stage)
     columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     marked = docs.select(*columns, "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.col("text"), F.lit(7)).alias("t2"))
-    marked = level.probe(marked.withColumn("_key", name), "_key", "_may")
+    marked = level.mark(marked.withColumn("_key", name), "_key", "_may")
     gone = touched.select(name.alias("_key"), "keep").distinct()
     kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
     moved = marked.where("_may").join(gone, "_key", "left")

@@ -22,7 +22,7 @@ from lumitie.sources.stage import Stage
 
 SHARD_BITS = 32_768
 SHARD_BYTES = SHARD_BITS // 8
-MAX_LITERAL_BYTES = 4 << 20
+MAX_LITERAL_BYTES = 256 << 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -119,14 +119,6 @@ def build_level(keys: DataFrame, number: int, count: int, rate: float, stage: St
     return level
 
 
-def bitmap_level(keys: DataFrame, count: int, most_shards: int) -> Level:
-    """A single filter of at most so many shards, as a constant; with too many keys it lets more through."""
-    shards = min(most_shards, max(1, math.ceil(count * 8 / SHARD_BITS)))
-    level = Level(1, shards, 3, None)
-    level.data = _literal(_bitmaps(keys, level), shards)
-    return level
-
-
 def build_cascade(universe: DataFrame, stage: Stage, max_literal: int = MAX_LITERAL_BYTES) -> list[Level]:
     """Levels for ``universe``: distinct non-null ``key`` and a boolean ``listed``.
 

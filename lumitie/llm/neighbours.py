@@ -191,11 +191,10 @@ def _compared(met: DataFrame, k: int) -> DataFrame:
     return met.select("q", "m").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _grouped(visits: DataFrame) -> DataFrame:
-    """Queries of each cell in blocks of bounded size."""
-    many = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-    return (visits.join(many, "cell").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")))
-            .groupBy("cell", "p").agg(F.collect_list(F.struct("id", "v", "radius")).alias("q")).select("cell", "q"))
+def _grouped(visits: DataFrame, parts: int, key: str = "cell") -> DataFrame:
+    """Queries of each cell in blocks of bounded size; ``parts`` divides all queries into such blocks."""
+    return (visits.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy(key, *(["p"] if key != "p" else []))
+            .agg(F.collect_list(F.struct("id", "v", "radius")).alias("q")).select(key, "q"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -204,16 +203,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _search(queries: DataFrame, index: DataFrame, grid: Grid, k: int, stage: Stage) -> DataFrame:
-    start = queries.select("id", "v", F.lit(grid.width).alias("radius"))
-    visits = _visited(start, grid, True).withColumn("radius", F.lit(float("inf")))
-    near = stage.write(_best(_compared(_grouped(visits).join(index.select("cell", "m"), "cell"), k), k), "first")
+    """Both rounds; joins are merged, as what a query visits is far larger than Catalyst expects from its input."""
+    parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    blocks = index.select("cell", "m").hint("merge")
+
+    def met(visits: DataFrame) -> DataFrame:
+        return _compared(_grouped(visits, parts).hint("merge").join(blocks, "cell"), k)
+
+    start = queries.select("id", "v", F.lit(grid.width).alias("radius")).repartition("id")
+    near = stage.write(_best(met(_visited(start, grid, True).withColumn("radius", F.lit(float("inf")))), k), "first")
     reach = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("radius")).where(F.col("n") >= k)
     known = stage.write(queries.join(reach.select(F.col("query_id").alias("id"), "radius"), "id", "left"), "radii")
-    second = _compared(_grouped(_visited(known.where("radius is not null").select("id", "v", "radius"), grid, False))
-                       .join(index.select("cell", "m"), "cell"), k)
-    few = known.where("radius is null").select(F.lit(0).cast("long").alias("cell"), "id", "v", F.lit(float("inf")).alias("radius"))
-    every = _compared(_grouped(few).crossJoin(index.where("t = 0").select("m")), k)
-    return _best(near.select("query_id", "vec_id", "score").unionByName(second).unionByName(every), k)
+    found = near.select("query_id", "vec_id", "score").unionByName(
+        met(_visited(known.where("radius is not null").select("id", "v", "radius").repartition("id"), grid, False)))
+    few = known.where("radius is null")
+    if not few.isEmpty():
+        # every block of one table meets every block of these queries
+        each = index.where("t = 0").select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
+        wanted = _grouped(few.select("id", "v", F.lit(float("inf")).alias("radius")), parts, "p")
+        found = found.unionByName(_compared(wanted.hint("merge").join(each.hint("merge"), "p"), k))
+    return _best(found, k)
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, stage: Stage, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumitie.llm.batches import small_batches
+
 #: Largest rank file that is sent to the executors.
 MAX_RANK_BYTES = 64 << 20
 #: Pre-tokens a worker remembers, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
 #: Above every rank.
 NO_RANK = 1 << 40
 
@@ -202,6 +204,7 @@ def encode(docs: DataFrame, shared, text: str = "text", keep=("doc_id",)) -> Dat
     A null or empty text has no ids.  Every row gives a row, repeated ones too; other columns
     are left out, so their names cannot clash.
     """
+    small_batches(docs.sparkSession)
     part = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
 
     def run(batches):

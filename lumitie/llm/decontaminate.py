@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumitie.llm.batches import small_batches
 from lumitie.llm.shingle import WORDS, MinHash, mixed, shingle_hashes, word_hashes
 from lumitie.sources.stage import Stage
 
@@ -155,6 +156,7 @@ def search(text: str | None, index: Index, hasher: MinHash) -> list[tuple]:
 
 def blocks(items: DataFrame, item_id: str, text: str, threshold: float) -> Iterator[Index]:
     """Indexes of bounded size over all items, one after the other; null and empty texts are left out."""
+    small_batches(items.sparkSession)
     block, size = [], 0
     for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         words = word_hashes(row["t"])

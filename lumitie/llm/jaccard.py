@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumitie.llm.batches import small_batches
 from lumitie.llm.prefilter import Prefilter
 from lumitie.llm.shingle import MinHash, shingle_set, word_hashes
 from lumitie.operators.graph import connected_components
@@ -66,6 +67,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     content is null for a text without words.
     """
+    small_batches(docs.sparkSession)
     part = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.col("text"), F.lit(7)).alias("t2"), F.col("text").alias("_text"))
     schema = (StructType(list(part.drop("_text").schema.fields)).add("content", "binary").add("n", "integer")
               .add("bands", "binary").add("low", "binary"))

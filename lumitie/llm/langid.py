@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumitie.llm.batches import small_batches
+
 #: Labelled documents per language that a model is learnt from, about.
 PER_LANGUAGE = 2_000
 MAX_LANGUAGES = 64
@@ -105,6 +107,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame) -> Model:
     """Models from text and lang of the documents that are not held out; null texts and languages are left out."""
+    small_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lumitie.llm.batches import small_batches
 from lumitie.sources.stage import Stage
 
 KINDS = ("email", "ipv4", "ipv6", "iban", "ssn", "card", "phone", "name")
@@ -294,6 +295,7 @@ def collisions(found: DataFrame) -> DataFrame:
 
 def settled(docs: DataFrame, key: bytes, stage: Stage, text: str = "text") -> Surrogates:
     """Surrogates without collisions over the corpus."""
+    small_batches(docs.sparkSession)
     keyed = Surrogates(key)
     found = stage.write(entities(docs, keyed, text), "entities")
     while True:

@@ -7,7 +7,7 @@ import xxhash
 
 #: Words in a shingle.
 WORDS = 5
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 

@@ -8,7 +8,7 @@ equal chunks wherever they stand, whatever was inserted before; and chunks canno
 Chunks are deduplicated by a 128-bit digest.  Half of it is counted first, with a partial aggregation before the
 shuffle, so a chunk that fills a third of the corpus arrives as one row per task.  A filter of bounded
 size then holds the chunks that may be repeated, and only those are moved with their places.  Neighbouring
-repeated chunks form a passage; passages of at least ``LEAST_BYTES`` are reported.
+repeated chunks form a run; runs of at least ``LEAST_BYTES`` are reported, in a passage for each source of their chunks.
 """
 
 from __future__ import annotations
@@ -102,9 +102,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, stage: Stage, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, t, start, stop, first_doc_id, keep: the passages of each text that occur elsewhere, in bytes of UTF-8.
 
-    ``keep`` marks passages all of whose chunks occur here first: in the smallest doc_id, then by text and place.
-    first_doc_id is where the first chunk occurs first.  Rows with the same id and text are one document, so they do not
-    repeat each other; a null id comes first.  Documents without repeated passages give no row.
+    Runs of neighbouring repeated chunks of at least ``least_bytes`` are divided into passages where the place of the first
+    occurrence changes, so a passage may be shorter.  ``keep`` marks passages that occur here first: in the smallest
+    doc_id, then by text and place; first_doc_id is where all chunks of the passage occur first.  Rows with the same id
+    and text are one document, so they do not repeat each other; a null id comes first.  Documents without repeated
+    passages give no row.
     """
     found = stage.write(chunks(docs), "chunks")
     place = F.struct("doc_id", "t", "idx")
@@ -117,11 +119,13 @@ def repeated_passages(docs: DataFrame, stage: Stage, least_bytes: int = LEAST_BY
              .select("doc_id", "t", "idx", "start", "stop", (place == F.col("first")).alias("is_first"), F.col("first.doc_id").alias("from"))
              .dropDuplicates(["doc_id", "t", "idx"]))
     order = Window.partitionBy("doc_id", "t").orderBy("idx")
-    runs = again.withColumn("run", F.col("idx") - F.row_number().over(order))
-    return (runs.groupBy("doc_id", "t", "run")
-            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("from", "idx").alias("first_doc_id"),
-                 F.bool_and("is_first").alias("keep"))
-            .where(F.col("stop") - F.col("start") >= least_bytes).drop("run"))
+    run = Window.partitionBy("doc_id", "t", "run")
+    alike = Window.partitionBy("doc_id", "t", "is_first", "from").orderBy("idx")
+    return (again.withColumn("run", F.col("idx") - F.row_number().over(order))
+            .withColumn("bytes", F.max("stop").over(run) - F.min("start").over(run)).where(F.col("bytes") >= least_bytes)
+            .withColumn("piece", F.col("idx") - F.row_number().over(alike))
+            .groupBy("doc_id", "t", "is_first", "from", "piece").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+            .select("doc_id", "t", "start", "stop", F.col("from").alias("first_doc_id"), F.col("is_first").alias("keep")))
 
 
 def without_repeats(docs: DataFrame, stage: Stage, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -99,3 +99,25 @@ def test_planted_passages_are_caught(spark, stage):
     rows = [(i, f"{text(rng, 80)} {passage} {text(rng, 80)}" if i % 4 == 0 else text(rng, 160)) for i in range(80)]
     got = {r.doc_id for r in C.report(spark.createDataFrame(rows, "doc_id long, text string"), stage).collect()}
     assert got == {i for i in range(80) if i % 4 == 0}
+
+
+def test_every_repeated_chunk_stays_at_its_first_place(spark, stage):
+    rng = random.Random(5)
+    one, two, own = text(rng, 60), text(rng, 60), text(rng, 50)
+    copy = f"{own} {one} {two} {text(rng, 30)}"
+    rows = [(1, f"{text(rng, 30)} {one} {text(rng, 20)}"), (2, f"{text(rng, 30)} {two} {text(rng, 20)}"), (5, copy), (9, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = {i: [t.encode()[a:b] for a, b in zip([0, *brute_ends(t.encode())], brute_ends(t.encode()))] for i, t in rows}
+    first = {}
+    for i in sorted(pieces):
+        for chunk in pieces[i]:
+            first.setdefault(chunk, i)
+    shared = set(pieces[1]) & set(pieces[5]) | set(pieces[2]) & set(pieces[5])
+    assert {first[c] for c in shared} == {1, 2} and len(set(pieces[5]) - shared) > 10
+    left = {r.doc_id: r.text for r in C.without_repeats(docs, stage).collect()}
+    assert left == {i: b"".join(c for c in pieces[i] if first[c] == i).decode() for i in pieces}
+    assert left[5] and not left[9]
+    got = C.report(docs, stage).collect()
+    assert {(r.first_doc_id, r.keep) for r in got if r.doc_id == 5} == {(1, False), (2, False), (5, True)}
+    assert {(r.first_doc_id, r.keep) for r in got if r.doc_id == 9} == {(1, False), (2, False), (5, False)}
+    assert sum(r.n_bytes for r in got if r.doc_id in (5, 9)) == 2 * len(copy.encode())

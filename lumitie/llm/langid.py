@@ -5,19 +5,21 @@ of languages: expectation-maximisation estimates their shares, and languages are
 best single one only while the gain in log-likelihood exceeds a penalty.
 
 The models are learnt from a bounded sample, about ``PER_LANGUAGE`` documents of each language, chosen by
-the hash of their id.  Counts merge in Spark; languages times ``BUCKETS`` numbers reach the driver,
-with at most ``MAX_LANGUAGES`` languages.  Prediction is narrow and reads whole texts in pieces.
+the hash of their id.  Counts merge in Spark, and those above zero reach the driver and, once, each executor: at most
+``BUCKETS`` of a language, 12 bytes each, for any number of languages.  Prediction is narrow and reads whole texts in
+pieces; a text meets all languages, ``CELLS`` probabilities at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,8 +28,9 @@ from lumitie.llm.batches import small_batches
 
 #: Labelled documents per language that a model is learnt from, about.
 PER_LANGUAGE = 2_000
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
+#: Probabilities of a text's trigrams held at once.
+CELLS = 1 << 22
 SMOOTHING = 0.5
 ROUNDS = 12
 #: Gain in log-likelihood, times the logarithm of the number of trigrams, that one more language must bring.
@@ -61,34 +64,75 @@ def trigram_counts(text: str) -> np.ndarray | None:
     return counts if some else None
 
 
+@dataclass
+class Smoothed:
+    """Smoothed trigram probabilities from the counts above zero, sorted by bucket; indexing gives rows of the full table."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    counts: np.ndarray
+    totals: np.ndarray
+
+    @classmethod
+    def of(cls, buckets: np.ndarray, columns: np.ndarray, counts: np.ndarray, languages: int) -> Smoothed:
+        order = np.argsort(buckets, kind="stable")
+        totals = SMOOTHING * BUCKETS + np.bincount(columns, counts, languages)
+        return cls(np.searchsorted(buckets[order], np.arange(BUCKETS + 1)), columns[order].astype(np.int32), counts[order].astype(np.int64), totals)
+
+    def __getitem__(self, buckets: np.ndarray) -> np.ndarray:
+        sizes = self.starts[buckets + 1] - self.starts[buckets]
+        rows = np.repeat(np.arange(len(buckets)), sizes)
+        at = np.arange(len(rows)) + np.repeat(self.starts[buckets] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.full((len(buckets), len(self.totals)), SMOOTHING)
+        out[rows, self.columns[at]] += self.counts[at]
+        return out / self.totals
+
+
+#: Gives the parts of a text: probabilities of some of its trigrams, one column per language, and their counts.
+Parts = Callable[[], "Iterator[tuple[np.ndarray, np.ndarray]]"]
+
+
 @dataclass
 class Model:
     """Languages and their trigram probabilities, one column each."""
 
     languages: list[str]
-    probabilities: np.ndarray
-
-    def shares(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-        """Shares of the columns of ``p`` by expectation-maximisation, and the log-likelihood they reach."""
-        share, total = np.full(p.shape[1], 1.0 / p.shape[1]), n.sum()
+    probabilities: np.ndarray | Smoothed
+
+    def parts(self, at: np.ndarray, n: np.ndarray) -> Parts:
+        """Parts of a text with counts ``n`` in the buckets ``at``; a single one is kept, several are made anew each time."""
+        rows = max(1, CELLS // max(1, len(self.languages)))
+        if len(at) <= rows:
+            whole = [(self.probabilities[at], n)]
+            return lambda: iter(whole)
+        return lambda: ((self.probabilities[at[i:i + rows]], n[i:i + rows]) for i in range(0, len(at), rows))
+
+    def shares(self, parts: Parts, columns: int, total: float) -> tuple[np.ndarray, float]:
+        """Shares of the columns by expectation-maximisation, and the log-likelihood they reach."""
+        share = np.full(columns, 1.0 / columns)
         for _ in range(ROUNDS):
-            weighted = p * share
-            share = (n / weighted.sum(axis=1)) @ weighted / total
-        return share, float(n @ np.log(p @ share))
+            summed = np.zeros(columns)
+            for p, n in parts():
+                weighted = p * share
+                summed += (n / weighted.sum(axis=1)) @ weighted
+            share = summed / total
+        return share, float(sum(n @ np.log(p @ share) for p, n in parts()))
 
     def mixture(self, counts: np.ndarray) -> tuple[dict[str, float], float, float]:
         """Selected languages with their shares; the score of the first; mean log-likelihood over that of a uniform source."""
         at = np.flatnonzero(counts)
-        n, p = counts[at].astype(float), self.probabilities[at]
-        single = n @ np.log(p)
+        n = counts[at].astype(float)
+        parts, total = self.parts(at, n), n.sum()
+        single = sum(m @ np.log(p) for p, m in parts())
         chosen = [int(single.argmax())]
         share, best = np.ones(1), float(single.max())
-        least = PENALTY * math.log(n.sum() + 1)
+        least = PENALTY * math.log(total + 1)
         if len(self.languages) > 1:
-            overall, reach = self.shares(p, n)
+            overall, reach = self.shares(parts, len(self.languages), total)
             while reach - best >= least and len(chosen) < len(self.languages):
                 extra = int(np.argmax(np.where(np.isin(np.arange(len(overall)), chosen), -1, overall)))
-                wider, value = self.shares(p[:, [*chosen, extra]], n)
+                some = [(p[:, [*chosen, extra]], m) for p, m in parts()]
+                wider, value = self.shares(lambda some=some: iter(some), len(chosen) + 1, total)
                 if value - best < least:
                     break
                 chosen, share, best = [*chosen, extra], wider, value
@@ -97,7 +141,7 @@ class Model:
         else:
             score = float(share.max())
         order = sorted(range(len(chosen)), key=lambda k: (-share[k], self.languages[chosen[k]]))
-        return {self.languages[chosen[k]]: float(share[k]) for k in order}, score, best / n.sum() + math.log(BUCKETS)
+        return {self.languages[chosen[k]]: float(share[k]) for k in order}, score, best / total + math.log(BUCKETS)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -109,32 +153,32 @@ def learn(docs: DataFrame) -> Model:
     """Models from text and lang of the documents that are not held out; null texts and languages are left out."""
     small_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)))
-    part = F.lit(0)
-    for lang, count in sizes.items():
-        part = F.when(F.col("lang") == lang, int(min(1.0, PER_LANGUAGE / count) * 1_000_000)).otherwise(part)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).select("text", "lang")
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PER_LANGUAGE)
+    part = F.coalesce((F.lit(PER_LANGUAGE) / F.col("_n") * 1_000_000).cast("int"), F.lit(1_000_000))
+    # at most a row of ``often`` for PER_LANGUAGE documents; the sample is sorted so that a task holds one language's counts at a time
+    sample = (usable.join(F.broadcast(often), "lang", "left").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+              .select("text", "lang").sortWithinPartitions("lang"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        def rows(lang: str | None, total: np.ndarray) -> pd.DataFrame:
+            at = np.flatnonzero(total)
+            return pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
+
+        last, total = None, np.zeros(BUCKETS, np.int64)
         for frame in frames:
             for text, lang in frame.itertuples(index=False):
+                if lang != last:
+                    yield rows(last, total)
+                    last, total = lang, np.zeros(BUCKETS, np.int64)
                 if (found := trigram_counts(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + found
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
+                    total += found
+        yield rows(last, total)
 
-    rows = (sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-            .toPandas())
-    languages = sorted(rows["lang"].unique())
-    table = np.full((BUCKETS, len(languages)), SMOOTHING)
-    table[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)})] += rows["n"]
-    return Model(languages, table / table.sum(axis=0))
+    found = (sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+             .toArrow().combine_chunks())
+    languages = sorted(found["lang"].unique().to_pylist())
+    column = pc.index_in(found["lang"], pa.array(languages, pa.string())).to_numpy()
+    return Model(languages, Smoothed.of(found["bucket"].to_numpy(), column, found["n"].to_numpy(), len(languages)))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -144,7 +188,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ``languages`` lists the mixture as ``language:share``, the largest first.  ``fit`` is the mean log-likelihood of a
     trigram under the mixture over that under a uniform source.  Each row stands for itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES doubles at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     part = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
 
     def one(text: str | None) -> tuple[str, float, str, float]:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -60,3 +61,26 @@ def test_edge_rows(spark, docs, model):
 def test_shares_of_equal_models():
     m = L.Model(["a", "b"], np.full((L.BUCKETS, 2), 1 / L.BUCKETS))
     assert list(m.mixture(L.trigram_counts("some text"))[0]) == ["a"]
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(12)] for i in range(150)}
+    rows = [(i * 20 + j, " ".join(rng.choice(w) for _ in range(80)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs)
+    assert model.languages == sorted(words)
+    table = np.full((L.BUCKETS, len(words)), L.SMOOTHING)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            table[:, model.languages.index(lang)] += L.trigram_counts(text)
+    dense = L.Model(model.languages, table / table.sum(axis=0))
+    assert (model.probabilities[np.arange(L.BUCKETS)] == dense.probabilities).all()
+    out = {r.doc_id: r.lang_pred for r in L.report(docs).collect()}
+    assert np.mean([out[i] == lang for i, _, lang in rows]) > 0.99 and L.in_learnt_language(docs).count() == len(rows)
+    counts = L.trigram_counts(rows[3][1] + " " + rows[900][1])
+    whole, score, fit = dense.mixture(counts)
+    assert set(whole) == {rows[3][2], rows[900][2]} and model.mixture(counts) == (whole, score, fit)
+    monkeypatch.setattr(L, "CELLS", 1000)
+    parts, score_, fit_ = model.mixture(counts)
+    assert list(parts) == list(whole) and np.allclose([*parts.values(), score_, fit_], [*whole.values(), score, fit])

@@ -8,7 +8,8 @@ clusters, inside which every pair is verified by its exact shingle sets.
 
 Pairs never become rows.  Buckets and clusters are cut into blocks of bounded size, blocks meet in pairs, a task
 compares two blocks as matrices and returns a forest over the matches and the links of each text.
-The work on a group is spread over all its pairs of blocks, and nothing grows with a group but their number.
+The pairs of blocks of a group are dealt in squares of bounded size, each by its own key, and nothing grows with a group
+but their number.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ STEPS = (16, 32, 64, HASHES)
 BUCKET_BLOCK = 256
 CLUSTER_BLOCK, CLUSTER_SHINGLES = 128, 400_000
 COLUMNS = 1 << 14
+#: Blocks along a side of a square of block pairs; a square is dealt to a task by itself.
+SPAN = 8
 
 
 @lru_cache
@@ -113,10 +116,15 @@ def _block_pairs(blocks: DataFrame, key: str) -> DataFrame:
     ``blocks``: key, block, blocks (their number under the key), m (members).
     """
     alone = blocks.select(F.col("m").alias("a"), F.lit(None).cast(blocks.schema["m"].dataType).alias("b"), F.col("blocks"), F.col(key).alias("key"))
-    several = blocks.where("blocks > 1")
-    left = several.select(F.col(key).alias("key"), F.col("block").alias("i"), F.col("m").alias("a"), "blocks")
-    right = several.select(F.col(key).alias("key"), F.col("block").alias("j"), F.col("m").alias("b"))
-    met = left.join(right, "key").where(F.col("i") < F.col("j")).select("a", "b", "blocks", "key")
+    several = blocks.where("blocks > 1").select(F.col(key).alias("key"), "block", "m", "blocks", F.expr(f"block div {SPAN}").alias("own"))
+    # a row for each square of the grid of pairs that a block takes part in, so that no task has to do a whole group
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {SPAN}"))).alias("other")
+    each = several.select("*", other)
+    left = each.where("own <= other").select("key", F.col("own").alias("down"), F.col("other").alias("across"), F.col("block").alias("i"),
+                                             F.col("m").alias("a"), "blocks")
+    right = each.where("own >= other").select("key", F.col("other").alias("down"), F.col("own").alias("across"), F.col("block").alias("j"),
+                                              F.col("m").alias("b"))
+    met = left.join(right, ["key", "down", "across"]).where(F.col("i") < F.col("j")).select("a", "b", "blocks", "key")
     return alone.unionByName(met)
 
 

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumitie.llm import jaccard as J
 from lumitie.llm.shingle import WORDS
@@ -99,3 +101,19 @@ def test_pruning_rule():
     b = np.where(rng.random((300, 96)) < 0.8, a, rng.integers(0, 256, (300, 96), dtype=np.uint8))
     keep = J._compare(a, b)
     assert keep.diagonal().all() and keep.sum() == 300
+
+
+def test_block_pairs_of_one_group_are_spread(spark):
+    n, conf = 40, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        blocks = spark.createDataFrame([(7, i, n, i) for i in range(n)] + [(8, 0, 1, 100)], "band long, block int, blocks int, m int")
+        rows = J._block_pairs(blocks, "band").where("b is not null").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.a, r.b) for r in rows) == [(i, j) for i in range(n) for j in range(i + 1, n)]
+    tasks = Counter(r.task for r in rows)
+    assert len(tasks) > 5 and max(tasks.values()) < len(rows) / 3

@@ -9,7 +9,8 @@ merged and ranked by exact distance.  A query whose first round finds too few is
 every vector.
 
 Only the cell width is fitted, on at most ``SAMPLE`` vectors; every vector is indexed.  Cells are cut into blocks of
-bounded size, queries of a cell as well; a task compares a block with a block.
+bounded size, queries of a cell as well; a task compares a block with a block, and every block of a large cell has its own
+join key.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ MOST_FUNCTIONS = 10
 #: Vectors per cell aimed at, cells per projection within two standard deviations, cells of the first round.
 PER_CELL, CELLS_PER_AXIS, FIRST_PROBES = 128, 2.5, 16
 VECTOR_BLOCK, QUERY_BLOCK = 512, 256
-MOST_LENGTHS = 64
+#: Vector blocks that a block of queries without a radius meets in one task, about.
+SPAN = 8
 
 
 @dataclass
@@ -205,10 +207,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _search(queries: DataFrame, index: DataFrame, grid: Grid, k: int, stage: Stage) -> DataFrame:
     """Both rounds; joins are merged, as what a query visits is far larger than Catalyst expects from its input."""
     parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    blocks = index.select("cell", "m").hint("merge")
+    blocks = index.select("cell", "part", "m").hint("merge")
+    # at most a row of 16 bytes for VECTOR_BLOCK vectors of a table
+    large = index.where("part > 0").groupBy("cell").agg(F.max("part").alias("last"))
 
     def met(visits: DataFrame) -> DataFrame:
-        return _compared(_grouped(visits, parts).hint("merge").join(blocks, "cell"), k)
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("part")
+        wanted = _grouped(visits, parts).join(F.broadcast(large), "cell", "left").select("cell", each, "q")
+        return _compared(wanted.hint("merge").join(blocks, ["cell", "part"]), k)
 
     start = queries.select("id", "v", F.lit(grid.width).alias("radius")).repartition("id")
     near = stage.write(_best(met(_visited(start, grid, True).withColumn("radius", F.lit(float("inf")))), k), "first")
@@ -219,9 +225,13 @@ def _search(queries: DataFrame, index: DataFrame, grid: Grid, k: int, stage: Sta
     few = known.where("radius is null")
     if not few.isEmpty():
         # every block of one table meets every block of these queries
-        each = index.where("t = 0").select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
-        wanted = _grouped(few.select("id", "v", F.lit(float("inf")).alias("radius")), parts, "p")
-        found = found.unionByName(_compared(wanted.hint("merge").join(each.hint("merge"), "p"), k))
+        own = index.where("t = 0")
+        spans = math.ceil(own.count() / SPAN)
+        each = own.select("m", F.pmod(F.xxhash64("cell", "part"), F.lit(spans)).alias("span"),
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
+        wanted = (_grouped(few.select("id", "v", F.lit(float("inf")).alias("radius")), parts, "p")
+                  .select("p", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans - 1).cast("long"))).alias("span")))
+        found = found.unionByName(_compared(wanted.hint("merge").join(each.hint("merge"), ["p", "span"]), k))
     return _best(found, k)
 
 
@@ -233,14 +243,14 @@ def nearest(embeddings: DataFrame, queries: DataFrame, stage: Stage, k: int = 10
     """
     vectors = stage.write(usable(embeddings, vec_id, vector), "vectors")
     wanted = stage.write(usable(queries, vec_id, vector).dropDuplicates(["id", "length"]), "queries")
-    lengths = vectors.groupBy("length").count().limit(MOST_LENGTHS + 1).collect()
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    lengths = vectors.groupBy("length").count().join(wanted.select("length").distinct(), "length").collect()
     out = None
     for row in sorted(lengths):
         grid = fit(vectors, row["length"], row["count"])
         index = build_index(vectors, grid, stage)
         found = _search(wanted.where(F.col("length") == row["length"]).select("id", "v"), index, grid, k, stage)
+        if len(lengths) > 1:
+            found = stage.write(found, "found")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = wanted.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))

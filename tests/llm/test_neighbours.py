@@ -50,3 +50,10 @@ def test_edge_rows(spark, stage):
     assert got[0] == [(1, 1.0), (13, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)] and len(got[1]) == 5 and got[1][0] == (13, 0.0)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
     assert N.nearest(frame.limit(0), frame, stage).count() == 0 and N.nearest(frame, frame.limit(0), stage).count() == 0
+
+
+def test_lengths_are_not_limited(spark, stage):
+    rows = [(100 * n + i, [float(i + 1)] * n, 1.0) for n in range(1, 71) for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
+    got = {(r.query_id, r.rank): r.vec_id for r in N.nearest(frame, frame.where("vec_id in (200, 7002)"), stage).collect()}
+    assert got == {(200, 1): 201, (200, 2): 202, (7002, 1): 7001, (7002, 2): 7000}

@@ -37,6 +37,7 @@ class Stage:
         self.root = f"{root or shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: dict = {}
+        self._tables: list = []
 
     def write(self, df: DataFrame, name: str, metrics: dict | None = None):
         """Materialise ``df``; with ``metrics`` also return those aggregates.
@@ -55,9 +56,21 @@ class Stage:
         self._paths[id(out)] = (path, out)
         return (out, observed.get) if metrics else out
 
+    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+        """Materialise ``df`` in sorted buckets by ``keys``, so that joins on exactly these keys do not move it."""
+        self._count += 1
+        path, table = f"{self.root}/{self._count:05d}-{name}", f"{name}_{uuid.uuid4().hex}"
+        (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table))
+        out = self.spark.table(table)
+        self._paths[id(out)] = (path, out)
+        self._tables.append(table)
+        return out
+
     def clear(self) -> None:
         """Delete all staged tables, at the end of a run."""
         self._paths.clear()
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
         self._delete(self.root)
 
     def _delete(self, uri: str) -> None:

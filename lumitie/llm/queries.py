@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumitie.llm import bpe, chat, chunks, decontaminate, jaccard, langid, neighbours, pii, secrets, urlfilter
+from lumitie.llm import (bpe, chat, chunks, decontaminate, divergence, jaccard, langid, neighbours, parsing, pii, secrets, urlfilter,
+                         vafile)
 from lumitie.llm.urlfilter import Rule
 from lumitie.sources.stage import Stage
 
@@ -73,6 +74,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY, Stage(spark, "pii"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.report(_read(spark, sf_dir, "embeddings"), Stage(spark, "vafile"))
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.report(_read(spark, sf_dir, "documents"), Stage(spark, "parsing"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), Stage(spark, "divergence"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -84,6 +97,9 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
+    "op11_clusters": op11_clusters,
+    "op12_suffixes": op12_suffixes,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -134,4 +150,25 @@ c AS (SELECT rid, min(root) AS class_id FROM reach GROUP BY rid),
 k AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, count(*) OVER (PARTITION BY class_id) AS class_size
 FROM w JOIN c USING (rid) LEFT JOIN k USING (rid)""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS total FROM m GROUP BY ALL),
+p AS (SELECT lang, source, term, m.n, 1 + CAST(1000000000 AS HUGEINT) * (m.n + 1) // (s.total + v.v) AS p,
+             1 + CAST(1000000000 AS HUGEINT) * (m.lang_n + 1) // (v.total + v.v) AS q FROM m JOIN s USING (lang, source) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+part AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM every
+         UNION ALL
+         SELECT lang, source, 'term', term, (p - q) * (p - q) // q,
+                row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, term) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM part WHERE part = 'pair' OR rank <= 200""",
 }

@@ -32,6 +32,34 @@ def cap_detections(df: DataFrame, limit: int, keys=STAR, tiebreak=("expnum", "cc
     return ranked.where(F.col("_rank") <= limit).drop("_rank")
 
 
+#: Rows of a file that are numbered by one task.
+ARRIVAL_ROWS = 1 << 20
+ARRIVAL = ("arrival_file", "arrival_row")
+
+
+def arrival_index(df: DataFrame, keys=STAR, name: str = "arrival", chunk_rows: int = ARRIVAL_ROWS) -> DataFrame:
+    """Number the rows of each key from 0 in the order in which the source holds them.
+
+    The order is that of files and rows of the scan (see ``tables.with_arrival``), so it does not depend on how Spark divides
+    the work.  Rows are numbered inside chunks of a file and shifted by the key's rows in the chunks before, so a
+    key with a huge share of the rows is dealt over the chunks it comes from.
+    """
+    chunked = df.withColumn("_chunk", F.floor(F.col("arrival_row") / chunk_rows))
+    part = [*keys, "arrival_file", "_chunk"]
+    sizes = chunked.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("arrival_file", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("arrival_row"))
+    return (chunked.withColumn("_row", inside).join(starts, part)
+            .withColumn(name, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_chunk", "_row", "_start"))
+
+
+def cap_arrivals(df: DataFrame, limit: int, keys=STAR) -> DataFrame:
+    """The first ``limit`` rows of each key in the source's order; every map task keeps that many before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ARRIVAL))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def min_detections(df: DataFrame, least: int, keys=STAR) -> DataFrame:
     """Rows of stars with at least ``least`` rows.  Input groups are capped already."""
     counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumitie.config import Config
 from lumitie.functions.healpix import with_pixel
-from lumitie.operators.relational import cap_detections, min_detections
+from lumitie.operators.relational import ARRIVAL, cap_arrivals, cap_detections, min_detections
 from lumitie.sources import tables as T
 
 
@@ -28,7 +28,7 @@ def local_joins(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str
         F.lit(band).alias("band"), (F.col("mag_aper4") - F.col("zpterm")).alias("m_inst"),
         F.col("magerr_aper4").cast("double").alias("m_err"),
         *[F.col(c).cast("double") for c in ("mjd", "ra", "dec", "fwhm") if c in cols],
-        *[F.col(c).cast("float") for c in ("x", "y") if c in cols])
+        *[F.col(c).cast("float") for c in ("x", "y") if c in cols], *[c for c in ARRIVAL if c in cols])
 
 
 def detections(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str, cfg: Config,
@@ -48,6 +48,19 @@ def detections(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str,
                           cuts.min_detections_per_star)
 
 
+def requeried_detections(meas: DataFrame, chip: DataFrame, exposure: DataFrame, band: str, cfg: Config, pixels=None) -> DataFrame:
+    """Detections of pixels that were queried again: capped by order of arrival, with ``star_id``, without a least number.
+
+    Columns that the query did not return are padded with NULLs; ``meas`` comes from ``tables.with_arrival``.
+    """
+    cuts = cfg.quality_cuts
+    rows = local_joins(T.quality_scan(meas, band, cuts), T.band_lookup(chip, band, cuts.exclude_ccdnums), T.band_lookup(exposure, band), band, cfg)
+    rows = with_pixel(rows, cfg.survey.nside_chunk)
+    if pixels is not None:
+        rows = rows.join(pixels.select("healpix_pixel"), "healpix_pixel", "left_semi")
+    return cap_arrivals(rows, cuts.max_detections_per_star).drop(*ARRIVAL).withColumn("star_id", F.col("objectid"))
+
+
 def star_lists(dets: DataFrame) -> DataFrame:
     """The narrow columns the solver reads."""
     return dets.select("healpix_pixel", "objectid", "expnum", "ccdnum", "m_inst", "m_err")

@@ -313,6 +313,13 @@ def _build() -> dict:
     o["w1_detection_cap15"] = statement(f"SELECT {det_cols}, {cols('m_inst', 'm_err')} FROM cap15")
     o["f5_min_detections"] = statement(
         f"SELECT {det_cols}, {cols('m_inst', 'm_err')} FROM cap15 QUALIFY count(*) OVER (PARTITION BY healpix_pixel, objectid) >= 13")
+    arriving = {"arrived": f"SELECT {MEAS_COLS}, row_number() OVER () AS arrival_row FROM lineitem",
+                "arrived_good": f"SELECT *, {ang2pix(32, 'ra', 'dec')} AS healpix_pixel FROM arrived WHERE {QUALITY}",
+                "arrived_det": ("SELECT m.objectid, m.healpix_pixel, m.expnum, m.ccdnum, m.mag_aper4 - c.zpterm AS m_inst, m.magerr_aper4 AS m_err, "
+                                "row_number() OVER (PARTITION BY m.healpix_pixel, m.objectid ORDER BY m.arrival_row) AS arrival_rank FROM arrived_good m "
+                                "JOIN fx_exposure e USING (expnum) JOIN fx_chip c USING (expnum, ccdnum) WHERE e.instrument = 'c4d'")}
+    o["w3_arrival_index"] = statement(f"SELECT {det_cols}, arrival_rank - 1 AS arrival, {cols('m_inst', 'm_err')} FROM arrived_det", arriving)
+    o["s8_arrival_cap"] = statement(f"SELECT {det_cols}, objectid AS star_id, {cols('m_inst', 'm_err')} FROM arrived_det WHERE arrival_rank <= 15", arriving)
     o["k1_detections"] = statement(
         f"SELECT {det_cols}, 'g' AS band, {cols('m_inst', 'm_err', 'mjd', 'ra', 'dec', 'x', 'y')} FROM det")
     o["a1_star_means"] = statement(

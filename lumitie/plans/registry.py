@@ -6,6 +6,8 @@ rounded after aggregation, since summation order differs between engines.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,25 @@ def _joined(w):
     return H.with_pixel(rows, 32)
 
 
+def _arriving(w):
+    cuts = w.cfg.quality_cuts
+    meas = T.quality_scan(X.arriving_meas(w.spark, w.sf_dir), "g", cuts)
+    return H.with_pixel(I.local_joins(meas, T.band_lookup(w.chip, "g", cuts.exclude_ccdnums), w.exposure, "g", w.cfg), 32)
+
+
+@query
+def w3_arrival_index(w):
+    """Running number of each measurement of a star in the order of the source."""
+    return R.arrival_index(_arriving(w)).select(*_DET, "arrival")
+
+
+@query
+def s8_arrival_cap(w):
+    """Detections of requeried pixels, capped by order of arrival."""
+    cfg = replace(w.cfg, quality_cuts=replace(w.cfg.quality_cuts, max_detections_per_star=15))
+    return I.requeried_detections(X.arriving_meas(w.spark, w.sf_dir), w.chip, w.exposure, "g", cfg).select(*_DET, "star_id")
+
+
 @query
 def k1_detections(w):
     """Phase 0 end to end."""

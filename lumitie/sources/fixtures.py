@@ -55,6 +55,14 @@ def meas(spark: SparkSession, sf_dir: str, band: str = "g") -> DataFrame:
     return out.withColumn("filter", F.lit(band))
 
 
+def arriving_meas(spark: SparkSession, sf_dir: str, band: str = "g") -> DataFrame:
+    """The measurements with their places in the source."""
+    from lumitie.sources.tables import with_arrival
+
+    rows = with_arrival(_read(spark, sf_dir, "lineitem"))
+    return rows.selectExpr(*[f"{e} AS {n}" for n, e in MEAS_EXPR.items() if n != "expnum_src"], "arrival_file", "arrival_row", f"'{band}' AS filter")
+
+
 def star_colour(objectid: str):
     return F.expr(f"0.3e0 + ({objectid} % 20)/10.0e0")
 

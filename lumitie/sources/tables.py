@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumitie import schema as S
 from lumitie.functions import photometry as P
-from lumitie.operators.relational import last_wins
+from lumitie.operators.relational import ARRIVAL, last_wins
 
 # Raw columns a detection needs; FWHM rides along for the aperture diagnostics.
 MEAS_COLUMNS = ("objectid", "exposure", "ccdnum", "mag_aper4", "magerr_aper4", "mjd", "ra", "dec",
@@ -61,11 +61,19 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def with_arrival(scan: DataFrame) -> DataFrame:
+    """A Parquet scan with the place of each row in the source: arrival_file and arrival_row.
+
+    The places are hidden columns of the file source, so they are the same under any division into tasks.
+    """
+    return scan.select("*", F.col("_metadata.file_path").alias("arrival_file"), F.col("_metadata.row_index").alias("arrival_row"))
+
+
 def quality_scan(meas: DataFrame, band: str, cuts) -> DataFrame:
     """Pushed-down selection of usable measurements with NaN turned into NULL."""
     rows = meas.where(F.col("filter") == band) if "filter" in meas.columns else meas
     rows = rows.where(P.quality_predicate(cuts))
-    keep = [c for c in MEAS_COLUMNS if c in rows.columns]
+    keep = [c for c in (*MEAS_COLUMNS, *ARRIVAL) if c in rows.columns]
     return rows.select(*[P.nan_to_null(F.col(c)).alias(c) if c in ("mjd", "ra", "dec", "x", "y", "fwhm")
                          else F.col(c) for c in keep])
 

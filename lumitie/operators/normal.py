@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumitie.config import QualityCuts
 from lumitie.functions import photometry as P
 from lumitie.functions.epochs import epoch_index
-from lumitie.operators.relational import STAR, node_id
+from lumitie.operators.relational import STAR, node_columns, node_id
 from lumitie.sources.stage import Stage
 
 PIXELS_PER_STAR = 4     # a star touches at most four pixels, each capped by itself
@@ -61,6 +61,7 @@ class System:
     n_stars: int = 0
     n_pairs: int = 0
     n_self: int = 0
+    sums: DataFrame | None = None   # the stored sums, i <= j, of which the links are a part
 
 
 def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_inst",
@@ -77,7 +78,40 @@ def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_in
         "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
     return System(sums.where("i < j").select("i", "j", "w", "wdm"),
                   keyed.select(F.col("node").alias("i")),
-                  int(seen["stars"]), int(seen["pairs"]), int(seen["self"]))
+                  int(seen["stars"]), int(seen["pairs"]), int(seen["self"]), sums)
+
+
+def sub_system(system: System, keep: DataFrame, stage: Stage) -> System:
+    """The constraints among the nodes ``keep`` (i) alone, read from the stored sums.
+
+    Every pair of detections lies between two nodes, so leaving exposures out needs no new pairing.  A node stays an
+    unknown while one of its stars has another detection left, on whichever node.
+    """
+    left = keep.select("i").distinct()
+    sums = (system.sums.join(left, "i", "left_semi")
+            .join(left.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "w", "wdm", "n"))
+    sums, seen = stage.write(sums, "sub-sums", {
+        "pairs": F.coalesce(F.sum("n"), F.lit(0)), "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
+    unknowns = sums.select("i").unionAll(sums.select(F.col("j").alias("i"))).distinct()
+    return System(sums.where("i < j").select("i", "j", "w", "wdm"), unknowns, 0, int(seen["pairs"]), int(seen["self"]), sums)
+
+
+def gray_system(system: System, flat: DataFrame, exposure_mjd: DataFrame, bounds, stage: Stage) -> System:
+    """Constraints between exposures under a star flat, derived from a node system's links.
+
+    A flat shifts all magnitudes of a node alike, so it shifts the weighted difference of two nodes by w (flat_i - flat_j).
+    Nodes of exposures without MJD carry no constraint.
+    """
+    at = system.unknowns.select(F.col("i").alias("node"), *node_columns("i"))
+    timed = at.join(exposure_mjd.select("expnum", "mjd"), "expnum").withColumn("epoch_idx", epoch_index(F.col("mjd"), bounds))
+    shifts = timed.join(flat, ["ccdnum", "epoch_idx"], "left").select(
+        "node", "expnum", F.coalesce("flat_correction", F.lit(0.0)).alias("f"))
+    a = shifts.select(F.col("node").alias("i"), F.col("expnum").alias("a"), F.col("f").alias("fa"))
+    b = shifts.select(F.col("node").alias("j"), F.col("expnum").alias("b"), F.col("f").alias("fb"))
+    met = system.links.join(a, "i").join(b, "j").where("a <> b")
+    links = met.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(
+        F.sum("w").alias("w"), F.sum(F.col("wdm") + F.col("w") * (F.col("fa") - F.col("fb"))).alias("wdm"))
+    return System(stage.write(links, "gray-links"), at.select(F.col("expnum").alias("i")).distinct())
 
 
 def apply_flat(dets: DataFrame, exposure_mjd: DataFrame, flat: DataFrame, bounds) -> DataFrame:

@@ -260,19 +260,19 @@ def clip_line(source: str, rounds: int, centred: bool) -> dict:
     return steps
 
 
-def conjugate_gradients(links: str, vec: str, iterations: int, rtol: float = 1e-5) -> dict:
-    """Steps of textbook conjugate gradients; they stand still once converged."""
-    steps = {"cgx0": f"SELECT i, d, b, 0.0e0 AS x, b AS res, b AS p FROM {vec}",
-             "cgn0": "SELECT sum(b*b) AS bb, sum(res*res) AS rr FROM cgx0"}
+def conjugate_gradients(links: str, vec: str, iterations: int, rtol: float = 1e-5, cg: str = "cg") -> dict:
+    """Steps of textbook conjugate gradients, named after ``cg``; they stand still once converged."""
+    steps = {f"{cg}x0": f"SELECT i, d, b, 0.0e0 AS x, b AS res, b AS p FROM {vec}",
+             f"{cg}n0": f"SELECT sum(b*b) AS bb, sum(res*res) AS rr FROM {cg}x0"}
     for k in range(iterations):
-        steps[f"cgq{k}"] = (f"SELECT v.i, any_value(v.d*v.p) - coalesce(sum(l.w*o.p), 0.0e0) AS q FROM cgx{k} v LEFT JOIN {links} l ON l.i = v.i "
-                            f"LEFT JOIN cgx{k} o ON o.i = l.j GROUP BY v.i")
-        steps[f"cga{k}"] = (f"SELECT CASE WHEN any_value(n.rr) > {rtol}*{rtol}*any_value(n.bb) THEN any_value(n.rr)/sum(v.p*q.q) ELSE 0.0e0 END AS alpha "
-                            f"FROM cgx{k} v JOIN cgq{k} q USING (i), cgn{k} n")
-        steps[f"cgr{k}"] = (f"SELECT v.i, v.d, v.b, v.x + alpha*v.p AS x, v.res - alpha*q.q AS res, v.p FROM cgx{k} v JOIN cgq{k} q USING (i), cga{k}")
-        steps[f"cgn{k+1}"] = f"SELECT sum(b*b) AS bb, sum(res*res) AS rr FROM cgr{k}"
-        steps[f"cgx{k+1}"] = (f"SELECT i, d, b, x, res, res + (n1.rr/n0.rr)*p AS p FROM cgr{k}, (SELECT rr FROM cgn{k+1}) n1, (SELECT rr FROM cgn{k}) n0")
-    steps["cgend"] = f"SELECT i, x FROM cgx{iterations}"
+        steps[f"{cg}q{k}"] = (f"SELECT v.i, any_value(v.d*v.p) - coalesce(sum(l.w*o.p), 0.0e0) AS q FROM {cg}x{k} v LEFT JOIN {links} l ON l.i = v.i "
+                              f"LEFT JOIN {cg}x{k} o ON o.i = l.j GROUP BY v.i")
+        steps[f"{cg}a{k}"] = (f"SELECT CASE WHEN any_value(n.rr) > {rtol}*{rtol}*any_value(n.bb) THEN any_value(n.rr)/sum(v.p*q.q) ELSE 0.0e0 END AS alpha "
+                              f"FROM {cg}x{k} v JOIN {cg}q{k} q USING (i), {cg}n{k} n")
+        steps[f"{cg}r{k}"] = (f"SELECT v.i, v.d, v.b, v.x + alpha*v.p AS x, v.res - alpha*q.q AS res, v.p FROM {cg}x{k} v JOIN {cg}q{k} q USING (i), {cg}a{k}")
+        steps[f"{cg}n{k+1}"] = f"SELECT sum(b*b) AS bb, sum(res*res) AS rr FROM {cg}r{k}"
+        steps[f"{cg}x{k+1}"] = (f"SELECT i, d, b, x, res, res + (n1.rr/n0.rr)*p AS p FROM {cg}r{k}, (SELECT rr FROM {cg}n{k+1}) n1, (SELECT rr FROM {cg}n{k}) n0")
+    steps[f"{cg}end"] = f"SELECT i, x FROM {cg}x{iterations}"
     return steps
 
 
@@ -430,6 +430,41 @@ def _build() -> dict:
     o["l11_gray_solve"] = statement(
         f"SELECT p.expnum, p.ccdnum, {cols('zp_solved=x - off + coalesce(flat_correction, 0)')} FROM gplaced p JOIN cgend ON cgend.i = p.expnum "
         "LEFT JOIN flat USING (ccdnum, epoch_idx), goff", gray)
+    # without deep exposures: node solve, flat over two epochs, gray solve
+    deep = {"shallow": "SELECT expnum FROM (SELECT DISTINCT expnum FROM nodes) WHERE expnum NOT IN (SELECT expnum FROM fx_exptime WHERE exptime > 100)",
+            "sub_pairs": ("SELECT i, j, w, wdm FROM pairs WHERE i // 1024 IN (SELECT expnum FROM shallow) AND j // 1024 IN (SELECT expnum FROM shallow) "
+                          f"AND i IN (SELECT {KEY} FROM nodes) AND j IN (SELECT {KEY} FROM nodes)"),
+            "sub_nodes": "SELECT i FROM sub_pairs UNION SELECT j FROM sub_pairs",
+            "sub_links": "SELECT i, j, sum(w) AS w, sum(wdm) AS wdm FROM sub_pairs WHERE i < j GROUP BY ALL",
+            "sub_twoway": "SELECT i, j, w, wdm FROM sub_links UNION ALL SELECT j, i, w, -wdm FROM sub_links",
+            "sub_diag": "SELECT i, sum(w) AS d, -sum(wdm) AS b FROM sub_twoway GROUP BY i",
+            "sub_vec": "SELECT n.i, coalesce(d, 0) + 1.0e-6 AS d, coalesce(b, 0) AS b FROM sub_nodes n LEFT JOIN sub_diag USING (i)",
+            **conjugate_gradients("sub_twoway", "sub_vec", 24, cg="na"),
+            "sub_zp": f"SELECT {node_of('i')}, i, x, mjd, CASE WHEN mjd IS NULL THEN 0 ELSE CAST(mjd >= 56404 AS INT) END AS ep FROM naend LEFT JOIN mjds ON mjds.expnum = i // 1024",
+            "sub_delta": "SELECT ccdnum, ep, x - median(x) OVER (PARTITION BY expnum) AS dz, mjd FROM sub_zp",
+            "sub_flat": "SELECT ccdnum, ep, CASE WHEN count(*) >= 3 THEN median(dz) ELSE 0 END AS f FROM sub_delta WHERE mjd IS NOT NULL GROUP BY ALL",
+            "sub_shift": "SELECT z.*, coalesce(f, 0) AS f FROM sub_zp z LEFT JOIN sub_flat USING (ccdnum, ep)",
+            "sg_links": ("SELECT a.expnum AS i, b.expnum AS j, sum(l.w) AS w, sum(l.wdm + l.w*(a.f - b.f)) AS wdm FROM sub_links l JOIN sub_shift a ON a.i = l.i "
+                         "JOIN sub_shift b ON b.i = l.j WHERE a.expnum <> b.expnum AND a.mjd IS NOT NULL AND b.mjd IS NOT NULL GROUP BY ALL"),
+            "sg_twoway": "SELECT i, j, w, wdm FROM sg_links UNION ALL SELECT j, i, w, -wdm FROM sg_links",
+            "sg_diag": "SELECT i, sum(w) AS d, -sum(wdm) AS b FROM sg_twoway GROUP BY i",
+            "sg_vec": ("SELECT n.i, coalesce(d, 0) + 1.0e-6 AS d, coalesce(b, 0) AS b FROM (SELECT DISTINCT expnum AS i FROM sub_zp) n LEFT JOIN sg_diag USING (i)"),
+            **conjugate_gradients("sg_twoway", "sg_vec", 24, cg="nb"),
+            "sub_whole": "SELECT s.expnum, s.ccdnum, g.x + s.f AS zp FROM sub_shift s JOIN nbend g ON g.i = s.expnum",
+            "sub_off": "SELECT coalesce(median(zp_fgcm - zp), 0) AS off FROM sub_whole JOIN good_anchors USING (expnum, ccdnum)",
+            "stretched": "SELECT expnum, (max(ra_mean) - 50.0e0)*2.0e0 + 45.0e0 AS exp_ra FROM positions GROUP BY expnum",
+            "compared": ("SELECT s.expnum, s.ccdnum, e.exp_ra, (zp + off - zp_fgcm)*1000 AS normal_mmag, (zp_solved - zp_fgcm)*1000 AS full_mmag, (zp + off - zp_solved)*1000 AS change_mmag "
+                         "FROM sub_whole s CROSS JOIN sub_off JOIN trial_table t USING (expnum, ccdnum) LEFT JOIN stretched e USING (expnum) "
+                         "WHERE zp + off > 25 AND zp + off < 35 AND zp_solved > 25 AND zp_solved < 35 AND zp_fgcm > 25 AND zp_fgcm < 35"),
+            "by_ra": ("SELECT CAST(floor(exp_ra - 49.0e0) AS INT) AS bin, count(*) AS n, median(normal_mmag) AS normal_mmag, median(full_mmag) AS full_mmag, "
+                      "median(change_mmag) AS change_mmag FROM compared WHERE exp_ra IS NOT NULL GROUP BY 1 HAVING count(*) >= 11")}
+    o["d1_without_deep"] = statement(f"SELECT expnum, ccdnum, {cols('exp_ra', 'normal_mmag', 'full_mmag', 'change_mmag', digits=3)} FROM compared", deep)
+    o["d1_without_deep_by_ra"] = statement(f"SELECT bin, n, {cols('normal_mmag', 'full_mmag', 'change_mmag', digits=3)} FROM by_ra", deep)
+    o["d1_without_deep_verdict"] = statement(
+        f"SELECT n_nodes, {cols('rms_normal_mmag', 'rms_full_mmag', 'range_normal_mmag', 'range_full_mmag', digits=3)}, n_bins, CASE WHEN range_normal_mmag < 0.5*range_full_mmag "
+        "THEN 'removed' WHEN range_normal_mmag > 0.8*range_full_mmag THEN 'kept' WHEN range_normal_mmag IS NOT NULL THEN 'reduced' END AS gradient FROM "
+        "(SELECT count(*) AS n_nodes, stddev_samp(normal_mmag) AS rms_normal_mmag, stddev_samp(full_mmag) AS rms_full_mmag FROM compared), "
+        "(SELECT count(*) AS n_bins, max(normal_mmag) - min(normal_mmag) AS range_normal_mmag, max(full_mmag) - min(full_mmag) AS range_full_mmag FROM by_ra)", deep)
     o["l12_diagnostics"] = statement(
         "SELECT * FROM (SELECT count(*) AS n_params, count(*) FILTER (zp_fgcm > 25 AND zp_fgcm < 35) AS n_des, "
         + cols("zp_std=stddev_pop(zp_solved)", "zp_median=median(zp_solved)") + " FROM trial_table), (SELECT "

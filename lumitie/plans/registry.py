@@ -27,6 +27,7 @@ from lumitie.plans import ingest as I
 from lumitie.plans import outliers as O
 from lumitie.plans import starflat as SF
 from lumitie.plans import validate as VA
+from lumitie.plans import whatif as WI
 from lumitie.plans.workspace import workspace
 from lumitie.sources import fixtures as X
 from lumitie.sources import references as REF
@@ -728,6 +729,32 @@ def m8_aperture_correction(w):
     return D.correction_by_node(corrected, w.positions)
 
 
+def _stretched(w):
+    """RA of the exposures, drawn out over several bins of a degree."""
+    return w.positions.groupBy("expnum").agg(((F.max("ra_mean") - F.lit(50.0)) * 2.0 + F.lit(45.0)).alias("exp_ra"))
+
+
+def _without_deep(w):
+    return WI.without_deep(w.system, w.trial_table, w.exptime, w.anchors, w.mjds, _stretched(w), w.cfg, w.stage)
+
+
+@query
+def d1_without_deep(w):
+    """Node by node: the solve without deep exposures beside the full solution."""
+    return rounded(_without_deep(w), 3)
+
+
+@query
+def d1_without_deep_by_ra(w):
+    return rounded(WI.by_right_ascension(_without_deep(w)), 3)
+
+
+@query
+def d1_without_deep_verdict(w):
+    compared = _without_deep(w)
+    return rounded(WI.depth_verdict(compared, WI.by_right_ascension(compared)), 3)
+
+
 @query
 def d5_gradient_table(w):
     return D.gradient_table(w.trial_table, w.zpterm, w.positions, w.trial_magzero)

@@ -23,14 +23,16 @@ PIXELS_PER_STAR = 4     # a star touches at most four pixels, each capped by its
 
 
 def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err",
-               cap: int = QualityCuts().max_detections_per_star) -> DataFrame:
+               cap: int = QualityCuts().max_detections_per_star, basis=()) -> DataFrame:
     """One row per pair of detections of a star: nodes i <= j, w, wdm.
 
+    For each column in ``basis`` the pair also carries its weighted difference, ``wd_<column>``.
+
     Stars are capped at ingest by ``cap`` rows, so a star's array and its pairs are bounded; an
     uncapped star stops the job rather than being cut short.
     """
     d = F.struct(F.col(node).alias("k"), F.col(mag).alias("m"),
-                 (F.col(err) * F.col(err)).alias("v"))
+                 (F.col(err) * F.col(err)).alias("v"), *basis)
     stars = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(d)).alias("_d"))
     size = F.size("_d")
     safe = F.when(size <= PIXELS_PER_STAR * cap, F.col("_d")).otherwise(
@@ -42,14 +44,16 @@ def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err
     w = F.lit(1.0) / (F.col("a.v") + F.col("b.v"))
     return pairs.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), w.alias("w"),
                         (w * (F.col("a.m") - F.col("b.m"))).alias("wdm"),
-                        ((F.col("_p") == 0) & (F.col("_q") == 0)).cast("int").alias("opens_star"))
+                        ((F.col("_p") == 0) & (F.col("_q") == 0)).cast("int").alias("opens_star"),
+                        *[(w * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(f"wd_{c}") for c in basis])
 
 
 def pair_sums(pairs: DataFrame) -> DataFrame:
-    """Per node pair: total weight, weighted difference, pair count, stars opened."""
+    """Per node pair: total weight, weighted difference, pair count, stars opened, and the sums of any basis."""
+    more = [c for c in pairs.columns if c.startswith("wd_")]
     return pairs.groupBy("i", "j").agg(F.sum("w").alias("w"), F.sum("wdm").alias("wdm"),
                                        F.count(F.lit(1)).alias("n"),
-                                       F.sum("opens_star").alias("opened"))
+                                       F.sum("opens_star").alias("opened"), *[F.sum(c).alias(c) for c in more])
 
 
 @dataclass
@@ -65,15 +69,15 @@ class System:
 
 
 def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_inst",
-               keys=STAR, cap: int = QualityCuts().max_detections_per_star) -> System:
+               keys=STAR, cap: int = QualityCuts().max_detections_per_star, basis=()) -> System:
     """Constraints between connected nodes.
 
     Repeat detections of a star on one node cancel out of the equations but count as
-    pairs.
+    pairs.  Weighted differences of the columns in ``basis`` are stored beside those of the magnitudes.
     """
     keyed = nodes.select("expnum", "ccdnum", node_id().alias("node"))
     used = dets.join(keyed, ["expnum", "ccdnum"])
-    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap)), "pair-sums", {
+    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap, basis=basis)), "pair-sums", {
         "pairs": F.coalesce(F.sum("n"), F.lit(0)), "stars": F.coalesce(F.sum("opened"), F.lit(0)),
         "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
     return System(sums.where("i < j").select("i", "j", "w", "wdm"),
@@ -96,6 +100,18 @@ def sub_system(system: System, keep: DataFrame, stage: Stage) -> System:
     return System(sums.where("i < j").select("i", "j", "w", "wdm"), unknowns, 0, int(seen["pairs"]), int(seen["self"]), sums)
 
 
+def corrected(system: System, coeffs: dict) -> System:
+    """The system for magnitudes from which sum of coefficient times basis column is taken.
+
+    Right-hand sides are linear in the magnitudes, so stored sums answer for any coefficients.
+    """
+    shift = F.lit(0.0)
+    for name, c in coeffs.items():
+        shift = shift + F.lit(float(c)) * F.col(f"wd_{name}")
+    links = system.sums.where("i < j").select("i", "j", "w", (F.col("wdm") - shift).alias("wdm"))
+    return System(links, system.unknowns, system.n_stars, system.n_pairs, system.n_self)
+
+
 def gray_system(system: System, flat: DataFrame, exposure_mjd: DataFrame, bounds, stage: Stage) -> System:
     """Constraints between exposures under a star flat, derived from a node system's links.
 

@@ -6,7 +6,6 @@ only those sums, never rows, reach the driver.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumitie.functions.chebyshev import basis
+from lumitie.functions.special import correlation_p_value
 
 
 @dataclass
@@ -127,26 +127,8 @@ def colour_polynomial(df: DataFrame, colour: str, delta: str, degree: int, round
 
 
 def line(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
-    """Slope, intercept and correlation per group."""
-    return df.groupBy(*keys).agg(
+    """Slope, intercept, correlation and its two-sided p-value per group."""
+    fits = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
-
-
-def line_p_value(r: float, n: int) -> float:
-    """Two-sided p of a correlation, from Student's t with n - 2 degrees of freedom."""
-    if n <= 2 or r is None:
-        return float("nan")
-    if abs(r) >= 1.0:
-        return 0.0
-    dof = n - 2
-    x = 1.0 - r * r                      # = dof / (dof + t^2)
-    a, b = dof / 2.0, 0.5
-    # Regularised incomplete beta I_x(a, b) by numerical integration of the density
-    # after the substitution u = s^2 near one, where the integrand is singular.
-    s = np.linspace(math.sqrt(1.0 - x), 1.0, 20001)
-    log_norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    dens = 2.0 * np.exp(log_norm) * np.power(np.maximum(1.0 - s * s, 0.0), a - 1.0)
-    if a < 1.0:
-        return float("nan")
-    return float(np.trapezoid(dens, s))
+    return fits.withColumn("p", correlation_p_value(F.col("r"), F.col("n")))

@@ -2,9 +2,10 @@
 
 Matrix and vectors stay distributed: the links are cached hash-partitioned by column,
 the vectors are one staged table with a row per unknown.  The single-reduction form of
-the recurrence (Chronopoulos and Gear 1989) needs one Spark job per iteration: the job
-updates the vectors, multiplies by the matrix, writes the new state and sums the two
-scalars that steer the next step.  A lost executor costs at most one iteration.
+the preconditioned recurrence (Chronopoulos and Gear 1989) needs one Spark job per iteration: the job
+updates the vectors, multiplies by the matrix, writes the new state and sums the three
+scalars that steer the next step.  A lost executor costs at most one iteration.  Several systems that share
+their links advance in one recurrence.
 """
 
 from __future__ import annotations
@@ -51,83 +52,120 @@ class SolveInfo:
     mode: str = ""
 
 
-def _times_matrix(links: DataFrame, vec: DataFrame, c: str, out: str) -> DataFrame:
-    """Add ``out`` = A * c to ``vec`` (i, d, ...); links carry both directions.
+def _times_matrix(links: DataFrame, vec: DataFrame, c: str, out: str, tags=("",)) -> DataFrame:
+    """Add ``out`` = A * c to ``vec`` (i, d, ...) for every tag; links carry both directions.
 
     The products and the rows of ``vec`` meet in one grouped sum: each unknown has one
     row in ``vec``, so summing its columns copies them, and no second join is needed.
     """
     held = [n for n in vec.columns if n != "i"]
     # A staged vector has a known size: Catalyst broadcasts it only while it is small.
-    rhs = vec.select(F.col("i").alias("j"), F.col(c).alias("_c"))
+    rhs = vec.select(F.col("i").alias("j"), *[F.col(c + t).alias(f"_c{t}") for t in tags])
     none = [F.lit(None).cast("double").alias(n) for n in held]
     rows = links.join(rhs, "j").select(
-        "i", *none, (F.col("w") * F.col("_c")).alias("_off")).unionAll(
-        vec.select("i", *held, F.lit(None).cast("double").alias("_off")))
-    sums = rows.groupBy("i").agg(*[F.sum(n).alias(n) for n in held], F.sum("_off").alias("_off"))
-    value = F.col("d") * F.col(c) - F.coalesce("_off", F.lit(0.0))
-    return sums.select("i", *held, value.alias(out))
+        "i", *none, *[(F.col("w") * F.col(f"_c{t}")).alias(f"_off{t}") for t in tags]).unionAll(
+        vec.select("i", *held, *[F.lit(None).cast("double").alias(f"_off{t}") for t in tags]))
+    sums = rows.groupBy("i").agg(*[F.sum(n).alias(n) for n in held], *[F.sum(f"_off{t}").alias(f"_off{t}") for t in tags])
+    return sums.select("i", *held, *[
+        (F.col("d" + t) * F.col(c + t) - F.coalesce(f"_off{t}", F.lit(0.0))).alias(out + t) for t in tags])
 
 
 def conjugate_gradient(links: DataFrame, vec: DataFrame, stage: Stage, rtol: float = 1e-5,
-                       maxiter: int = 5000):
-    """Solve A x = b from x = 0 until |r| <= rtol |b|.
+                       maxiter: int = 5000, tags=("",), precondition: bool = True, start: DataFrame | None = None):
+    """Solve A x = b until |r| <= rtol |b|, for one or several systems that differ in diagonal and right-hand side.
 
     ``links`` (i, j, w) lists both directions of the negated off-diagonal, ``vec``
-    (i, d, b) the diagonal and right-hand side of every unknown.  Returns (i, x) and
-    iteration count, convergence flag and the true relative residual |Ax - b| / |b|, by which
-    convergence is judged.
+    (i, d, b) the diagonal and right-hand side of every unknown; with ``tags`` it has columns d<tag>, b<tag> for each
+    system, and one pass over the matrix serves all.  ``start`` (i, x<tag>) is where to begin, else 0.  The
+    diagonal is the preconditioner unless ``precondition`` is false.
+
+    Returns (i, x<tag>...) and an outcome for each tag (a single one for a single system): iteration count, convergence flag
+    and the true relative residual |Ax - b| / |b|, by which convergence is judged.
     """
     n_parts = max(links.sparkSession.sparkContext.defaultParallelism,
                   math.ceil(links.count() / LINKS_PER_PARTITION))
     with shuffle_partitions(links.sparkSession, n_parts):
-        return _iterate(links, vec, stage, rtol, maxiter, n_parts)
-
-
-def _iterate(links, vec, stage, rtol, maxiter, n_parts):
-    held = links.select("i", "j", "w").repartition(n_parts, "j").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _descend(held, vec, stage, rtol, maxiter)
-    finally:
-        held.unpersist()
-
-
-def _descend(held, vec, stage, rtol, maxiter):
-    """Run the recurrence; judge by the true residual, and start again from x while that is too large."""
-    zero = F.lit(0.0)
-    dots = {"rr": F.sum(F.col("r") * F.col("r")), "rw": F.sum(F.col("r") * F.col("w"))}
-    norm_b = math.sqrt(vec.agg(F.sum(F.col("b") * F.col("b")).alias("e")).first()["e"] or 0.0)
-    if norm_b == 0.0:
-        return vec.select("i", zero.alias("x")), SolveInfo(0, True, 0.0)
-    # In the state table "w" is A r.
-    start = vec.select("i", "d", "b", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("s"))
-    done, last = 0, math.inf
+        held = links.select("i", "j", "w").repartition(n_parts, "j").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            x, infos = _descend(held, vec, stage, rtol, maxiter, tuple(tags), precondition, start)
+        finally:
+            held.unpersist()
+    return x, (infos[0] if tuple(tags) == ("",) else dict(zip(tags, infos)))
+
+
+class _Recurrence:
+    """The scalars of one system: they steer its next step, and stand still once it has converged."""
+
+    def __init__(self, limit: float):
+        self.limit, self.steps, self.alpha, self.beta, self.gamma = limit, 0, 0.0, 0.0, None
+
+    def take(self, seen: dict, t: str) -> None:
+        gamma, delta = seen["ru" + t] or 0.0, seen["uw" + t] or 0.0
+        if math.sqrt(seen["rr" + t] or 0.0) <= self.limit:
+            self.alpha, self.beta = 0.0, 0.0
+            return
+        if self.gamma is None or not self.alpha:
+            self.beta, denom = 0.0, delta
+        else:
+            self.beta = gamma / self.gamma
+            denom = delta - self.beta * gamma / self.alpha
+        self.gamma, self.alpha = gamma, (gamma / denom if denom else 0.0)
+
+
+def _descend(held, vec, stage, rtol, maxiter, tags, precondition, start):
+    """Run the recurrence; judge by the true residual, and start again from x while that is too large.
+
+    The state has x, r, p, s and w = A u per system, where u is the preconditioned residual; the scalars of a step come
+    from a table of one row, so that the generated code stays the same from step to step.
+    """
+    spark, zero = vec.sparkSession, F.lit(0.0)
+    norms = vec.agg(*[F.sum(F.col("b" + t) * F.col("b" + t)).alias("e" + t) for t in tags]).first()
+    norm_b = [math.sqrt(norms["e" + t] or 0.0) for t in tags]
+    given = [n + t for t in tags for n in ("d", "b")]
+
+    def u(t, r):
+        return F.when(F.col("d" + t) > 0, r / F.col("d" + t)).otherwise(r) if precondition else r
+
+    if start is None:
+        at = vec.select("i", *given, *[zero.alias("x" + t) for t in tags])
+        ax = at.select("*", *[zero.alias("ax" + t) for t in tags])
+    else:
+        at = vec.select("i", *given).join(start.select("i", *["x" + t for t in tags]), "i", "left").na.fill(0.0, ["x" + t for t in tags])
+        ax = _times_matrix(held, at, "x", "ax", tags)
+    dots = {n + t: F.sum(F.col(a + t) * F.col(b + t)) for t in tags for n, a, b in (("rr", "r", "r"), ("ru", "r", "u"), ("uw", "u", "w"))}
+    fields = ", ".join(f"alpha{t} double, beta{t} double" for t in tags)
+    last, done = [math.inf] * len(tags), [0] * len(tags)
     while True:
-        state, seen = stage.write(_times_matrix(held, start, "r", "w"), "cg", dots)
-        gamma, delta = seen["rr"], seen["rw"]
-        beta, alpha = 0.0, (gamma / delta if delta else 0.0)
-        while math.sqrt(gamma) > rtol * norm_b and done < maxiter and alpha:
-            p = F.col("r") + F.lit(beta) * F.col("p")
-            s = F.col("w") + F.lit(beta) * F.col("s")
-            moved = state.select("i", "d", "b", (F.col("x") + F.lit(alpha) * p).alias("x"),
-                                 (F.col("r") - F.lit(alpha) * s).alias("r"),
-                                 p.alias("p"), s.alias("s"))
-            after, seen = stage.write(_times_matrix(held, moved, "r", "w"), "cg", dots)
+        first = ax.select("i", *given, *["x" + t for t in tags], *[(F.col("b" + t) - F.col("ax" + t)).alias("r" + t) for t in tags],
+                          *[zero.alias(n + t) for t in tags for n in ("p", "s")])
+        first = first.select("*", *[u(t, F.col("r" + t)).alias("u" + t) for t in tags])
+        state, seen = stage.write(_times_matrix(held, first, "u", "w", tags), "cg", dots)
+        runs = [_Recurrence(rtol * n) for n in norm_b]
+        for run, t in zip(runs, tags):
+            run.take(seen, t)
+        while any(run.alpha for run in runs) and max(done) < maxiter:
+            scalars = spark.createDataFrame([tuple(v for run in runs for v in (run.alpha, run.beta))], fields)
+            now = state.crossJoin(F.broadcast(scalars))
+            p = {t: F.col("u" + t) + F.col("beta" + t) * F.col("p" + t) for t in tags}
+            s = {t: F.col("w" + t) + F.col("beta" + t) * F.col("s" + t) for t in tags}
+            moved = now.select("i", *given, *[(F.col("x" + t) + F.col("alpha" + t) * p[t]).alias("x" + t) for t in tags],
+                               *[(F.col("r" + t) - F.col("alpha" + t) * s[t]).alias("r" + t) for t in tags],
+                               *[p[t].alias("p" + t) for t in tags], *[s[t].alias("s" + t) for t in tags])
+            moved = moved.select("*", *[u(t, F.col("r" + t)).alias("u" + t) for t in tags])
+            after, seen = stage.write(_times_matrix(held, moved, "u", "w", tags), "cg", dots)
             stage.drop(state)
-            state, done = after, done + 1
-            previous, gamma, delta = gamma, seen["rr"], seen["rw"]
-            beta = gamma / previous
-            denom = delta - beta * gamma / alpha
-            alpha = gamma / denom if denom else 0.0
-        check = _times_matrix(held, state.select("i", "d", "b", "x"), "x", "ax")
-        off = check.agg(F.sum((F.col("ax") - F.col("b")) ** 2).alias("e")).first()["e"]
-        residual = math.sqrt(off or 0.0) / norm_b
+            state = after
+            for k, (run, t) in enumerate(zip(runs, tags)):
+                done[k] += bool(run.alpha)
+                run.take(seen, t)
+        ax = _times_matrix(held, state.select("i", *given, *["x" + t for t in tags]), "x", "ax", tags)
+        off = ax.agg(*[F.sum((F.col("ax" + t) - F.col("b" + t)) ** 2).alias("e" + t) for t in tags]).first()
+        residual = [math.sqrt(off["e" + t] or 0.0) / n if n else 0.0 for t, n in zip(tags, norm_b)]
         # The recurred residual drifts by rounding; a factor of two allows for it.
-        if residual <= 2 * rtol or done >= maxiter or residual >= 0.5 * last:
-            return state.select("i", "x"), SolveInfo(done, residual <= 2 * rtol, residual)
+        if max(done) >= maxiter or all(r <= 2 * rtol or r >= 0.5 * before for r, before in zip(residual, last)):
+            x = state.select("i", *["x" + t for t in tags])
+            return x, [SolveInfo(n, r <= 2 * rtol, r) for n, r in zip(done, residual)]
         last = residual
-        start = check.select("i", "d", "b", "x", (F.col("b") - F.col("ax")).alias("r"), zero.alias("p"), zero.alias("s"))
 
 
 def assemble(system: N.System, terms=(), extra_links=(), tikhonov: float = 0.0):
@@ -148,10 +186,12 @@ def assemble(system: N.System, terms=(), extra_links=(), tikhonov: float = 0.0):
     return full.select("i", "j", "w"), vec
 
 
-def _run(system, cfg, stage, terms=(), extra_links=(), tikhonov=0.0, mode="", must=True):
+def _run(system, cfg, stage, terms=(), extra_links=(), tikhonov=0.0, mode="", must=True, start=None):
+    """Solve a system with its additions, from ``start`` (i, x) if given; an unconverged solution raises if it ``must``."""
     links, vec = assemble(system, terms, extra_links, tikhonov)
-    x, info = conjugate_gradient(links, stage.write(vec, "cg-vec"), stage, cfg.solve.tolerance,
-                                 cfg.solve.max_iterations)
+    vec = stage.write(vec, "cg-vec")
+    x, info = conjugate_gradient(links, vec, stage, cfg.solve.tolerance, cfg.solve.max_iterations, start=start)
+    info.n_params = vec.count()
     if must and not info.converged:
         raise RuntimeError(f"{mode} solve stopped at relative residual {info.relative_residual:.3g} "
                            f"after {info.iterations} iterations")
@@ -182,13 +222,20 @@ def shift_to_anchors(zp: DataFrame, anchors: DataFrame, info: SolveInfo | None =
     return zp.withColumn("zp_solved", F.col("zp_solved") - F.lit(off)), info
 
 
-def solve_anchored(system: N.System, nodes: DataFrame, anchors: DataFrame, cfg, stage: Stage):
-    """Solve with a heavy penalty holding anchor nodes at their reference zero-points."""
+def outcome_table(spark, infos) -> DataFrame:
+    """One row per solve: mode, unknowns, iterations, converged, true relative residual and anchor offset."""
+    return spark.createDataFrame([(i.mode, i.n_params, i.iterations, i.converged, i.relative_residual, float(i.offset)) for i in infos],
+                                 "mode string, n_params bigint, iterations int, converged boolean, relative_residual double, offset double")
+
+
+def solve_anchored(system: N.System, nodes: DataFrame, anchors: DataFrame, cfg, stage: Stage, zp: DataFrame | None = None):
+    """Solve with a heavy penalty holding anchor nodes at their reference zero-points, from an earlier solution ``zp`` if given."""
     extra = []
     if cfg.solve.exposure_reg_weight > 0:
         extra.append(N.exposure_links(nodes, cfg.solve.exposure_reg_weight))
     terms = N.anchor_terms(nodes, anchors, cfg.solve.des_anchor_weight)
-    x, info = _run(system, cfg, stage, [terms], extra, mode="anchored")
+    start = None if zp is None else zp.select(N.node_id().alias("i"), F.col("zp_solved").alias("x"))
+    x, info = _run(system, cfg, stage, [terms], extra, mode="anchored", start=start)
     return x.select(*node_columns("i"), F.col("x").alias("zp_solved")), info
 
 
@@ -209,6 +256,34 @@ def solve_with_prior(system: N.System, nodes: DataFrame, anchors: DataFrame, zpt
     return shift_to_anchors(zp, anchors, info, exclude)
 
 
+def solve_with_priors(system: N.System, nodes: DataFrame, anchors: DataFrame, zpterm: DataFrame, strengths, offset: float,
+                      default: float | None, cfg, stage: Stage, exclude: DataFrame | None = None) -> dict:
+    """Solutions under several prior strengths, which differ in the diagonal and right-hand side alone, in one recurrence.
+
+    Returns for each strength the shifted solution and its outcome; an unconverged one raises.
+    """
+    if default is None:
+        known = nodes.join(zpterm, ["expnum", "ccdnum"]).select((F.col("zpterm") + F.lit(offset)).alias("t"))
+        default = scalar_median(known, "t")
+        default = offset if default is None else default
+    links, vec = assemble(system, (), (), cfg.solve.tikhonov_reg)
+    pull = N.prior_terms(nodes, zpterm, 1.0, offset, default).groupBy("i").agg(F.sum("d").alias("_d"), F.sum("b").alias("_b"))
+    tags = [f"_{k}" for k in range(len(strengths))]
+    both = vec.join(pull, "i", "left").na.fill(0.0, ["_d", "_b"])
+    both = both.select("i", *[c for t, lam in zip(tags, strengths) for c in (
+        (F.col("d") + F.lit(float(lam)) * F.col("_d")).alias("d" + t), (F.col("b") + F.lit(float(lam)) * F.col("_b")).alias("b" + t))])
+    both = stage.write(both, "cg-priors")
+    x, infos = conjugate_gradient(links, both, stage, cfg.solve.tolerance, cfg.solve.max_iterations, tags)
+    out = {}
+    for t, lam in zip(tags, strengths):
+        if not infos[t].converged:
+            raise RuntimeError(f"prior solve of strength {lam} stopped at relative residual {infos[t].relative_residual:.3g}")
+        infos[t].mode = f"prior {lam}"
+        zp = x.select(*node_columns("i"), F.col("x" + t).alias("zp_solved"))
+        out[lam] = shift_to_anchors(zp, anchors, infos[t], exclude)
+    return out
+
+
 def solve_gray(system: N.System, nodes: DataFrame, anchors: DataFrame, flat: DataFrame,
                exposure_mjd: DataFrame, cfg, stage: Stage):
     """Per-exposure solve, shifted to the anchors, expanded to gray + star flat per node.

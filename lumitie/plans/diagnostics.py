@@ -146,14 +146,14 @@ GRADIENT_QUANTITIES = ("solved_minus_fgcm_mmag", "before_minus_fgcm_mmag",
 
 
 def gradient_summary(rows: DataFrame, quantities=GRADIENT_QUANTITIES) -> DataFrame:
-    """Slope along RA, intercept and total change per quantity."""
+    """Slope along RA, intercept, correlation with its p-value and total change per quantity."""
     long = rows.select("ra", F.explode(F.array(*[
         F.struct(F.lit(q).alias("quantity"), F.col(q).alias("value")) for q in quantities])).alias("e"))
     long = long.select("ra", "e.quantity", "e.value")
     fits = line(long, "ra", "value", ["quantity"])
     span = long.groupBy("quantity").agg((F.max("ra") - F.min("ra")).alias("_span"))
     return fits.join(span, "quantity").select(
-        "quantity", "n", "slope", "intercept", (F.col("slope") * F.col("_span")).alias("total"))
+        "quantity", "n", "slope", "intercept", "r", "p", (F.col("slope") * F.col("_span")).alias("total"))
 
 
 def per_exposure_gradients(rows: DataFrame) -> DataFrame:
@@ -249,14 +249,13 @@ def repeatability_floor(star_lists: DataFrame, zp: DataFrame):
 def prior_sweep(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, zpterm: DataFrame,
                 positions: DataFrame, cfg, stage, flagged_nodes=None, flagged_stars=None,
                 flagged_exposures=None, strengths=PRIOR_STRENGTHS) -> DataFrame:
-    """Solve under ever stronger zpterm priors and report gradient, RMS and floor."""
+    """Solve under ever stronger zpterm priors, in one recurrence, and report gradient, RMS and floor."""
     clean = stage.write(remove_flagged(star_lists, flagged_stars, None, flagged_exposures,
                                        flagged_nodes, least=1), "prior-lists")
     system = N.accumulate(clean, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
     out = []
-    for lam in strengths:
-        zp, info = V.solve_with_prior(system, nodes, anchors, zpterm, float(lam), PRIOR_OFFSET,
-                                      None, cfg, stage, flagged_nodes)
+    solved = V.solve_with_priors(system, nodes, anchors, zpterm, strengths, PRIOR_OFFSET, None, cfg, stage, flagged_nodes)
+    for lam, (zp, info) in solved.items():
         table = stage.write(V.zeropoint_table(zp, anchors, "g"), "prior-table")
         slope, scatter = ra_gradient(table, positions, flagged_nodes)
         rms = reference_rms(table, flagged_nodes).first()["rms_mmag"]

@@ -276,6 +276,27 @@ def conjugate_gradients(links: str, vec: str, iterations: int, rtol: float = 1e-
     return steps
 
 
+def elimination(name: str, source: str, features: list, target: str, keys: str = "", where: str = "TRUE") -> dict:
+    """Steps of least squares by Gaussian elimination over sums: ``name`` has the keys, n and coefficients c0, c1, ..."""
+    k, lead = len(features), f"{keys}, " if keys else ""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [f"sum(({features[i]})*({features[j]})) AS g{i}_{j}" for i, j in pairs] + [f"sum(({f})*({target})) AS b{i}" for i, f in enumerate(features)]
+    steps = {f"{name}s0": f"SELECT {lead}count(*) AS n, {', '.join(sums)} FROM {source} WHERE {where}" + (f" GROUP BY {keys}" if keys else "")}
+    for p in range(k):
+        out = [f"g{i}_{j}" + (f" - g{p}_{i}*g{p}_{j}/g{p}_{p} AS g{i}_{j}" if i > p else "") for i, j in pairs]
+        out += [f"b{i}" + (f" - g{p}_{i}*b{p}/g{p}_{p} AS b{i}" if i > p else "") for i in range(k)]
+        steps[f"{name}s{p+1}"] = f"SELECT {lead}n, {', '.join(out)} FROM {name}s{p}"
+    back = [f"(b{i}" + "".join(f" - g{i}_{j}*c{j}" for j in range(i + 1, k)) + f")/g{i}_{i} AS c{i}" for i in range(k - 1, -1, -1)]
+    steps[name] = f"SELECT {lead}n, {', '.join(back)} FROM {name}s{k}"
+    return steps
+
+
+#: Two-sided p of a correlation r over n rows, by the finite sums of Student's t for whole degrees of freedom.
+T_TEST = ("CASE WHEN n > 2 THEN 1.0e0 - (CASE WHEN (n - 2) % 2 = 1 THEN 2.0e0/pi()*(asin(abs(r)) + abs(r)*sqrt(1 - r*r)*coalesce((SELECT "
+          "sum(exp(k*ln(4.0e0) + 2*lgamma(k + 1.0e0) - lgamma(2*k + 2.0e0) + k*ln(1 - r*r))) FROM range(0, CAST((n - 3)//2 AS BIGINT)) t(k)), 0)) "
+          "ELSE abs(r)*(SELECT sum(exp(lgamma(2*k + 1.0e0) - k*ln(4.0e0) - 2*lgamma(k + 1.0e0) + k*ln(1 - r*r))) FROM range(0, CAST((n - 2)//2 AS BIGINT)) t(k)) END) END")
+
+
 def node_of(key: str) -> str:
     return f"{key} // 1024 AS expnum, CAST({key} % 1024 AS INT) AS ccdnum"
 
@@ -638,12 +659,49 @@ def _build() -> dict:
     o["m8_seeing_bins"] = statement(
         f"SELECT bin, {cols('center=0.8e0 + (bin + 0.5e0)*0.05e0')}, count(*) AS n, {cols('median=median(rs)', 'std_err=stddev_pop(rs)/sqrt(count(*))')} FROM wbin WHERE bin BETWEEN 0 AND 23 "
         "GROUP BY bin HAVING count(*) >= 50", seeing)
+    u = "(center - 1.4e0)"
+    v = "(s.fwhm - 1.4e0)"
+    aperture = {**seeing, "acbins": "SELECT 0.8e0 + (bin + 0.5e0)*0.05e0 AS center, median(rs) AS med, stddev_pop(rs)/sqrt(count(*)) AS se FROM wbin WHERE bin BETWEEN 0 AND 23 "
+                                    "GROUP BY bin HAVING count(*) >= 50",
+                **elimination("acfit", "acbins", [f"pow({u}, {k})/se" for k in (3, 2, 1, 0)], "med/se", where="se > 0"),
+                "acrows": f"SELECT s.*, c0*pow({v}, 3) + c1*pow({v}, 2) + c2*{v} + c3 AS ac FROM seen s, acfit WHERE s.fwhm > 0.5 AND s.fwhm < 3.0",
+                "acnode": ("SELECT expnum, ccdnum, avg(ac) AS mean_ac, median(fwhm) AS median_fwhm, count(*) AS n_det, any_value(p.ra_mean) AS ra FROM acrows "
+                           "JOIN positions p USING (expnum, ccdnum) GROUP BY ALL"),
+                "acnum": (f"SELECT *, {KEY} AS node, row_number() OVER (PARTITION BY healpix_pixel, objectid ORDER BY expnum, ccdnum, m_inst, m_err) AS sq FROM acrows "
+                          f"WHERE {KEY} IN (SELECT {KEY} FROM nodes)"),
+                "acpairs": ("SELECT a.node AS i, b.node AS j, 1.0e0/(a.m_err*a.m_err + b.m_err*b.m_err) AS w, a.m_inst - b.m_inst AS dm, b.ac - a.ac AS da FROM acnum a JOIN acnum b "
+                            "USING (healpix_pixel, objectid) WHERE a.sq < b.sq AND a.node < b.node"),
+                "aclinks": "SELECT i, j, sum(w) AS w, sum(w*dm) AS wdm, sum(w*(dm + da)) AS wdc FROM acpairs GROUP BY ALL"}
+    for tag, col in (("o", "wdm"), ("c", "wdc")):
+        aperture |= {f"ac{tag}two": f"SELECT i, j, w, {col} AS wdm FROM aclinks UNION ALL SELECT j, i, w, -{col} FROM aclinks",
+                     f"ac{tag}diag": f"SELECT i, sum(w) AS d, -sum(wdm) AS b FROM ac{tag}two GROUP BY i",
+                     f"ac{tag}vec": f"SELECT {KEY} AS i, coalesce(d, 0) + 1.0e-10 AS d, coalesce(b, 0) AS b FROM nodes LEFT JOIN ac{tag}diag ON i = {KEY}",
+                     **conjugate_gradients(f"ac{tag}two", f"ac{tag}vec", 24, cg=f"ac{tag}"),
+                     f"ac{tag}zp": f"SELECT {node_of('i')}, x - (SELECT coalesce(median(x - zp_fgcm), 0) FROM ac{tag}end JOIN good_anchors ON i = {KEY}) AS zp FROM ac{tag}end"}
+    aperture |= {"acboth": "SELECT 'original' AS label, * FROM acozp UNION ALL SELECT 'corrected', * FROM acczp",
+                 "acdiff": "SELECT label, ra_mean, zp - zp_fgcm AS diff FROM acboth JOIN good_anchors USING (expnum, ccdnum) JOIN positions USING (expnum, ccdnum)",
+                 "acra": ("SELECT label, CAST(floor(ra_mean - 48.0e0) AS INT) AS bin, count(*) AS n, median(diff)*1000 AS median_mmag FROM acdiff WHERE ra_mean >= 48 AND ra_mean < 61 "
+                          "GROUP BY ALL HAVING count(*) >= 10"),
+                 "acslope": "SELECT label, count(*) AS n_bins, regr_slope(median_mmag, bin + 48.5e0) AS s FROM acra GROUP BY label",
+                 "acall": "SELECT label, count(*) AS n_nodes, sqrt(avg(diff*diff))*1000 AS rms_mmag, max(ra_mean) - min(ra_mean) AS span FROM acdiff GROUP BY label"}
+    o["m8_aperture_correction"] = statement(f"SELECT expnum, ccdnum, {cols('mean_ac', 'median_fwhm')}, n_det, {cols('ra')} FROM acnode", aperture)
+    slope = "CASE WHEN n_bins >= 3 THEN s ELSE 0.0e0 END"
+    o["d3_aperture_what_if"] = statement(
+        f"SELECT label, n_nodes, coalesce(n_bins, 0) AS n_bins, {cols('rms_mmag', f'slope_mmag_per_deg={slope}', f'total_mmag=span*{slope}', digits=3)} FROM acall LEFT JOIN acslope USING (label)", aperture)
+    o["d3_gradient_bins"] = statement(f"SELECT label, bin, n, {cols('center=bin + 48.5e0', 'median_mmag', digits=3)} FROM acra", aperture)
+    o["d3b_seeing_by_ra"] = statement(
+        f"SELECT bin, {cols('center=48.25e0 + bin*0.5e0')}, n, {cols('median', 'std_err')} FROM (SELECT CAST(floor((ra - 48.0e0)/0.5e0) AS INT) AS bin, count(*) AS n, median(fwhm) AS median, "
+        "stddev_samp(fwhm)/sqrt(count(*)) AS std_err FROM seen WHERE fwhm > 0.5 AND fwhm < 3.0 AND ra >= 48 AND ra < 61.5 GROUP BY 1 HAVING count(*) >= 50)", seeing)
+    o["d3b_correction_by_ra"] = statement(
+        f"SELECT bin, {cols('center=bin + 48.5e0')}, n, {cols('mean_ac_mmag', 'median_fwhm')} FROM (SELECT CAST(floor(ra - 48.0e0) AS INT) AS bin, count(*) AS n, median(mean_ac)*1000 AS mean_ac_mmag, "
+        "median(median_fwhm) AS median_fwhm FROM acnode WHERE ra >= 48 AND ra < 61 GROUP BY 1 HAVING count(*) >= 11)", aperture)
     o["d5_gradient_table"] = statement(
         f"SELECT expnum, ccdnum, {cols('ra', 'dec', 'solved_minus_fgcm_mmag=a', 'before_minus_fgcm_mmag=b', 'solved_minus_before_mmag=c', 'fgcm_minus_zpterm_mmag=d')} FROM grad")
     long = {"glong": " UNION ALL ".join(f"SELECT ra, '{n}' AS quantity, {c} AS val FROM grad" for c, n in zip("abcd", (
         "solved_minus_fgcm_mmag", "before_minus_fgcm_mmag", "solved_minus_before_mmag", "fgcm_minus_zpterm_mmag")))}
     o["d5_gradient_summary"] = statement(
-        f"SELECT quantity, count(*) AS n, {cols('slope=regr_slope(val, ra)', 'intercept=regr_intercept(val, ra)', 'total=regr_slope(val, ra)*(max(ra) - min(ra))')} FROM glong GROUP BY quantity", long)
+        f"SELECT quantity, n, {cols('slope', 'intercept', 'total', 'r', f'p={T_TEST}')} FROM (SELECT quantity, count(*) AS n, regr_slope(val, ra) AS slope, "
+        "regr_intercept(val, ra) AS intercept, regr_slope(val, ra)*(max(ra) - min(ra)) AS total, corr(ra, val) AS r FROM glong GROUP BY quantity)", long)
     o["d5_per_exposure"] = statement(
         f"SELECT expnum, {cols('ra=avg(ra)', 'dec=avg(dec)', 'solved_minus_fgcm_mmag=median(a)', 'before_minus_fgcm_mmag=median(b)', 'solved_minus_before_mmag=median(c)')} FROM grad GROUP BY expnum")
     half = lambda t, c: (f"count(*) FILTER ({c}) AS n_{t}, " + cols(f"slope_{t}=regr_slope(y, x) FILTER ({c})", f"intercept_{t}=regr_intercept(y, x) FILTER ({c})", f"r_{t}=corr(x, y) FILTER ({c})"))

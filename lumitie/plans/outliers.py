@@ -178,7 +178,7 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
             remove_flagged(out.star_lists, out.flagged_stars, out.flagged_detections,
                            out.flagged_exposures, out.flagged_nodes), "star-lists")
         out.system = N.accumulate(out.star_lists, nodes, stage, cap=cfg.quality_cuts.max_detections_per_star)
-        zp, info = V.solve_anchored(out.system, nodes, anchors, cfg, stage)
+        zp, info = V.solve_anchored(out.system, nodes, anchors, cfg, stage, out.zp)
         out.zp = stage.write(zp, "zp")
         after = residuals(out.star_lists, out.zp).agg(_rms(None).alias("rms")).first()["rms"]
         stage.drop(resid)

@@ -723,10 +723,42 @@ def m8_seeing_bins(w):
 @query
 def m8_aperture_correction(w):
     """Aperture correction fitted to the bins and applied to every detection."""
-    bins = w.stage.write(D.seeing_bins(w.dets), "seeing-bins")
-    coeffs = D.aperture_correction(bins)
-    corrected = D.corrected_magnitudes(w.dets, coeffs)
-    return D.correction_by_node(corrected, w.positions)
+    return _correction_by_node(w)
+
+
+def _aperture_coeffs(w):
+    return D.aperture_correction(w.stage.write(D.seeing_bins(w.dets), "seeing-bins"))
+
+
+def _correction_by_node(w):
+    return D.correction_by_node(D.corrected_magnitudes(w.dets, _aperture_coeffs(w)), w.positions)
+
+
+def _aperture_rows(w):
+    system = WI.aperture_system(w.dets, w.nodes, w.cfg, w.stage)
+    zp, _ = WI.aperture_what_if(system, _aperture_coeffs(w), w.nodes, w.anchors, w.cfg, w.stage)
+    return WI.reference_rows(zp, w.anchors, w.positions)
+
+
+@query
+def d3_aperture_what_if(w):
+    """Gradient of the solution before and after the aperture correction."""
+    return rounded(WI.gradient_table(_aperture_rows(w)), 3)
+
+
+@query
+def d3_gradient_bins(w):
+    return rounded(WI.gradient_bins(_aperture_rows(w)), 3)
+
+
+@query
+def d3b_seeing_by_ra(w):
+    return WI.seeing_by_right_ascension(w.dets)
+
+
+@query
+def d3b_correction_by_ra(w):
+    return WI.correction_by_right_ascension(_correction_by_node(w))
 
 
 def _stretched(w):

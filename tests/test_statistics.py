@@ -1,7 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumitie.functions.special import correlation_p_value, incomplete_beta, log_gamma
 from lumitie.operators import regress as G
 from lumitie.operators import robust as Q
 from lumitie.operators import skymatch as S
@@ -98,11 +101,41 @@ def test_polynomial_colour_term_matches_numpy(spark):
     assert G.colour_polynomial(df.limit(9), "c", "d", 5)[0] is None
 
 
-def test_correlation_p_value():
-    # Reference values of Student's t: |t| = 2.228 at 10 degrees of freedom is p = 0.05.
-    t = 2.228
-    assert G.line_p_value(t / np.sqrt(t * t + 10), 12) == pytest.approx(0.05, abs=1e-4)
-    assert G.line_p_value(0.0, 30) == pytest.approx(1.0, abs=1e-6)
+def test_p_values_of_correlations(spark):
+    """Against the finite sums of Student's t and known points."""
+    def exact(r, n):
+        dof, s, c = n - 2, abs(r), math.sqrt(1 - r * r)
+        if dof % 2:
+            terms, term = 0.0, 1.0
+            for k in range((dof - 1) // 2):
+                terms += term
+                term *= (2 * k + 2) / (2 * k + 3) * c * c
+            return 1 - 2 / math.pi * (math.asin(s) + s * c * terms)
+        terms, term = 0.0, 1.0
+        for k in range(dof // 2):
+            terms += term
+            term *= (2 * k + 1) / (2 * k + 2) * c * c
+        return 1 - s * terms
+
+    t = 2.228138852
+    rows = [(t / math.sqrt(t * t + 10), 12, 0.05), (0.0, 30, 1.0), (1.0, 9, 0.0), (-1.0, 9, 0.0)]
+    rows += [(r, n, exact(r, n)) for n in (3, 4, 5, 8, 31, 200, 5001) for r in (-0.9, -0.2, 0.01, 0.05, 0.3, 0.6)]
+    df = spark.createDataFrame([(float(r), n, float(p)) for r, n, p in rows] + [(None, 9, None), (0.5, 2, None), (float("nan"), 9, None)], "r double, n long, p double")
+    for row in df.select("*", correlation_p_value(F.col("r"), F.col("n")).alias("got")).collect():
+        assert (row.got is None) if row.p is None else row.got == pytest.approx(row.p, abs=1e-8), row
+
+
+def test_incomplete_beta_and_gamma(spark):
+    rows = [(x, a, b) for x in (0.0, 0.01, 0.3, 0.5, 0.9, 0.999, 1.0) for a, b in ((0.5, 0.5), (2.0, 3.0), (40.0, 0.5), (0.5, 40.0), (1e4, 0.5))]
+    df = spark.createDataFrame(rows, "x double, a double, b double")
+    for r in df.select("*", incomplete_beta(F.col("x"), F.col("a"), F.col("b")).alias("i"), incomplete_beta(1 - F.col("x"), F.col("b"), F.col("a")).alias("j"),
+                       log_gamma(F.col("a")).alias("g")).collect():
+        assert r.g == pytest.approx(math.lgamma(r.a), rel=1e-12, abs=1e-12)
+        assert r.i + r.j == pytest.approx(1.0, abs=1e-9) and 0 <= r.i <= 1 + 1e-12
+        if (r.a, r.b) == (0.5, 0.5):
+            assert r.i == pytest.approx(2 / math.pi * math.asin(math.sqrt(r.x)), abs=1e-9)
+        if (r.a, r.b) == (2.0, 3.0):
+            assert r.i == pytest.approx(6 * r.x ** 2 - 8 * r.x ** 3 + 3 * r.x ** 4, abs=1e-12)
 
 
 def plane(spark, n, fn, noise=0.0):

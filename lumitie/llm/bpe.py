@@ -11,7 +11,9 @@ Rows stay where they are: encoding and decoding are narrow, without any shuffle.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,8 +26,10 @@ from lumitie.llm.batches import small_batches
 
 #: Largest rank file that is sent to the executors.
 MAX_RANK_BYTES = 64 << 20
-#: Pre-tokens a worker remembers, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
+#: Bytes of one of the two generations of pre-tokens that a worker remembers, about, and the longest that it remembers.
+CACHE_BYTES, CACHE_CHARS = 40 << 20, 64
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
 #: Above every rank.
 NO_RANK = 1 << 40
 
@@ -132,15 +136,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Known(dict):
-    """Ids of pre-tokens, as little-endian unsigned 32-bit integers, computed when first asked for."""
+    """Ids of pre-tokens, as little-endian unsigned 32-bit integers, computed when first asked for.
+
+    When the young generation is full it becomes the old one, and what is asked for again returns from there; so
+    common pre-tokens stay and both together hold at most twice CACHE_BYTES.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.old, self.size = ranks, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join([i.to_bytes(4, "little") for i in merge(word.encode("utf-8"), self.ranks)])
+        ids = self.old.get(word)
+        if ids is None:
+            found = merge(word.encode("utf-8"), self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            self.size += ENTRY_BYTES + len(word) + len(ids)
+            if self.size > CACHE_BYTES:
+                self.old, self.size = dict(self), 0
                 self.clear()
             self[word] = ids
         return ids
@@ -240,7 +253,21 @@ def decode(encoded: DataFrame, shared, ids: str = "ids", name: str = "decoded")
 
 
 def digests(docs: DataFrame, shared, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, shared, text), shared)
-    return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, in one pass; ids and decoded bytes stay in the task."""
+    small_batches(docs.sparkSession)
+    part = docs.select("doc_id", F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            n, ids, decoded = [], [], []
+            for texts in _slices(batch.column(1)):
+                for one in map(codec.encode, texts):
+                    n.append(len(one) // 4)
+                    ids.append(hashlib.sha256(one).hexdigest())
+                    decoded.append(hashlib.sha256(codec.decode(one)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = part.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return part.mapInArrow(run, schema)

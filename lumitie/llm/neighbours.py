@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumitie.llm.hot import salted_join
 from lumitie.sources.stage import Stage
 
 TABLES = 2
 SUCCESS = 0.96
 SAMPLE = 4096
-MOST_FUNCTIONS = 10
 #: Vectors per cell aimed at, cells per projection within two standard deviations, cells of the first round.
-PER_CELL, CELLS_PER_AXIS, FIRST_PROBES = 128, 2.5, 16
-VECTOR_BLOCK, QUERY_BLOCK = 512, 256
+PER_CELL, CELLS_PER_AXIS, FIRST_PROBES = 2048, 3.0, 4
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 256
 #: Vector blocks that a block of queries without a radius meets in one task, about.
 SPAN = 8
 
@@ -119,7 +119,7 @@ def _matrix(column) -> np.ndarray:
 def fit(vectors: DataFrame, length: int, count: int) -> Grid:
     """Cell width from a bounded sample, chosen by hash of the id; number of functions from the number of vectors."""
     rows = vectors.where(F.col("length") == length).orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()
-    k = min(MOST_FUNCTIONS, max(1, round(math.log(max(count / PER_CELL, 1.01)) / math.log(CELLS_PER_AXIS))))
+    k = max(1, round(math.log(max(count / PER_CELL, 1.01)) / math.log(CELLS_PER_AXIS)))
     rng = np.random.default_rng(length)
     axes = rng.standard_normal((length, TABLES * k))
     spread = float((np.array([r["v"] for r in rows], float) @ axes).std(axis=0).mean())
@@ -143,8 +143,9 @@ def build_index(vectors: DataFrame, grid: Grid, stage: Stage) -> DataFrame:
     hashed, seen = stage.write(mine.mapInArrow(run, "id long, v array<double>, cells array<long>, codes array<long>"), "hashed", ends)
     grid.low, grid.high = (np.array([seen[f"{name}{i}"] for i in range(TABLES * grid.k)]) for name in ("low", "high"))
     rows = hashed.select("id", "v", F.posexplode("cells").alias("t", "cell"))
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
-    return stage.write(rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = stage.write(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    parts = F.ceil(F.col("n") / VECTOR_BLOCK)
+    return stage.write(salted_join(rows, sizes, ["cell"], "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
                        .groupBy("cell", "t", "part").agg(F.collect_list(F.struct("id", "v")).alias("m")), "blocks")
 
 
@@ -173,20 +174,46 @@ def _visited(queries: DataFrame, grid: Grid, first: bool) -> DataFrame:
     return queries.mapInArrow(run, "cell long, id long, v array<double>, radius double")
 
 
+def _rows(block: pa.ListScalar) -> list[np.ndarray]:
+    """The columns of a block of structs as arrays; vectors as a matrix."""
+    out = []
+    for column in block.values.flatten():
+        whole = column.flatten() if pa.types.is_list(column.type) else column
+        values = whole.to_numpy(zero_copy_only=False)
+        out.append(values.reshape(len(column), -1) if whole is not column else values)
+    return out
+
+
+def nearest_in_block(x: np.ndarray, ids: np.ndarray, own: int, q: np.ndarray, radius: float, rough: np.ndarray, slack: float, k: int):
+    """Places and distances of the ``k`` nearest of a block within the radius; ``rough`` are squared distances within ``slack``."""
+    near = np.flatnonzero((rough <= radius * radius * (1 + 1e-9) + slack) & (ids != own))
+    if len(near) > 4 * k:
+        edge = np.partition(rough[near], k - 1)[k - 1]
+        near = near[rough[near] <= edge + 2 * slack]
+    score = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
+    keep = score <= radius
+    near, score = near[keep], score[keep]
+    first = np.lexsort((ids[near], score))[:k]
+    return near[first], score[first]
+
+
 def _compared(met: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the ``k`` nearest within the radius, for each pair (q, m) of query and vector blocks."""
+    """query_id, vec_id, score: the ``k`` nearest within the radius, for each pair (q, m) of query and vector blocks.
+
+    A product of both blocks gives the squared distances but for rounding; what may be among the nearest is computed exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                q, m = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                x, ids = np.array([r["v"] for r in m], float), np.array([r["id"] for r in m])
+                (own, q, radius), (ids, x) = _rows(batch.column(0)[at]), _rows(batch.column(1)[at])
+                norms, own_norms = (x ** 2).sum(1), (q ** 2).sum(1)
+                rough = norms[None, :] + own_norms[:, None] - 2 * (q @ x.T)
                 out = []
-                for one in q:
-                    score = np.sqrt(((x - np.array(one["v"], float)) ** 2).sum(axis=1))
-                    near = np.flatnonzero((score <= one["radius"]) & (ids != one["id"]))
-                    near = near[np.lexsort((ids[near], score[near]))][:k]
-                    out.append((np.full(len(near), one["id"]), ids[near], score[near]))
+                for i in range(len(own)):
+                    slack = 1e-12 * x.shape[1] * float(norms.max() + own_norms[i])
+                    near, score = nearest_in_block(x, ids, own[i], q[i], radius[i], rough[i], slack, k)
+                    out.append((np.full(len(near), own[i]), ids[near], score))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
@@ -207,21 +234,21 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _search(queries: DataFrame, index: DataFrame, grid: Grid, k: int, stage: Stage) -> DataFrame:
     """Both rounds; joins are merged, as what a query visits is far larger than Catalyst expects from its input."""
     parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, parts)
     blocks = index.select("cell", "part", "m").hint("merge")
-    # at most a row of 16 bytes for VECTOR_BLOCK vectors of a table
     large = index.where("part > 0").groupBy("cell").agg(F.max("part").alias("last"))
 
     def met(visits: DataFrame) -> DataFrame:
         each = F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("part")
-        wanted = _grouped(visits, parts).join(F.broadcast(large), "cell", "left").select("cell", each, "q")
+        wanted = _grouped(visits, parts).join(large, "cell", "left").select("cell", each, "q")
         return _compared(wanted.hint("merge").join(blocks, ["cell", "part"]), k)
 
-    start = queries.select("id", "v", F.lit(grid.width).alias("radius")).repartition("id")
+    start = queries.select("id", "v", F.lit(grid.width).alias("radius")).repartition(tasks, "id")
     near = stage.write(_best(met(_visited(start, grid, True).withColumn("radius", F.lit(float("inf")))), k), "first")
     reach = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("radius")).where(F.col("n") >= k)
     known = stage.write(queries.join(reach.select(F.col("query_id").alias("id"), "radius"), "id", "left"), "radii")
     found = near.select("query_id", "vec_id", "score").unionByName(
-        met(_visited(known.where("radius is not null").select("id", "v", "radius").repartition("id"), grid, False)))
+        met(_visited(known.where("radius is not null").select("id", "v", "radius").repartition(tasks, "id"), grid, False)))
     few = known.where("radius is null")
     if not few.isEmpty():
         # every block of one table meets every block of these queries
@@ -238,11 +265,12 @@ def _search(queries: DataFrame, index: DataFrame, grid: Grid, k: int, stage: Sta
 def nearest(embeddings: DataFrame, queries: DataFrame, stage: Stage, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the ``k`` nearest vectors found, by Euclidean distance and then id.
 
-    A query's own are the rows of its id.  Vectors that cannot take part (see ``usable``) are left out on both sides, repeated
+    A query's own are the rows of its id; of several vectors of one id and length the
+    smallest is asked for.  Vectors that cannot take part (see ``usable``) are left out on both sides, repeated
     rows count once, and vectors of different lengths are never neighbours.  With ``k`` candidates or fewer, all are returned.
     """
     vectors = stage.write(usable(embeddings, vec_id, vector), "vectors")
-    wanted = stage.write(usable(queries, vec_id, vector).dropDuplicates(["id", "length"]), "queries")
+    wanted = stage.write(usable(queries, vec_id, vector).groupBy("id", "length").agg(F.min("v").alias("v")), "queries")
     lengths = vectors.groupBy("length").count().join(wanted.select("length").distinct(), "length").collect()
     out = None
     for row in sorted(lengths):

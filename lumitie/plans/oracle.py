@@ -330,6 +330,32 @@ def _build() -> dict:
              "starpix": f"SELECT objectid, {ang2pix(32, 'ra', 'dec')} AS healpix_pixel FROM fx_stars"}
     o["x4_region_stars"] = statement(
         "SELECT healpix_pixel, count(objectid) AS n_stars FROM patch LEFT JOIN starpix USING (healpix_pixel) GROUP BY ALL", patch)
+    # the patch lies in the belt, where every ring has 4 nside cells
+    def around(ns: int, where: str) -> str:
+        upper = f"floor({ns}*(2.0e0 - 1.5e0*cos(radians(90.0e0 - dec))))"
+        parts = []
+        for ring, share in (("up", "1.0e0 - down"), ("up + 1", "down")):
+            off = f"(CASE WHEN ({ring} - {ns}) % 2 = 0 THEN 0.5e0 ELSE 0.0e0 END)"
+            x = f"(ra/360.0e0*{4*ns} - {off})"
+            for k, along in ((0, f"(1.0e0 - {x} + floor({x}))"), (1, f"({x} - floor({x}))")):
+                parts.append(f"SELECT objectid, {ns} AS ns, CAST({2*ns*(ns-1)} + ({ring} - {ns})*{4*ns} + ((floor({x}) + {k}) % {4*ns}) AS BIGINT) AS pixel, {along}*({share}) AS wt FROM u{ns}")
+        theta = lambda r: f"acos(({2*ns} - ({r}))*{2.0/(3*ns)!r})"
+        return {f"u{ns}": (f"SELECT *, (radians(90.0e0 - dec) - {theta('up')})/({theta('up + 1')} - {theta('up')}) AS down FROM "
+                           f"(SELECT objectid, ra, dec, {upper} AS up FROM fx_stars WHERE {where})"),
+                f"a{ns}": " UNION ALL ".join(parts)}
+
+    dust = {**around(16, "TRUE"), **around(64, "TRUE"),
+            "dustmap": ("SELECT ns, pixel, 0.02e0 + ((pixel*37) % 101)/1000.0e0 + ns/10000.0e0 AS ebv FROM (SELECT DISTINCT ns, pixel FROM a16 "
+                        "UNION SELECT DISTINCT ns, pixel FROM a64 JOIN fx_stars USING (objectid) WHERE ra > 54)"),
+            "dusted": ("SELECT objectid, ns, sum(wt*ebv)/sum(wt) AS ebv_sfd, sum(wt) AS known FROM (SELECT * FROM a16 UNION ALL SELECT * FROM a64) JOIN dustmap USING (ns, pixel) GROUP BY ALL")}
+    o["s17_dust_lookup"] = statement(
+        f"SELECT objectid, CAST(ns AS INT) AS nside, {cols('ebv_sfd')} FROM dusted WHERE known > 0 QUALIFY row_number() OVER (PARTITION BY objectid ORDER BY known >= 1 - 1.0e-9 DESC, ns DESC) = 1", dust)
+    every = {"allpix": "SELECT k AS p, k AS healpix_pixel FROM range(12288) t(k)", **{k: pix[k].replace("(SELECT DISTINCT healpix_pixel AS p FROM skypix)", "(SELECT p FROM allpix)")
+                                                                                    for k in ("ringed", "centers")},
+             "starpix": f"SELECT objectid, {ang2pix(32, 'ra', 'dec')} AS healpix_pixel FROM fx_stars"}
+    o["x5_footprint"] = statement(
+        f"SELECT p AS healpix_pixel, {cols('ra_center=ra', 'dec_center=degrees(asin(z))')}, coalesce(n, 0) AS n_stars FROM centers LEFT JOIN "
+        "(SELECT healpix_pixel AS p, count(*) AS n FROM starpix GROUP BY 1) USING (p) WHERE degrees(asin(z)) < -29.5", every)
     o["w1_detection_cap"] = statement(f"SELECT {det_cols}, {cols('m_inst', 'm_err')} FROM ranked WHERE rk <= 25")
     o["w1_detection_cap15"] = statement(f"SELECT {det_cols}, {cols('m_inst', 'm_err')} FROM cap15")
     o["f5_min_detections"] = statement(

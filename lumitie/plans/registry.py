@@ -29,6 +29,7 @@ from lumitie.plans import starflat as SF
 from lumitie.plans import validate as VA
 from lumitie.plans import whatif as WI
 from lumitie.plans.workspace import workspace
+from lumitie.sources import dust as DU
 from lumitie.sources import fixtures as X
 from lumitie.sources import references as REF
 from lumitie.sources import tables as T
@@ -547,6 +548,19 @@ def i9_catalog_summary(w):
     return K.catalog_summary(w.trial_catalog, "g")
 
 
+@query
+def s17_dust_lookup(w):
+    """Extinction of every star, interpolated on a map of two resolutions."""
+    return DU.lookup(w.stars, X.dust(w.spark, w.sf_dir))
+
+
+@query
+def x5_footprint(w):
+    """Pixels of the whole sky below a declination with the stars they hold."""
+    counts = H.with_pixel(w.stars, 32).groupBy("healpix_pixel").agg(F.count(F.lit(1)).alias("n_stars"))
+    return H.footprint_pixels(w.spark, 32, -29.5).join(counts, "healpix_pixel", "left").na.fill(0, ["n_stars"])
+
+
 # --- matches and validation -----------------------------------------------------------
 
 @query

@@ -146,3 +146,15 @@ def xmatch(spark: SparkSession, sf_dir: str, offset: int = 7000000) -> DataFrame
     s = stars(spark, sf_dir)
     return s.selectExpr(f"objectid + {offset} AS id1", "objectid AS id2",
                         "0.1e0 + (objectid % 12)/10.0e0 AS distance")
+
+
+def dust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dust map around all stars at a coarse resolution and around those east of RA 54 at a finer one."""
+    from lumitie.functions.healpix import interpolation_rows
+
+    out = None
+    for nside, where in ((16, "true"), (64, "ra > 54.0e0")):
+        cells = interpolation_rows(stars(spark, sf_dir).where(where), nside).select(F.col("pixel").alias("healpix_pixel")).distinct()
+        one = cells.selectExpr(f"{nside} AS nside", "healpix_pixel", f"0.02e0 + ((healpix_pixel*37) % 101)/1000.0e0 + {nside}/10000.0e0 AS ebv")
+        out = one if out is None else out.unionByName(one)
+    return out

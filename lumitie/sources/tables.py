@@ -122,11 +122,18 @@ def pad_columns(df: DataFrame, struct) -> DataFrame:
 
 
 def attach_ebv(catalog: DataFrame, ebv: DataFrame | None, nside: int = 512) -> DataFrame:
-    """Reddening by HEALPix cell of a dust table; NULL without a map."""
+    """Reddening from a dust table; NULL without a map.
+
+    A table with a column ``nside`` is interpolated between cells (see ``sources.dust``); one without gives the value of the cell at
+    the given resolution.
+    """
     from lumitie.functions.healpix import with_pixel
+    from lumitie.sources.dust import lookup
 
     if ebv is None:
         return catalog.withColumn("ebv_sfd", F.lit(None).cast("double"))
+    if "nside" in ebv.columns:
+        return catalog.join(lookup(catalog, ebv).select("objectid", "ebv_sfd"), "objectid", "left")
     keyed = with_pixel(catalog, nside)
     return (keyed.join(ebv.select("healpix_pixel", F.col("ebv").alias("ebv_sfd")),
                        "healpix_pixel", "left").drop("healpix_pixel"))

@@ -7,6 +7,7 @@ the steps it needs.
 from __future__ import annotations
 
 import re
+from math import comb
 
 from lumitie.config import EXTINCTION, EpochBoundaries
 from lumitie.sources.fixtures import MEAS_EXPR
@@ -291,6 +292,23 @@ def elimination(name: str, source: str, features: list, target: str, keys: str =
     return steps
 
 
+def weighted(features: list, first: int = 0) -> str:
+    """The fitted value from the coefficients of ``elimination``; ``first`` leaves out leading terms."""
+    return " + ".join(f"c{i}*({f})" for i, f in enumerate(features) if i >= first)
+
+
+def clip_fit(name: str, source: str, features: list, target: str, rounds: int, centred: bool) -> dict:
+    """Steps of a fit with 3 sigma clipping over all rows: ``{name}k`` has the rows with ``keep``, ``{name}fit`` the last coefficients."""
+    steps = {f"{name}k0": f"SELECT *, TRUE AS keep FROM {source}"}
+    for k in range(rounds):
+        steps |= elimination(f"{name}f{k}", f"{name}k{k}", features, target, where="keep")
+        spread = "stddev_pop(e)" if centred else "sqrt(avg(e*e))"
+        steps[f"{name}e{k}"] = f"SELECT s.*, ({target}) - ({weighted(features)}) AS e FROM {name}k{k} s, {name}f{k}"
+        steps[f"{name}k{k+1}"] = (f"SELECT * EXCLUDE (keep, e), abs(e) < 3.0e0*(SELECT {spread} FROM {name}e{k} WHERE keep) AS keep FROM {name}e{k}")
+    steps[f"{name}k"] = f"SELECT * FROM {name}k{rounds}"
+    return steps | elimination(f"{name}fit", f"{name}k", features, target, where="keep")
+
+
 #: Two-sided p of a correlation r over n rows, by the finite sums of Student's t for whole degrees of freedom.
 T_TEST = ("CASE WHEN n > 2 THEN 1.0e0 - (CASE WHEN (n - 2) % 2 = 1 THEN 2.0e0/pi()*(asin(abs(r)) + abs(r)*sqrt(1 - r*r)*coalesce((SELECT "
           "sum(exp(k*ln(4.0e0) + 2*lgamma(k + 1.0e0) - lgamma(2*k + 2.0e0) + k*ln(1 - r*r))) FROM range(0, CAST((n - 3)//2 AS BIGINT)) t(k)), 0)) "
@@ -571,6 +589,41 @@ def _build() -> dict:
         f"SELECT a.objectid, {cols('ra', 'dec', 'gr=a.m - b.m', 'resid_mmag=(a.m - g.bp)*1000')} FROM sg a JOIN sr b USING (objectid) JOIN gaia g USING (objectid) "
         "WHERE a.n >= 2 AND g.xmatch_dist < 1.0e0 AND g.bp BETWEEN 10 AND 25 AND g.bp_rp BETWEEN 0.3 AND 3.5 AND g.snr > 50", band_r)
 
+    # gradient against Gaia: a cubic in colour and a plane, refitted once after a clip
+    terms = ["dc", "dc*dc", "dc*dc*dc", "dx", "dy", "1.0e0"]
+    tilt = {**band_r, "gsample": ("SELECT g.ra, g.dec, a.m - b.m AS gr, (a.m - g.bp)*1000 AS y FROM sg a JOIN sr b USING (objectid) JOIN gaia g USING (objectid) "
+                                  "WHERE a.n >= 2 AND g.xmatch_dist < 1.0e0 AND g.bp BETWEEN 10 AND 25 AND g.bp_rp BETWEEN 0.3 AND 3.5 AND g.snr > 50"),
+            "gcut": "SELECT * FROM gsample WHERE abs(y - (SELECT median(y) FROM gsample)) <= 500 AND gr BETWEEN -0.5 AND 2.5",
+            "gmid": "SELECT avg(ra) AS ra0, avg(dec) AS dec0, median(gr) AS gr0 FROM gcut",
+            "gset": "SELECT y, gr - gr0 AS dc, ra - ra0 AS dx, dec - dec0 AS dy FROM gcut, gmid",
+            **clip_fit("gt", "gset", terms, "y", 1, True),
+            "gzp": ("SELECT z.expnum, z.ccdnum, z.zp_solved - (c3*(p.ra_mean - ra0) + c4*(p.dec_mean - dec0))/1000 AS x FROM live_zp z "
+                    "JOIN positions p USING (expnum, ccdnum), gtfit, gmid"),
+            "gzoff": "SELECT median(x - zp_fgcm) AS off FROM gzp JOIN good_anchors USING (expnum, ccdnum)"}
+    o["m2_gaia_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')} FROM gzp, gzoff", tilt)
+    # surface linear in RA and cubic in declination fitted to the anchors with three clips
+    cubic = ["1.0e0", "dx", "dy", "dy*dy", "dy*dy*dy", "dx*dy"]
+    bowl = {"sall": "SELECT p.ra_mean, p.dec_mean, z.zp_solved - a.zp_fgcm AS y FROM live_zp z JOIN good_anchors a USING (expnum, ccdnum) JOIN positions p USING (expnum, ccdnum)",
+            "smid": "SELECT avg(ra_mean) AS ra0, avg(dec_mean) AS dec0 FROM sall",
+            "sset": "SELECT y, ra_mean - ra0 AS dx, dec_mean - dec0 AS dy FROM sall, smid",
+            **clip_fit("sf", "sset", cubic, "y", 3, True),
+            "splace": "SELECT z.expnum, z.ccdnum, z.zp_solved, p.ra_mean - ra0 AS dx, p.dec_mean - dec0 AS dy FROM trial_zp z LEFT JOIN positions p USING (expnum, ccdnum), smid",
+            "sout": f"SELECT expnum, ccdnum, zp_solved - coalesce({weighted(cubic, 1)}, 0) AS x FROM splace, sffit",
+            "soff": "SELECT median(x - zp_fgcm) AS off FROM sout JOIN good_anchors USING (expnum, ccdnum)"}
+    o["m3_polynomial_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')} FROM sout, soff", bowl)
+    # flat over the detector: products of Chebyshev polynomials per detector and epoch
+    tx, ty = cheb("ux"), cheb("uy")
+    waves = [f"({tx[k // 4]})*({ty[k % 4]})" for k in range(16)]
+    chip = {"cgroups": "SELECT ccdnum, epoch FROM plane GROUP BY ALL HAVING count(*) >= 50",
+            "cgood": ("SELECT p.ccdnum, p.epoch, p.residual, 2.0e0*(x - 1.0e0)/2047.0e0 - 1.0e0 AS ux, 2.0e0*(y - 1.0e0)/4095.0e0 - 1.0e0 AS uy FROM plane p JOIN cgroups USING (ccdnum, epoch) "
+                      "JOIN plane_stats USING (ccdnum, epoch) WHERE abs(residual - median) < 3.0e0*(CASE WHEN mad > 0 THEN 1.4826e0*mad ELSE sd END)"),
+            "cwaves": "SELECT ccdnum, epoch, residual, " + ", ".join(f"{f} AS w{k}" for k, f in enumerate(waves)) + " FROM cgood",
+            **elimination("cfit", "cwaves", [f"w{k}" for k in range(16)], "residual", keys="ccdnum, epoch"),
+            "cmodel": f"SELECT g.ccdnum, g.epoch, residual, {weighted([f'w{k}' for k in range(16)])} AS m FROM cwaves g JOIN cfit c ON c.ccdnum = g.ccdnum AND c.epoch = g.epoch WHERE c.n >= 50"}
+    o["m6_starflat_fit"] = statement(
+        "SELECT ccdnum, epoch, count(*) AS n_stars, " + cols("correction_rms_mmag=sqrt(avg(m*m))*1000", "rms_before_mmag=sqrt(avg(residual*residual))*1000",
+                                                           "rms_after_mmag=sqrt(avg((residual - m)*(residual - m)))*1000", digits=4) + " FROM cmodel GROUP BY ALL", chip)
+
     o["a21_magzero"] = statement(f"SELECT {cols('magzero=mz')}, (SELECT count(*) FROM anchors) AS n_anchors FROM magzero")
     cat_cols = cols("ra", "dec", "mag_cal_g", "mag_starflat_g", "mag_before_g", "magerr_cal_g", "chi2_g")
     o["i9_catalog"] = statement(f"SELECT objectid, {cat_cols}, nobs_g FROM catalog WHERE objectid % 211 <> 0")
@@ -758,6 +811,26 @@ def _build() -> dict:
     o["v4_gaia_rows"] = statement(
         f"SELECT c.objectid, {cols('ra=c.ra', 'dec=c.dec', f'''delta=(mag_cal_g - {e['decam_g']}e0*ebv_sfd - (g.bp - {e['gaia_bp']}e0*ebv_sfd))*1000''', f'''delta_before=(mag_before_g - {e['decam_g']}e0*ebv_sfd - (g.bp - {e['gaia_bp']}e0*ebv_sfd))*1000''', f'''color=k.gr - ({e['decam_g']}e0 - {e['decam_r']}e0)*ebv_sfd''')} "
         "FROM multi c LEFT JOIN gcol k USING (objectid) JOIN gaia g USING (objectid) WHERE g.xmatch_dist < 1.0e0 AND mag_cal_g > 15 AND mag_cal_g < 22 AND g.bp > 10 AND g.bp < 25", gr)
+    # colour term of degree 5 with three clips, fitted in t = al color + be and expanded into powers of the colour
+    powers = [f"pow(t, {k})" for k in range(6)]
+    e4 = (f"(mag_cal_g - {e['decam_g']}e0*ebv_sfd - (g.bp - {e['gaia_bp']}e0*ebv_sfd))*1000", f"(mag_before_g - {e['decam_g']}e0*ebv_sfd - (g.bp - {e['gaia_bp']}e0*ebv_sfd))*1000")
+
+    def gaia_steps(color: str) -> dict:
+        return {**gr, "v4rows": (f"SELECT {e4[0]} AS y, {e4[1]} AS yb, {color} AS color FROM multi c LEFT JOIN gcol k USING (objectid) JOIN gaia g USING (objectid) "
+                                 "WHERE g.xmatch_dist < 1.0e0 AND mag_cal_g > 15 AND mag_cal_g < 22 AND g.bp > 10 AND g.bp < 25"),
+                "v4span": "SELECT min(color) AS lo, max(color) - min(color) AS wd FROM v4rows WHERE color IS NOT NULL AND y IS NOT NULL",
+                "v4set": "SELECT y, yb, 2.0e0*(color - lo)/wd - 1.0e0 AS t FROM v4rows, v4span WHERE color IS NOT NULL AND y IS NOT NULL",
+                **clip_fit("v4", "v4set", powers, "y", 3, False),
+                "v4own": "SELECT count(*) > 1000 AS own FROM multi c JOIN gcol USING (objectid) WHERE mag_cal_g > 15 AND mag_cal_g < 22",
+                "v4sum": (f"SELECT count(*) AS n_common, any_value(n) AS n_stars, sqrt(avg(y*y)) AS rb, sqrt(avg(pow(y - ({weighted(powers)}), 2))) AS ra, "
+                          f"sqrt(avg(pow(yb - ({weighted(powers)}), 2))) AS rs FROM v4k, v4fit WHERE keep AND yb IS NOT NULL"),
+                "v4unit": "SELECT 2.0e0/wd AS al, -2.0e0*lo/wd - 1.0e0 AS be FROM v4span"}
+
+    expanded = [f"color_term_c{m}=" + " + ".join(f"c{k}*{comb(k, m)}*pow(al, {m})*pow(be, {k - m})" for k in range(m, 6)) for m in range(5, -1, -1)]
+    shade = f"CASE WHEN (SELECT own FROM v4own) THEN k.gr - ({e['decam_g']}e0 - {e['decam_r']}e0)*ebv_sfd ELSE g.bp_rp - ({e['gaia_bp']}e0 - {e['gaia_rp']}e0)*ebv_sfd END"
+    o["v4_gaia_comparison"] = statement(
+        f"SELECT {verdict('Test 4: Gaia comparison', 'ra < 50.0 AND ra <= rs')}, n_common, n_stars, {cols('rms_before_ct_mmag=rb', 'rms_after_ct_mmag=ra', 'rms_before_solve_mmag=rs', *expanded, digits=4)}, "
+        "CAST((SELECT own FROM v4own) AS INT) AS survey_colour FROM v4sum, (SELECT * EXCLUDE (n) FROM v4fit), v4unit", gaia_steps(shade))
     return o
 
 

@@ -475,7 +475,7 @@ def m6_clipped_counts(w):
 def m6_starflat_fit(w):
     """Fitted coefficients per detector and epoch with the residual RMS they remove."""
     coeffs, good = SF.corrections(w.dets, w.trial_zp, w.cfg, w.stage)
-    return SF.correction_stats(good, coeffs)
+    return rounded(SF.correction_stats(good, coeffs), 4)
 
 
 @query
@@ -610,9 +610,12 @@ def _ls(w):
 
 @query
 def v4_gaia_comparison(w):
+    return rounded(_test_4(w), 4)
+
+
+def _test_4(w):
     cat_r = workspace(w.spark, w.sf_dir, "r").trial_catalog
-    return VA.gaia_comparison(w.trial_catalog, w.gaia, "g", w.stage,
-                              VA.good_colours(w.trial_catalog, cat_r))
+    return VA.gaia_comparison(w.trial_catalog, w.gaia, "g", w.stage, VA.good_colours(w.trial_catalog, cat_r))
 
 
 @query

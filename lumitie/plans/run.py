@@ -26,6 +26,7 @@ from lumitie.plans import ingest as I
 from lumitie.plans import outliers as O
 from lumitie.plans import starflat as SF
 from lumitie.plans import validate as VA
+from lumitie.plans.manifest import Manifest, fingerprint, ingest
 from lumitie.session import build_session
 from lumitie.sources import references as R
 from lumitie.sources import tables as T
@@ -40,9 +41,10 @@ class Run:
     """One calibration run: input and output roots, configuration, pixel selection."""
 
     def __init__(self, spark: SparkSession, source: str, output: str, cfg: Config,
-                 pixels: DataFrame | None = None, mode: str = "both"):
+                 pixels: DataFrame | None = None, mode: str = "both", pixel_group: int | None = None):
         self.spark, self.source, self.output = spark, source.rstrip("/"), output.rstrip("/")
         self.cfg, self.pixels, self.mode = cfg, pixels, mode
+        self.pixel_group = pixel_group      # pixels of one commit of phase 0; all that are missing if None
         self.stage = Stage(spark, "run")
 
     def path(self, relation: str, band: str) -> str:
@@ -85,13 +87,22 @@ class Run:
 
     # Phases -------------------------------------------------------------------------
 
+    def manifest(self, band: str) -> Manifest:
+        inputs = [f"{self.source}/{name}" for name in ("meas", "chip", "exposure")]
+        return Manifest(self.spark, self.path("manifest", band), fingerprint(self.spark, inputs, (self.cfg.quality_cuts, self.cfg.survey)))
+
     def phase_0(self, band: str) -> None:
-        dets = I.detections(self.given("meas", S.MEAS), self.given("chip", S.CHIP),
-                            self.given("exposure", S.EXPOSURE), band, self.cfg, self.pixels)
-        T.write_pixels(T.pad_columns(dets, S.DETECTIONS), self.path("detections", band))
-        if self.pixels is not None:
-            gone = I.missing_pixels(self.pixels, self.detections(band)).count()
-            log.info("band %s: %d selected pixels hold no detections", band, gone)
+        """Ingest the selected pixels that no earlier run has committed from the same inputs."""
+        def detections(pixels: DataFrame | None) -> DataFrame:
+            return I.detections(self.given("meas", S.MEAS), self.given("chip", S.CHIP), self.given("exposure", S.EXPOSURE), band, self.cfg, pixels)
+
+        if self.pixels is None:
+            T.write_pixels(T.pad_columns(detections(None), S.DETECTIONS), self.path("detections", band))
+            return
+        manifest = self.manifest(band)
+        done = ingest(manifest, self.pixels, detections, S.DETECTIONS, self.path("detections", band), self.pixel_group)
+        empty = manifest.committed().join(self.pixels.select("healpix_pixel"), "healpix_pixel", "left_semi").where("n_detections = 0").count()
+        log.info("band %s: %d pixels ingested, %d selected pixels hold no detections", band, done, empty)
 
     def phase_1(self, band: str) -> None:
         dets = self.detections(band)
@@ -225,16 +236,25 @@ class Run:
         T.write_report(report, self.path("validation", band))
 
     def phases(self, bands, start: str = "0") -> None:
-        """Phases 0-3 of every band, then 3b-6; resumes at ``start``."""
+        """Phases 0-3 of every band, then 3b-6; resumes at ``start``.
+
+        Starting at phase 1 needs every selected pixel committed, so an unfinished ingest is finished first.  Staged tables go
+        with the run, also when it fails.
+        """
         order = FIRST + SECOND
         wanted = order[order.index(start):]
-        for block in (FIRST, SECOND):
-            for band in bands:
-                for phase in (p for p in block if p in wanted):
-                    began = time.time()
-                    getattr(self, f"phase_{phase}")(band)
-                    log.info("phase %s band %s took %.1f s", phase, band, time.time() - began)
-        self.stage.clear()
+        try:
+            for block in (FIRST, SECOND):
+                for band in bands:
+                    if block is FIRST and start == "1" and self.pixels is not None and not self.manifest(band).missing(self.pixels).isEmpty():
+                        log.info("band %s: the ingest is unfinished", band)
+                        self.phase_0(band)
+                    for phase in (p for p in block if p in wanted):
+                        began = time.time()
+                        getattr(self, f"phase_{phase}")(band)
+                        log.info("phase %s band %s took %.1f s", phase, band, time.time() - began)
+        finally:
+            self.stage.clear()
 
 
 def main(argv=None) -> None:
@@ -249,6 +269,7 @@ def main(argv=None) -> None:
     ap.add_argument("--test-patch", action="store_true")
     ap.add_argument("--pixels", help="comma separated pixel list")
     ap.add_argument("--max-pixels", type=int)
+    ap.add_argument("--pixel-group", type=int, help="pixels committed together in phase 0; default: all that are missing")
     ap.add_argument("--dec-max", type=float, default=35.0)
     ap.add_argument("--master")
     a = ap.parse_args(argv)
@@ -266,7 +287,7 @@ def main(argv=None) -> None:
         pixels = footprint_pixels(spark, nside, a.dec_max).select("healpix_pixel")
     if a.max_pixels:
         pixels = pixels.orderBy("healpix_pixel").limit(a.max_pixels)
-    Run(spark, a.input, a.output, cfg, pixels, a.mode).phases(a.band or cfg.survey.bands, a.start_phase)
+    Run(spark, a.input, a.output, cfg, pixels, a.mode, a.pixel_group).phases(a.band or cfg.survey.bands, a.start_phase)
 
 
 if __name__ == "__main__":

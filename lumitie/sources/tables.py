@@ -52,6 +52,13 @@ def write_pixels(df: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("healpix_pixel").parquet(path))
 
 
+def drop_pixels(spark: SparkSession, path: str, pixels) -> None:
+    """Delete the partitions of the listed pixels."""
+    for pixel in pixels:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/healpix_pixel={int(pixel)}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -33,13 +33,15 @@ UNIT = 1_000_000_000
 SHARD_TERMS, BLOCK_SOURCES = 16_384, 8
 #: Terms a task holds before it sends its counts on.
 HELD_TERMS = 200_000
+#: Parts that share the work of a language where its sizes are looked up.
+PARTS = 32
 # Fixed value: a term is a run of characters that are Latin letters or beyond ASCII.
 TERM = re.compile("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def _lower(term: str) -> str:
-    return term.lower() if term.isascii() else term.translate(_LOWER)
+def terms_of(text: str) -> list[str]:
+    """The terms of a text in order; A to Z alone are lower-cased, which is what lower() does to bytes."""
+    return TERM.findall(text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -64,9 +66,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 for lang, source, text in zip(*[c.to_pylist() for c in batch.slice(k, 64).columns]):
                     n, seen = held.setdefault((lang, source), (Counter(), Counter()))
                     before = len(n)
-                    here = Counter(map(_lower, TERM.findall(text)))
-                    n.update(here)
-                    seen.update(here.keys())
+                    terms = terms_of(text)
+                    n.update(terms)
+                    seen.update(set(terms))
                     size += len(n) - before + 1
                 if size >= HELD_TERMS:
                     yield from rows()
@@ -202,7 +204,9 @@ def audit(docs: DataFrame, stage: Stage, least_documents: int = LEAST_DOCUMENTS,
     kept = stage.write(kept.drop("docs"), "kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     shards = F.ceil(F.col("v") / SHARD_TERMS).cast("long")
-    numbered = (kept.join(sizes, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), shards))
+    part = F.pmod(F.xxhash64("term", F.lit(2)), F.lit(PARTS)).cast("int")
+    dealt = kept.withColumn("part", part).join(sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["lang", "part"])
+    numbered = (dealt.drop("part").withColumn("shard", F.pmod(F.xxhash64("term"), shards)).repartition("lang", "shard")
                 .withColumn("id", F.row_number().over(Window.partitionBy("lang", "shard").orderBy("term")).cast("long")))
     mine = stage.write(known.drop("docs").join(numbered, ["lang", "term"]), "mine")
     groups = counts.where("term is null").select("lang", "source")

@@ -5,7 +5,8 @@ they stand at the same places of equal strings.  Where no trigger follows within
 triggers, and where even these fail, at every byte.  So each string of ``LENGTH`` bytes reads as the end of a phrase
 of at most ``REACH`` bytes and the text from the trigger after it, its anchor.
 
-* Parse: only anchors whose next ``SURE`` bytes occur at another anchor too can belong to a repeated string.  Their
+* Parse: only anchors whose next ``FIRM`` bytes occur at another anchor too can belong to a repeated string (or, for strings that end
+  sooner after their anchor, the next ``SURE`` bytes).  Their
   contexts, ``LENGTH`` bytes from the anchor, are brought into order: equal ones become one entry, the entries are
   divided by range, sorted, and compared with their neighbours, which gives the longest match of each anchor.
 * Dictionary: suffixes of a phrase matter only where a repeated run begins or breaks off.  Such a suffix, of a bytes, is
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 
 from lumitie.llm.batches import small_batches
 from lumitie.llm.hot import salted_join
+from lumitie.llm.prefilter import Prefilter
 from lumitie.sources.stage import Stage
 
 LENGTH = 400
 WINDOW, REACH = 16, 256
 SURE = LENGTH - REACH
+#: Bytes after an anchor that every string holds whose anchor is nearer than LENGTH - FIRM to its start, as most are.
+FIRM = 272
 #: A trigger on average every 64 bytes, a denser one every 8.
 SPARSE, DENSE = 63, 7
 PIECE = 1 << 20
@@ -113,7 +117,11 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def starts_of_anchors(texts: DataFrame) -> DataFrame:
-    """td, at, q: every anchor of each text once, with a hash of the SURE bytes from it."""
+    """td, at, q: every anchor of each text with a hash of the FIRM bytes from it.
+
+    A string whose anchor stands more than LENGTH - FIRM bytes after its start holds fewer of them; for such strings the anchors that serve
+    them give a second row, with a hash of SURE bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,38 +129,76 @@ def starts_of_anchors(texts: DataFrame) -> DataFrame:
                 piece, rows, ats, hashes = batch.slice(k, 64), [], [], []
                 for row, text in enumerate(piece.column(1).to_pylist()):
                     data = _bytes(text)
-                    at = np.unique(anchors(np.frombuffer(data, np.uint8))[:, 0])
-                    rows.append(np.full(len(at), row))
-                    ats.append(at)
-                    hashes += [xxhash.xxh3_64_intdigest(data[a:a + SURE]) for a in at.tolist()]
+                    mine = anchors(np.frombuffer(data, np.uint8))
+                    near = mine[mine[:, 0] + FIRM <= len(data), 0]
+                    far = mine[mine[:, 0] - mine[:, 1] > LENGTH - FIRM, 0]
+                    rows.append(np.full(len(near) + len(far), row))
+                    ats += [near, far]
+                    hashes += [xxhash.xxh3_64_intdigest(data[a:a + FIRM]) for a in near.tolist()]
+                    hashes += [xxhash.xxh3_64_intdigest(data[a:a + SURE], 1) for a in far.tolist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ats)),
                                                   pa.array(np.array(hashes, np.uint64).view(np.int64))], ["td", "at", "q"])
 
     return texts.select("td", "text").mapInArrow(run, "td binary, at long, q long")
 
 
-def _contexts(kept: DataFrame) -> DataFrame:
+def _of_anchors(batches: Iterator[pa.RecordBatch], rows: int = 4096):
+    """td, bytes and the rows (anchor, first start, last start) of the anchors in ``ats``, some at a time."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            data, ats = _bytes(batch.column(1)[row].as_py()), np.array(batch.column(2)[row].values)
+            mine = anchors(np.frombuffer(data, np.uint8))
+            mine = mine[np.isin(mine[:, 0], ats)]
+            for k in range(0, len(mine), rows):
+                yield batch.column(0)[row].as_py(), data, mine[k:k + rows]
+
+
+def _places(kept: DataFrame) -> DataFrame:
     """The anchors in ``ats``: td, at, first, last (starts they serve), g (hash of the bytes from the first start to the anchor),
-    q, c1, c2 (digest of the context), size, rest (the context beyond SURE bytes)."""
+    q and c1, c2 (digest of the context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                data, ats = _bytes(batch.column(1)[row].as_py()), set(batch.column(2)[row].as_py())
-                mine = [x for x in anchors(np.frombuffer(data, np.uint8)).tolist() if x[0] in ats]
-                for k in range(0, len(mine), 4096):
-                    some = mine[k:k + 4096]
-                    parts = [data[x[0]:x[0] + LENGTH] for x in some]
-                    hashes = [[xxhash.xxh3_64_intdigest(p[:SURE]) for p in parts], [xxhash.xxh3_64_intdigest(data[x[1]:x[0]]) for x in some]]
-                    q, g = (pa.array(np.array(h, np.uint64).view(np.int64)) for h in hashes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[row].as_py()] * len(some), pa.binary()), *[pa.array([x[j] for x in some], pa.int64()) for j in range(3)],
-                         g, q, *_two([xxhash.xxh3_128_digest(p) for p in parts]), pa.array([len(p) for p in parts], pa.int32()),
-                         pa.array([p[SURE:] for p in parts], pa.binary())],
-                        ["td", "at", "first", "last", "g", "q", "c1", "c2", "size", "rest"])
+        for td, data, some in _of_anchors(batches):
+            at, first, _ = some.T.tolist()
+            g = [xxhash.xxh3_64_intdigest(data[b:a]) for a, b in zip(at, first)]
+            q = [xxhash.xxh3_64_intdigest(data[a:a + SURE]) for a in at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([td] * len(some), pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in some.T],
+                 *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (g, q)],
+                 *_two([xxhash.xxh3_128_digest(data[a:a + LENGTH]) for a in at])], ["td", "at", "first", "last", "g", "q", "c1", "c2"])
+
+    return kept.select("td", "text", "ats").mapInArrow(run, "td binary, at long, first long, last long, g long, q long, c1 long, c2 long")
+
+
+#: Contexts that a task holds back to merge equal ones.
+HELD_CONTEXTS = 20_000
+_ENTRY = pa.schema([("q", pa.int64()), ("rest", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64())])
+
+
+def _entries(kept: DataFrame) -> DataFrame:
+    """q, rest (the context beyond SURE bytes), c1, c2, n: the contexts of the anchors in ``ats``, equal ones merged inside a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = _two(list(held))
+            n, q, rest = zip(*held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.array(q, np.uint64).view(np.int64)), pa.array(rest, pa.binary()), *keys, pa.array(n, pa.int64())],
+                                              schema=_ENTRY)
 
-    return kept.select("td", "text", "ats").mapInArrow(
-        run, "td binary, at long, first long, last long, g long, q long, c1 long, c2 long, size int, rest binary")
+        for _, data, some in _of_anchors(batches):
+            for a in some[:, 0].tolist():
+                part = data[a:a + LENGTH]
+                entry = held.setdefault(xxhash.xxh3_128_digest(part), [0, xxhash.xxh3_64_intdigest(part[:SURE]), part[SURE:]])
+                entry[0] += 1
+            if len(held) >= HELD_CONTEXTS:
+                yield rows()
+        if held:
+            yield rows()
+
+    return kept.select("td", "text", "ats").mapInArrow(run, "q long, rest binary, c1 long, c2 long, n long")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -164,65 +210,59 @@ def _shared(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
-def in_order(entries: DataFrame, stage: Stage) -> DataFrame:
+def _neighbours(rows: Iterator[dict]) -> Iterator[dict]:
+    """Rows in order, equal contexts merged, each with the longest prefix it shares with the one before or after it."""
+    last = None
+    for row in rows:
+        if last is not None and (row["c1"], row["c2"]) == (last["c1"], last["c2"]):
+            last["n"] += row["n"]
+            continue
+        row.setdefault("match", 0)
+        if last is not None:
+            if row["q"] == last["q"]:
+                same = SURE + _shared(row["rest"], last["rest"])
+                row["match"], last["match"] = max(row["match"], same), max(last["match"], same)
+            yield last
+        last = row
+    if last is not None:
+        yield last
+
+
+def in_order(entries: DataFrame, stage: Stage, ranges: int) -> DataFrame:
     """c1, c2, n, match: the distinct contexts with the length of their longest match.
 
     A context that occurs more than once matches over its whole size.  Others are compared with the neighbours in the order by
     (q, rest).  The first and last entry of each range are staged as well and compared across ranges: two rows
     for each range, in one task.
     """
-    parts = max(1, -(-entries.count() // RANGE_ROWS))
-    order = entries.repartitionByRange(parts, "q", "rest").sortWithinPartitions("q", "rest")
-    fields = "c1 long, c2 long, n long, match int, q long, rest binary"
+    order = entries.repartitionByRange(ranges, "q", "rest").sortWithinPartitions("q", "rest")
+    edge = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("match", pa.int32()), ("q", pa.int64()), ("rest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, True
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()),
-                                                               ("match", pa.int32()), ("q", pa.int64()), ("rest", pa.binary())]))
-
-        for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                row["match"] = row["size"] if row["n"] > 1 else 0
-                if last is not None:
-                    if row["q"] == last["q"]:
-                        same = SURE + _shared(row["rest"], last["rest"])
-                        row["match"], last["match"] = max(row["match"], same), max(last["match"], same)
-                    if not first:
-                        last = {**last, "q": None, "rest": None}
-                    first = False
-                    done.append(last)
-                last = row
-            if done:
-                yield batch_of(done)
-        if last is not None:
-            yield batch_of([last])
-
-    ordered = stage.write(order.select("q", "rest", "c1", "c2", "n", "size").mapInArrow(run, fields), "order")
-    edges = ordered.where("rest is not null")
+        done, last, first = [], None, True
+        for row in _neighbours(row for batch in batches for at in range(0, batch.num_rows, 2048) for row in batch.slice(at, 2048).to_pylist()):
+            if row["n"] > 1:
+                row["match"] = SURE + len(row["rest"])
+            if last is not None:
+                done.append(last if first else {**last, "q": None, "rest": None})
+                first = False
+            last = row
+            if len(done) == 4096:
+                yield pa.RecordBatch.from_pylist(done, edge)
+                done = []
+        yield pa.RecordBatch.from_pylist([*done, last] if last is not None else done, edge)
+
+    ordered = stage.write(order.mapInArrow(run, "c1 long, c2 long, n long, match int, q long, rest binary"), "order")
     inner = ordered.where("rest is null").select("c1", "c2", "n", "match")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                if last is not None:
-                    if row["q"] == last["q"]:
-                        same = SURE + _shared(row["rest"], last["rest"])
-                        row["match"], last["match"] = max(row["match"], same), max(last["match"], same)
-                    done.append(last)
-                last = row
-            if done:
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("c1", "c2", "n", "match")} for r in done], small)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([{k: last[k] for k in ("c1", "c2", "n", "match")}], small)
+        rows = _neighbours(row for batch in batches for row in batch.to_pylist())
+        yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("c1", "c2", "n", "match")} for r in rows], pa.schema(list(edge)[:4]))
 
-    small = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("match", pa.int32())])
-    joined = edges.coalesce(1).sortWithinPartitions("q", "rest").mapInArrow(across, "c1 long, c2 long, n long, match int")
-    return stage.write(inner.unionByName(joined), "matches")
+    edges = ordered.where("rest is not null").coalesce(1).sortWithinPartitions("q", "rest")
+    matches = stage.write(inner.unionByName(edges.mapInArrow(across, "c1 long, c2 long, n long, match int")), "matches")
+    stage.drop(ordered)
+    return matches
 
 
 def ends_of_runs(anchor: DataFrame) -> DataFrame:
@@ -306,22 +346,28 @@ def repeated(docs: DataFrame, stage: Stage, text: str = "text") -> DataFrame:
     place = F.xxhash64("td", "at")
     often = stage.write(found.groupBy("q").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
                         .where("a <> b").select("q", "n"), "often")
-    again = salted_join(found, often, ["q"], F.struct("td", "at")).select("td", "at").distinct()
-    ats = again.groupBy("td").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    kept = stage.write(texts.groupBy("td").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(ats, "td"), "texts")
-    places = stage.write(_contexts(kept), "contexts")
-    entries = stage.write(places.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("q").alias("q"), F.first("size").alias("size"),
-                                                         F.first("rest").alias("rest")), "entries")
-    order = in_order(entries, stage)
-    anchor = salted_join(places.select("td", "at", "first", "last", "g", "q", "c1", "c2"), order, ["c1", "c2"], F.struct("td", "at"))
-    anchor = stage.write(anchor.where(F.col("match") >= SURE).drop("n"), "anchors")
+    may = Prefilter(often.select(F.col("q").alias("key")), stage).keep(found, "q")
+    again = salted_join(may, often, ["q"], F.struct("td", "at")).select("td", "at").distinct()
+    ats = stage.write(again.groupBy("td").agg(F.sort_array(F.collect_list("at")).alias("ats")), "ats")
+    mine = Prefilter(ats.select(F.col("td").alias("key")), stage).keep(texts, "td")
+    kept, seen = stage.write(mine.groupBy("td").agg(F.first("text").alias("text")).join(ats, "td"), "texts", {"n": F.coalesce(F.sum(F.size("ats")), F.lit(0))})
+    for done in (often, ats):
+        stage.drop(done)
+    order = in_order(_entries(kept), stage, max(1, -(-seen["n"] // RANGE_ROWS)))
+    anchor = salted_join(_places(kept), order, ["c1", "c2"], F.struct("td", "at"))
+    useful = (F.col("match") >= LENGTH) | (F.col("match") + F.col("at") - F.col("first") >= LENGTH)
+    anchor = stage.write(anchor.where(useful).drop("n"), "anchors")
+    stage.drop(order)
     ranges = ends_of_runs(anchor).groupBy("td").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ends = stage.write(suffixes(kept.join(ranges, "td")), "suffixes")
     equal = stage.write(ends.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "equal")
     starts = (salted_join(ends, equal, ["s1", "s2"], F.struct("td", "at")).select("td", "at")
               .unionByName(anchor.where(F.col("match") >= LENGTH).select("td", "at"))
               .groupBy("td").agg(F.collect_list("at").alias("starts")))
-    return stage.write(_cut(kept.join(starts, "td")), "cut")
+    out = stage.write(_cut(kept.join(starts, "td")), "cut")
+    for done in (kept, anchor, ends, equal):
+        stage.drop(done)
+    return out
 
 
 def report(docs: DataFrame, stage: Stage, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -602,10 +602,8 @@ def v3_ls_comparison(w):
 
 
 def _ls(w):
-    return w.stars.selectExpr(
-        "objectid AS nsc_objectid", "mag_true - 0.03e0*color + CASE WHEN objectid % 83 = 0"
-        " THEN 0.4e0 ELSE 0.0e0 END AS mag_g", "mag_true - color AS mag_r",
-        "mag_true - 1.4e0*color AS mag_i")
+    matches = X.xmatch(w.spark, w.sf_dir, 9000000)
+    return REF.legacy_survey(X.legacy(w.spark, w.sf_dir), matches, w.trial_catalog, "g")
 
 
 @query
@@ -631,12 +629,7 @@ def v6_boundary(w):
 
 
 def _ps1(w):
-    north = w.trial_catalog.where("dec > -30.0").select("objectid", "ra", "dec")
-    match = S.nearest_within(north, X.second_catalog(w.spark, w.sf_dir), "objectid", "objid",
-                             right_ra="ra_mean", right_dec="dec_mean")
-    cat = X.second_catalog(w.spark, w.sf_dir).selectExpr(
-        "objid", "g_mag AS ps1_gMeanPSFMag", "i_mag AS ps1_iMeanPSFMag")
-    return match.join(cat, "objid")
+    return REF.ps1(X.ps1(w.spark, w.sf_dir), w.trial_catalog, "g")
 
 
 @query
@@ -649,8 +642,8 @@ def v7_ps1_comparison(w):
 def v8_tally(w):
     stars = VA.star_level(w.dets, w.trial_zp, w.anchors, w.zpterm, w.trial_magzero, w.cfg)
     return VA.tally([VA.fgcm_comparison(stars), VA.repeatability(w.trial_catalog, "g"),
-                     VA.anchored_difference(w.trial_table), VA.stellar_locus(w.spark),
-                     VA.boundary(w.trial_table)])
+                     VA.anchored_difference(w.trial_table), VA.ps1_comparison(w.trial_catalog, _ps1(w), "g", w.stage),
+                     _test_4(w), VA.stellar_locus(w.spark), VA.boundary(w.trial_table)])
 
 
 # --- reports --------------------------------------------------------------------------

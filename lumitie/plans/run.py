@@ -61,6 +61,13 @@ class Run:
         p = self.path(relation, band)
         return T.read(self.spark, p, struct) if T.exists(self.spark, p) else None
 
+    def dust(self) -> DataFrame | None:
+        """The dust map, of one resolution or, with a column ``nside``, of several."""
+        p = f"{self.source}/ebv"
+        if not T.exists(self.spark, p):
+            return None
+        return T.read(self.spark, p, S.EBV_LEVELS if "nside" in self.spark.read.parquet(p).columns else S.EBV)
+
     def anchors(self, band: str) -> DataFrame:
         return T.anchors(self.given("anchor", S.ANCHOR), band, self.given("exptime", S.EXPTIME))
 
@@ -201,7 +208,7 @@ class Run:
             self.optional("starflat_coeffs", band, S.STARFLAT_COEFFS),
             self.optional("star_flat", band, S.STAR_FLAT), stars)
         catalog = K.star_catalog(rows, band)
-        catalog = K.deredden_catalog(T.attach_ebv(catalog, self.given("ebv", S.EBV)), band)
+        catalog = K.deredden_catalog(T.attach_ebv(catalog, self.dust()), band)
         T.write(catalog, self.path("star_catalog", band))
         nodes = self.table("connected_nodes", band, S.NODES)
         T.write(K.zeropoint_list(zp.where("zp_solved > 1.0"), nodes, band), self.path("zeropoint_table", band))

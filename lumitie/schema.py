@@ -43,6 +43,7 @@ PS1 = _struct(
     "zQfPerfect:d")
 XMATCH = _struct("id1:l id2:s distance:d")
 EBV = _struct("healpix_pixel:l ebv:d")
+EBV_LEVELS = _struct("nside:i healpix_pixel:l ebv:d")
 
 
 def catalog(band: str) -> StructType:

@@ -158,3 +158,18 @@ def dust(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = cells.selectExpr(f"{nside} AS nside", "healpix_pixel", f"0.02e0 + ((healpix_pixel*37) % 101)/1000.0e0 + {nside}/10000.0e0 AS ebv")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy Survey objects: every star, some of them extended or without a measured flux."""
+    return stars(spark, sf_dir).selectExpr(
+        "objectid + 9000000 AS ls_id", "ra", "dec", "CASE WHEN objectid % 17 = 3 THEN 'REX' ELSE 'PSF' END AS type",
+        "mag_true - 0.03e0*color + CASE WHEN objectid % 83 = 0 THEN 0.4e0 ELSE 0.0e0 END AS mag_g", "mag_true - color AS mag_r",
+        "mag_true - 1.4e0*color AS mag_i", "CASE WHEN objectid % 19 = 5 THEN 0.0e0 ELSE 4.0e0 END AS flux_ivar_g")
+
+
+def ps1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PS1 mean objects: the second catalog with numbers of detections and quality."""
+    return second_catalog(spark, sf_dir).selectExpr(
+        "objid AS objID", "ra_mean AS raMean", "dec_mean AS decMean", "CASE WHEN objid % 23 = 7 THEN 1 ELSE 5 END AS nDetections",
+        "g_mag AS gMeanPSFMag", "i_mag AS iMeanPSFMag", "CASE WHEN objid % 29 = 3 THEN 0.5e0 ELSE 0.99e0 END AS gQfPerfect")

@@ -704,6 +704,10 @@ def _build() -> dict:
         "SELECT ccdnum, count(*) AS n, " + cols(*[f"{k}=quantile_cont(m_inst, {v})" for k, v in qs.items()]) + " FROM det GROUP BY ccdnum")
     o["a24_scatter"] = statement(
         f"SELECT healpix_pixel, objectid, count(*) AS n, {cols('scatter=stddev_samp(m_cal)', 'mag=avg(m_cal)')} FROM cal GROUP BY ALL HAVING count(*) >= 3")
+    floor = {"fstars": "SELECT stddev_samp(m_cal) AS scatter, avg(m_cal) AS mag FROM cal GROUP BY healpix_pixel, objectid HAVING count(*) >= 3",
+             "fcut": "SELECT quantile_cont(mag, 0.02) AS lo, quantile_cont(mag, 0.98) AS hi FROM fstars",
+             "fbins": ("SELECT median(scatter) AS med FROM fstars, fcut WHERE mag >= lo AND mag <= hi GROUP BY least(floor((mag - lo)/0.5e0), ceil((hi - lo)/0.5e0) - 1) HAVING count(*) >= 21")}
+    o["a24_floor"] = statement(f"SELECT {cols('floor_mag=(SELECT min(med) FROM fbins)')}, count(*) AS n_nodes FROM trial_zp", floor)
     depth = {"tagged": ("SELECT exp_ra, diff_mmag, 'all' AS sample FROM diffs UNION ALL SELECT exp_ra, diff_mmag, '90s' FROM diffs WHERE exptime = 90 "
                         "UNION ALL SELECT exp_ra, diff_mmag, 'deep' FROM diffs WHERE exptime > 100")}
     o["d1_gradient_by_depth"] = statement(

@@ -362,6 +362,13 @@ def l7_prior_solve(w):
                               w.cfg, w.stage)[0]
 
 
+@query
+def l9_solve_outcomes(w):
+    """Iterations, convergence and true residual of the unanchored and the anchored solve."""
+    infos = [solve(w.system, w.nodes, w.anchors, w.cfg, w.stage)[1] for solve in (V.solve_unanchored, V.solve_anchored)]
+    return V.outcome_table(w.spark, infos)
+
+
 @query
 def l11_gray_solve(w):
     """Gray solve with the trial flat, expanded to node zero-points."""
@@ -690,6 +697,13 @@ def a24_scatter(w):
     return D.scatter_floor(w.star_lists, w.trial_zp.where("zp_solved > 1.0"))
 
 
+@query
+def a24_floor(w):
+    """Repeatability floor: the least median scatter over bins of half a magnitude."""
+    floor = D.repeatability_floor(w.star_lists, w.trial_zp.where("zp_solved > 1.0"))
+    return w.trial_zp.agg(F.lit(floor).cast("double").alias("floor_mag"), F.count(F.lit(1)).alias("n_nodes"))
+
+
 @query
 def d1_gradient_by_depth(w):
     pos = D.exposure_positions(w.dets)

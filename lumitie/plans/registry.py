@@ -636,7 +636,12 @@ def v6_boundary(w):
 
 
 def _ps1(w):
-    return REF.ps1(X.ps1(w.spark, w.sf_dir), w.trial_catalog, "g")
+    """PS1 from its zones, stored once."""
+    objects, path = X.ps1(w.spark, w.sf_dir), f"{w.stage.root}/ps1-zones"
+    if not T.exists(w.spark, path):
+        REF.write_zones(objects, path)
+    north = w.trial_catalog.where(F.col("dec") > REF.PS1_SOUTH)
+    return REF.ps1(REF.read_zones(w.spark, path, objects.schema, north), w.trial_catalog, "g")
 
 
 @query

@@ -1,9 +1,14 @@
-"""Selections from the external reference catalogs, as (object, nsc_objectid) tables."""
+"""Selections from the external reference catalogs, as (object, nsc_objectid) tables.
+
+Catalogs without a published match are stored in zones of right ascension and declination.  A match reads the zones its stars
+can reach, which Spark finds out while it runs and hands to the scan as a partition filter.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lumitie.operators.skymatch import bounding_box, nearest_within, prebuilt_match
 
@@ -11,6 +16,40 @@ from lumitie.operators.skymatch import bounding_box, nearest_within, prebuilt_ma
 PS1_SOUTH = -30.0
 PS1_MAG_LIMIT = 22.0
 PS1_QUALITY = 0.85
+# Fixed value: width of the strips in right ascension, in degrees; declination is cut at every degree.
+STRIP_RA = 2.0
+
+
+def _zone(ra: Column, dec: Column) -> Column:
+    """Number of the zone that holds a position."""
+    strip = F.floor(F.pmod(ra, F.lit(360.0)) / F.lit(STRIP_RA))
+    row = F.least(F.greatest(F.floor(dec + F.lit(90.0)), F.lit(0)), F.lit(179))
+    return (row * F.lit(int(360 / STRIP_RA)) + strip).cast("int")
+
+
+def write_zones(objects: DataFrame, path: str, ra: str = "raMean", dec: str = "decMean") -> None:
+    """Store a catalog in zones, each sorted by declination; rows without a position are left out."""
+    placed = objects.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).withColumn("zone", _zone(F.col(ra), F.col(dec)))
+    (placed.repartitionByRange("zone", dec).sortWithinPartitions("zone", dec).write.mode("overwrite").partitionBy("zone").parquet(path))
+
+
+def zones_near(stars: DataFrame, radius_arcsec: float, ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """The zones within the radius of any star: a position can reach the zones of its circle's corners."""
+    reach = radius_arcsec / 3600.0
+    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(dec)) + F.lit(reach), F.lit(90.0)))), F.lit(1e-6))
+    corners = [_zone(F.col(ra) + F.lit(float(x)) * F.least(wide, F.lit(STRIP_RA)), F.col(dec) + F.lit(y * reach)) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    near = stars.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(F.explode(F.array_distinct(F.array(*corners))).alias("zone"))
+    # within two degrees of a pole a small circle can reach every strip of its row
+    polar = stars.where(F.abs(F.col(dec)) > 88.0).select(F.floor(F.least(F.col(dec), F.lit(89.5)) + F.lit(90.0)).cast("int").alias("row")).distinct()
+    around = polar.select(F.explode(F.sequence(F.greatest(F.col("row") - 1, F.lit(0)), F.least(F.col("row") + 1, F.lit(179)))).alias("row")).select(
+        F.explode(F.sequence(F.col("row") * int(360 / STRIP_RA), F.col("row") * int(360 / STRIP_RA) + int(360 / STRIP_RA) - 1)).alias("zone"))
+    return near.unionByName(around).distinct()
+
+
+def read_zones(spark: SparkSession, path: str, struct: StructType, stars: DataFrame, radius_arcsec: float = 1.0) -> DataFrame:
+    """The stored objects of the zones that ``stars`` can reach."""
+    stored = spark.read.schema(StructType([*struct.fields, StructField("zone", IntegerType())])).parquet(path)
+    return stored.join(zones_near(stars, radius_arcsec), "zone", "left_semi").drop("zone")
 
 
 def gaia(objects: DataFrame, xmatch: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -52,3 +52,25 @@ def test_boundary_offset_and_tally(spark):
     assert row.status == "PASS" and abs(row.boundary_offset_mmag - 5.0) < 1e-6
     counts = {r.status: r.n for r in V.tally([V.boundary(t), V.stellar_locus(spark)]).collect()}
     assert counts == {"PASS": 1, "SKIP": 1}
+
+
+def test_zones_are_pruned_while_running_and_lose_no_match(spark, tmp_path):
+    grid = [(k, (k * 7.31) % 360.0, -89.9 + (k * 3.77) % 179.8) for k in range(900)]
+    edges = [(1000 + k, ra, dec) for k, (ra, dec) in enumerate([(0.0, 10.0), (359.99999, 10.0), (2.0, -30.0), (100.0, 89.9999), (280.0, -89.9999), (50.0, 41.0)])]
+    rows = [(*r, 3, 18.0, 0.9) for r in grid + edges]
+    src = T.pad_columns(spark.createDataFrame(
+        rows + [(5000, None, 1.0, 3, 18.0, 0.9)], "objID bigint, raMean double, decMean double, nDetections int, gMeanPSFMag double, gQfPerfect double"), S.PS1)
+    path = str(tmp_path / "zones")
+    R.write_zones(src, path)
+    off = 0.4 / 3600
+    stars = spark.createDataFrame([(str(i), ra, dec + (off if dec < 89 else -off)) for i, ra, dec in grid[:30] + edges] + [("x", None, 1.0)],
+                                  "objectid string, ra double, dec double")
+    from lumitie.operators.skymatch import nearest_within
+
+    near = R.read_zones(spark, path, S.PS1, stars)
+    got = {(r.objectid, r.objID) for r in nearest_within(stars, near, "objectid", "objID", right_ra="raMean", right_dec="decMean").collect()}
+    assert got == {(str(i), i) for i, _, _ in grid[:30] + edges}
+    few = stars.where("objectid in ('0', '1005')")
+    found = R.read_zones(spark, path, S.PS1, few)
+    assert found.count() < 20 and {r.objID for r in found.collect()} >= {0, 1005}
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()

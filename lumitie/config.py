@@ -28,6 +28,7 @@ class QualityCuts:
 @dataclass(frozen=True)
 class Solve:
     max_iterations: int = 5000
+    precondition: bool = False      # by the diagonal; the published solves do without
     tolerance: float = 1.0e-5
     des_anchor_weight: float = 1.0e6
     tikhonov_reg: float = 1.0e-10

@@ -190,7 +190,8 @@ def _run(system, cfg, stage, terms=(), extra_links=(), tikhonov=0.0, mode="", mu
     """Solve a system with its additions, from ``start`` (i, x) if given; an unconverged solution raises if it ``must``."""
     links, vec = assemble(system, terms, extra_links, tikhonov)
     vec = stage.write(vec, "cg-vec")
-    x, info = conjugate_gradient(links, vec, stage, cfg.solve.tolerance, cfg.solve.max_iterations, start=start)
+    x, info = conjugate_gradient(links, vec, stage, cfg.solve.tolerance, cfg.solve.max_iterations,
+                                 precondition=cfg.solve.precondition, start=start)
     info.n_params = vec.count()
     if must and not info.converged:
         raise RuntimeError(f"{mode} solve stopped at relative residual {info.relative_residual:.3g} "

@@ -600,7 +600,7 @@ def _build() -> dict:
             "gzp": ("SELECT z.expnum, z.ccdnum, z.zp_solved - (c3*(p.ra_mean - ra0) + c4*(p.dec_mean - dec0))/1000 AS x FROM live_zp z "
                     "JOIN positions p USING (expnum, ccdnum), gtfit, gmid"),
             "gzoff": "SELECT median(x - zp_fgcm) AS off FROM gzp JOIN good_anchors USING (expnum, ccdnum)"}
-    o["m2_gaia_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')} FROM gzp, gzoff", tilt)
+    o["m2_gaia_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')}, (SELECT count(*) FROM gcut) >= 100 AS applied FROM gzp, gzoff", tilt)
     # surface linear in RA and cubic in declination fitted to the anchors with three clips
     cubic = ["1.0e0", "dx", "dy", "dy*dy", "dy*dy*dy", "dx*dy"]
     bowl = {"sall": "SELECT p.ra_mean, p.dec_mean, z.zp_solved - a.zp_fgcm AS y FROM live_zp z JOIN good_anchors a USING (expnum, ccdnum) JOIN positions p USING (expnum, ccdnum)",
@@ -610,7 +610,7 @@ def _build() -> dict:
             "splace": "SELECT z.expnum, z.ccdnum, z.zp_solved, p.ra_mean - ra0 AS dx, p.dec_mean - dec0 AS dy FROM trial_zp z LEFT JOIN positions p USING (expnum, ccdnum), smid",
             "sout": f"SELECT expnum, ccdnum, zp_solved - coalesce({weighted(cubic, 1)}, 0) AS x FROM splace, sffit",
             "soff": "SELECT median(x - zp_fgcm) AS off FROM sout JOIN good_anchors USING (expnum, ccdnum)"}
-    o["m3_polynomial_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')} FROM sout, soff", bowl)
+    o["m3_polynomial_detrend"] = statement(f"SELECT expnum, ccdnum, {cols('zp_solved=x - off')}, (SELECT count(*) FROM sall) >= 10 AS applied FROM sout, soff", bowl)
     # flat over the detector: products of Chebyshev polynomials per detector and epoch
     tx, ty = cheb("ux"), cheb("uy")
     waves = [f"({tx[k // 4]})*({ty[k % 4]})" for k in range(16)]

@@ -375,7 +375,10 @@ def l11_gray_solve(w):
     exps = w.nodes.select("expnum").distinct()
     b = w.cfg.starflat.epoch_boundaries.all_ccds
     system = N.accumulate_gray(w.star_lists, exps, w.mjds, w.trial_flat, b, w.stage)
-    return V.solve_gray(system, w.nodes, w.anchors, w.trial_flat, w.mjds, w.cfg, w.stage)[0]
+    zp, _, info = V.solve_gray(system, w.nodes, w.anchors, w.trial_flat, w.mjds, w.cfg, w.stage)
+    if not info.converged:
+        raise RuntimeError(f"gray solve stopped at relative residual {info.relative_residual:.3g}")
+    return zp
 
 
 @query
@@ -508,8 +511,9 @@ def m1_plane_fit(w):
 def m2_gaia_detrend(w):
     """Colour + sky gradient fit against Gaia using both bands, taken out of the solution."""
     zp, other = w.trial_zp.where("zp_solved > 1.0"), workspace(w.spark, w.sf_dir, "r")
-    return T3.gaia_detrend(zp, w.star_lists, other.star_lists, other.trial_zp.where("zp_solved > 1.0"),
-                           w.gaia, w.positions, w.anchors, "g", w.stage)[0]
+    out, g = T3.gaia_detrend(zp, w.star_lists, other.star_lists, other.trial_zp.where("zp_solved > 1.0"),
+                             w.gaia, w.positions, w.anchors, "g", w.stage)
+    return out.withColumn("applied", F.lit(g.applied))
 
 
 @query
@@ -522,7 +526,8 @@ def m2_gradient_sample(w):
 
 @query
 def m3_polynomial_detrend(w):
-    return T3.polynomial_detrend(w.trial_zp, w.positions, w.anchors)[0]
+    out, info = T3.polynomial_detrend(w.trial_zp, w.positions, w.anchors)
+    return out.withColumn("applied", F.lit(info["n_nodes_fit"] > 0))
 
 
 # --- catalog --------------------------------------------------------------------------

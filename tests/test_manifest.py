@@ -3,7 +3,6 @@
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 from test_run import SF, inputs
 
 from lumitie import schema as S

@@ -679,11 +679,13 @@ def _build() -> dict:
                     "WHERE c.dec > -30.0 AND dec_mean >= -30.0 AND objid % 23 <> 7 AND objid % 29 <> 3 AND g_mag < 22 AND mag_cal_g > 15 AND mag_cal_g < 22 AND g_mag > 10 AND g_mag < 25 AND i_mag > 10 AND i_mag < 25"),
           "psrows": (f"SELECT g_mag - i_mag - ({e['ps1_g']}e0 - {e['ps1_i']}e0)*ebv AS x, (mag_cal_g - {e['decam_g']}e0*ebv - (g_mag - {e['ps1_g']}e0*ebv))*1000 AS y, "
                      f"(mag_before_g - {e['decam_g']}e0*ebv - (g_mag - {e['ps1_g']}e0*ebv))*1000 AS yb FROM psrow"), **clip_line("psrows", 3, False)}
-    o["v7_ps1_comparison"] = statement(
+    whole = {**ps, "psrow": ps["psrow"].replace("AND dec_mean >= -30.0 AND objid % 23 <> 7 AND objid % 29 <> 3 AND g_mag < 22 ", "")}
+    ps1 = (
         f"SELECT {verdict('Test 7: PS1 DR2 comparison', 'ra < 30.0 AND ra <= rs')}, n_common, n_stars, "
         f"{cols('rms_before_ct_mmag=rb', 'rms_after_ct_mmag=ra', 'rms_before_solve_mmag=rs', 'color_term_offset=fa', 'color_term_slope=fb')} FROM "
         "(SELECT count(*) AS n_common, any_value(fn) AS n_stars, any_value(fa) AS fa, any_value(fb) AS fb, sqrt(avg(y*y)) AS rb, sqrt(avg((y - fa - fb*x)*(y - fa - fb*x))) AS ra, "
-        "sqrt(avg((yb - fa - fb*x)*(yb - fa - fb*x))) AS rs FROM kept, clipfin)", ps)
+        "sqrt(avg((yb - fa - fb*x)*(yb - fa - fb*x))) AS rs FROM kept, clipfin)")
+    o["v7_ps1_comparison"], o["v7_ps1_selected"] = statement(ps1, whole), statement(ps1, ps)
 
     o["a15_histogram"] = statement(
         "SELECT ccdnum, CAST(floor((ra - 49.0e0)/0.5e0) AS INT) AS bin, count(*) AS n FROM det GROUP BY ALL")

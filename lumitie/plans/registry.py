@@ -651,7 +651,17 @@ def _ps1(w):
 
 @query
 def v7_ps1_comparison(w):
-    """Sky match north of -30, then the clipped linear colour term."""
+    """Sky match north of -30 with every object of the second catalog, then the clipped linear colour term."""
+    north = w.trial_catalog.where(F.col("dec") > REF.PS1_SOUTH).select("objectid", "ra", "dec")
+    objects = X.second_catalog(w.spark, w.sf_dir)
+    match = S.nearest_within(north, objects, "objectid", "objid", right_ra="ra_mean", right_dec="dec_mean")
+    named = objects.selectExpr("objid", "g_mag AS ps1_gMeanPSFMag", "i_mag AS ps1_iMeanPSFMag")
+    return VA.ps1_comparison(w.trial_catalog, match.join(named, "objid"), "g", w.stage)
+
+
+@query
+def v7_ps1_selected(w):
+    """The same with the survey's own selection: detections, quality, magnitude and coverage of the PS1 objects."""
     return VA.ps1_comparison(w.trial_catalog, _ps1(w), "g", w.stage)
 
 

@@ -22,6 +22,14 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
+def exact_mean(value: str) -> Column:
+    """Mean of angles that does not depend on the order of the rows: summed as decimals of 16 places, rounded once.
+
+    Positions are compared with bin edges, where the rounding noise of a floating sum would decide.
+    """
+    return F.avg(F.col(value).cast("decimal(20,16)")).cast("double")
+
+
 def quantiles(df: DataFrame, value: str, probs: dict, keys=(), accuracy: int = SKETCH_ACCURACY,
               small: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per group, plus ``n``.

@@ -11,7 +11,7 @@ from lumitie.operators import normal as N
 from lumitie.operators import solver as V
 from lumitie.operators.regress import clipped_fit, least_squares, line
 from lumitie.operators.relational import remove_flagged
-from lumitie.operators.robust import (attach_scalar, bin_index, binned_median, quantiles,
+from lumitie.operators.robust import (attach_scalar, bin_index, binned_median, exact_mean, quantiles,
                                       scalar_median, scalar_quantiles)
 
 # An edge and the width of the reports' bins, in degrees or arcsec; bins are open-ended.
@@ -169,7 +169,7 @@ def node_medians(dets: DataFrame) -> DataFrame:
     ra = quantiles(dets, "ra", {"ra": 0.5}, per).drop("n")
     dec = quantiles(dets, "dec", {"dec": 0.5}, per).drop("n")
     return ra.join(dec, per).groupBy("expnum", "ccdnum").agg(
-        F.avg("ra").alias("ra_median"), F.avg("dec").alias("dec_median"))
+        exact_mean("ra").alias("ra_median"), exact_mean("dec").alias("dec_median"))
 
 
 def dec_step(table: DataFrame, medians: DataFrame, at: float = -30.0, window: float = 2.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumitie.config import Config
 from lumitie.functions.healpix import with_pixel
 from lumitie.operators.relational import ARRIVAL, cap_arrivals, cap_detections, min_detections
+from lumitie.operators.robust import exact_mean
 from lumitie.sources import tables as T
 
 
@@ -86,6 +87,6 @@ def missing_pixels(expected: DataFrame, found: DataFrame) -> DataFrame:
 def node_positions(dets: DataFrame) -> DataFrame:
     """Mean over pixels of the per-pixel mean position of each node."""
     per_pixel = dets.groupBy("healpix_pixel", "expnum", "ccdnum").agg(
-        F.avg("ra").alias("ra"), F.avg("dec").alias("dec"))
+        exact_mean("ra").alias("ra"), exact_mean("dec").alias("dec"))
     return per_pixel.groupBy("expnum", "ccdnum").agg(
-        F.avg("ra").alias("ra_mean"), F.avg("dec").alias("dec_mean"))
+        exact_mean("ra").alias("ra_mean"), exact_mean("dec").alias("dec_mean"))

@@ -34,6 +34,19 @@ def test_quantiles_are_exact(skewed, small):
             assert got[k][name] == pytest.approx(np.quantile(v, q), abs=1e-12)
 
 
+def test_exact_mean_does_not_depend_on_the_order(spark):
+    """Values around -30 whose mean is -30: a floating sum lands on either side of it, by the order of the rows."""
+    rng = np.random.default_rng(9)
+    half = rng.integers(0, 504, 60)
+    values = [-35.0 + (m / 100.9) for m in half] + [-35.0 + ((1009 - m) / 100.9) for m in half]
+    seen = set()
+    for _ in range(8):
+        rng.shuffle(values)
+        rows = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(1)
+        seen.add(rows.agg(Q.exact_mean("v").alias("m")).first().m)
+    assert seen == {-30.0}
+
+
 def test_scalar_quantiles(skewed):
     df, rows = skewed
     want = np.median([x for _, x in rows if x is not None])

@@ -93,6 +93,27 @@ def test_several_systems_in_one_recurrence_and_a_warm_start(spark, stage):
     assert all(i.iterations == 0 and i.converged for i in again.values())
 
 
+def test_a_vector_in_blocks_leaves_the_links_where_they_are(spark, stage, monkeypatch):
+    """A long vector is cut into blocks; one iteration moves the vector and its sums, never the links or rows for each of them."""
+    links, a, b = chain(spark, 12)
+    vec = stage.write(spark.createDataFrame([(k, float(a[k, k]), float(b[k])) for k in range(len(b))], "i long, d double, b double"), "vec")
+    for limit in (V.BROADCAST_VALUES, 0):
+        monkeypatch.setattr(V, "BROADCAST_VALUES", limit)
+        with V.shuffle_partitions(spark, 8):
+            held = V._hold(links, len(b), 8).persist()
+            held.count()
+            one = V._times_matrix(held, vec.withColumn("u", F.col("b")), "u", "w")
+            plan = one._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+            got = np.array([r.w for r in one.orderBy("i").collect()])
+            held.unpersist()
+        assert np.abs(got - a @ b).max() < 1e-9
+        steps = plan.splitlines()
+        join = max(k for k, line in enumerate(steps) if "Join" in line)
+        assert not any("Exchange hashpartitioning" in line for line in steps[join:]), plan
+    x, info = V.conjugate_gradient(links, vec, stage, 1e-6)
+    assert info.converged and np.abs(np.array([r.x for r in x.orderBy("i").collect()]) - np.linalg.solve(a, b)).max() < 1e-3
+
+
 def test_zero_right_hand_side(spark, stage):
     vec = spark.createDataFrame([(1, 2.0, 0.0), (2, 2.0, 0.0)], "i long, d double, b double")
     links = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "i long, j long, w double")

@@ -8,6 +8,7 @@ from those sums, which is all that is ever shuffled or stored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,16 +21,13 @@ from lumitie.operators.relational import STAR, node_columns, node_id
 from lumitie.sources.stage import Stage
 
 PIXELS_PER_STAR = 4     # a star touches at most four pixels, each capped by itself
+ROWS_PER_TASK = 100_000  # detections whose pairs one task sums, at most a dozen each
 
 
-def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err",
-               cap: int = QualityCuts().max_detections_per_star, basis=()) -> DataFrame:
-    """One row per pair of detections of a star: nodes i <= j, w, wdm.
-
-    For each column in ``basis`` the pair also carries its weighted difference, ``wd_<column>``.
+def _stars(dets: DataFrame, keys, node: str, mag: str, err: str, cap: int, basis=()) -> DataFrame:
+    """Stars of at least two rows, each with its detections ``_d`` as structs (k, m, v, basis) sorted by node.
 
-    Stars are capped at ingest by ``cap`` rows, so a star's array and its pairs are bounded; an
-    uncapped star stops the job rather than being cut short.
+    Stars are capped at ingest by ``cap`` rows, so a star's array is bounded; an uncapped star stops the job rather than being cut short.
     """
     d = F.struct(F.col(node).alias("k"), F.col(mag).alias("m"),
                  (F.col(err) * F.col(err)).alias("v"), *basis)
@@ -37,15 +35,37 @@ def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err
     size = F.size("_d")
     safe = F.when(size <= PIXELS_PER_STAR * cap, F.col("_d")).otherwise(
         F.raise_error(F.lit("star above the detection cap; run cap_detections first")))
-    first = (stars.where(size >= 2).select(safe.alias("_d"))
-             .select(F.posexplode("_d").alias("_p", "a"), "_d"))
-    pairs = first.select("_p", "a", F.posexplode(F.slice("_d", F.col("_p") + 2, F.size("_d")))
-                         .alias("_q", "b"))
-    w = F.lit(1.0) / (F.col("a.v") + F.col("b.v"))
-    return pairs.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), w.alias("w"),
-                        (w * (F.col("a.m") - F.col("b.m"))).alias("wdm"),
-                        ((F.col("_p") == 0) & (F.col("_q") == 0)).cast("int").alias("opens_star"),
-                        *[(w * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(f"wd_{c}") for c in basis])
+    return stars.where(size >= 2).select(safe.alias("_d"))
+
+
+def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err",
+               cap: int = QualityCuts().max_detections_per_star, basis=(), parts: int | None = None) -> DataFrame:
+    """One row per pair of detections of a star: nodes i <= j, w, wdm.
+
+    For each column in ``basis`` the pair also carries its weighted difference, ``wd_<column>``.
+
+    Nearly all node pairs of a large survey occur once, so merging them before the shuffle only fills memory.  Instead a detection
+    travels once with the later ones of its star, as plain arrays, to the task of its node, which forms the pairs: all
+    pairs of a node i are together and their sums need no further shuffle.  They are dealt over ``parts`` tasks (see ``tasks_for``).
+    """
+    names = ("k", "m", "v", *basis)
+    lists = _stars(dets, keys, node, mag, err, cap, basis).select(*[F.col("_d")[c].alias(f"_l{c}") for c in names])
+    first = lists.select(F.posexplode("_lk").alias("_p", "i"), *[f"_l{c}" for c in names])
+    fans = first.where(F.col("_p") + 1 < F.size("_lk")).select(
+        "i", (F.col("_p") == 0).alias("_first"), *[F.col(f"_l{c}")[F.col("_p")].alias(f"_a{c}") for c in names[1:]],
+        *[F.slice(f"_l{c}", F.col("_p") + 2, F.size("_lk")).alias(f"_l{c}") for c in names])
+    dealt = fans.repartition(parts, "i") if parts else fans.repartition("i")
+    at = dealt.select("i", "_first", *[f"_a{c}" for c in names[1:]], *[f"_l{c}" for c in names], F.posexplode("_lk").alias("_q", "j"))
+    w = F.lit(1.0) / (F.col("_av") + F.col("_lv")[F.col("_q")])
+    diff = lambda c: w * (F.col(f"_a{c}") - F.col(f"_l{c}")[F.col("_q")])
+    return at.select("i", "j", w.alias("w"), diff("m").alias("wdm"), (F.col("_first") & (F.col("_q") == 0)).cast("int").alias("opens_star"),
+                     *[diff(c).alias(f"wd_{c}") for c in basis])
+
+
+def tasks_for(dets: DataFrame) -> int | None:
+    """Tasks that hold the sums of all pairs in memory; none where those of the session's default do."""
+    n = math.ceil(dets.count() / ROWS_PER_TASK)
+    return n if n > dets.sparkSession.sparkContext.defaultParallelism else None
 
 
 def pair_sums(pairs: DataFrame) -> DataFrame:
@@ -56,6 +76,31 @@ def pair_sums(pairs: DataFrame) -> DataFrame:
                                        F.sum("opens_star").alias("opened"), *[F.sum(c).alias(c) for c in more])
 
 
+def star_sums(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err", cap: int = QualityCuts().max_detections_per_star) -> DataFrame:
+    """Diagonal and right-hand side (i, d, rhs) straight from the stars, without a table of pairs.
+
+    A detection is summed against those of its star on other nodes, so one row per detection is merged and moved.
+    """
+    stars = _stars(dets, keys, node, mag, err, cap).where(F.col("_d")[0]["k"] < F.element_at("_d", -1)["k"])
+    one = stars.select(F.explode("_d").alias("a"), "_d")
+
+    def total(term):
+        part = lambda acc, x: acc + F.when(x["k"] != F.col("a.k"), F.coalesce(term(x), F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.aggregate("_d", F.lit(0.0), part)
+
+    w = lambda x: F.lit(1.0) / (F.col("a.v") + x["v"])
+    rows = one.select(F.col("a.k").alias("i"), total(w).alias("d"), total(lambda x: w(x) * (x["m"] - F.col("a.m"))).alias("rhs"))
+    return rows.groupBy("i").agg(F.sum("d").alias("d"), F.sum("rhs").alias("rhs"))
+
+
+def pair_counts(dets: DataFrame, keys=STAR, node="node") -> DataFrame:
+    """One row: stars of at least two rows, their pairs of detections, and the pairs inside one node, counted without forming pairs."""
+    pairs = lambda n: (F.col(n) * (F.col(n) - 1) / 2).cast("long")
+    held = dets.select(*keys, node).repartition(*keys).groupBy(*keys, node).agg(F.count(F.lit(1)).alias("_c"))
+    stars = held.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(pairs("_c")).alias("_self")).where("_n >= 2")
+    return stars.agg(F.count(F.lit(1)).alias("n_stars"), F.sum(pairs("_n")).alias("n_pairs"), F.sum("_self").alias("n_self"))
+
+
 @dataclass
 class System:
     """Summed constraints between unknowns ``i < j`` and the table of all unknowns."""
@@ -77,7 +122,7 @@ def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_in
     """
     keyed = nodes.select("expnum", "ccdnum", node_id().alias("node"))
     used = dets.join(keyed, ["expnum", "ccdnum"])
-    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap, basis=basis)), "pair-sums", {
+    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap, basis=basis, parts=tasks_for(dets))), "pair-sums", {
         "pairs": F.coalesce(F.sum("n"), F.lit(0)), "stars": F.coalesce(F.sum("opened"), F.lit(0)),
         "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
     return System(sums.where("i < j").select("i", "j", "w", "wdm"),
@@ -144,7 +189,7 @@ def accumulate_gray(dets: DataFrame, exposures: DataFrame, exposure_mjd: DataFra
     """Constraints between whole exposures; pairs inside one exposure carry none."""
     used = apply_flat(dets.join(exposures.select("expnum"), "expnum"), exposure_mjd, flat, bounds)
     sums, seen = stage.write(
-        pair_sums(star_pairs(used, keys, node="expnum", mag="m_flat", cap=cap)), "gray-sums", {
+        pair_sums(star_pairs(used, keys, node="expnum", mag="m_flat", cap=cap, parts=tasks_for(dets))), "gray-sums", {
             "pairs": F.coalesce(F.sum(F.when(F.col("i") < F.col("j"), F.col("n"))), F.lit(0)),
             "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0)),
             "stars": F.coalesce(F.sum("opened"), F.lit(0))})
@@ -166,6 +211,15 @@ def matrix_entries(links: DataFrame) -> DataFrame:
     return off.unionByName(diag)
 
 
+def star_matrix(dets: DataFrame, keys=STAR, node="node", mag="m_inst", parts: int | None = None) -> DataFrame:
+    """(i, j, v) of the symmetric normal matrix straight from the stars: off-diagonals by node pair, the diagonal by node."""
+    upper = pair_sums(star_pairs(dets, keys, node=node, mag=mag, parts=parts)).where("i < j").select("i", "j", (-F.col("w")).alias("v"))
+    ends = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    off = upper.select(ends.alias("e"), "v").select("e.i", "e.j", "v")
+    diag = star_sums(dets, keys, node=node, mag=mag).select("i", F.col("i").alias("j"), F.col("d").alias("v"))
+    return off.unionByName(diag)
+
+
 def right_hand_side(links: DataFrame) -> DataFrame:
     return both_ways(links).groupBy("i").agg((-F.sum("wdm")).alias("rhs"))
 

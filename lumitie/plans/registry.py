@@ -286,8 +286,8 @@ def a25_exposure_degree(w):
 
 @query
 def l1_normal_matrix(w):
-    sums = N.pair_sums(N.star_pairs(w.star_lists.withColumn("node", R.node_id())))
-    return rounded(N.matrix_entries(sums.where("i < j").drop("n", "opened")), 3)
+    rows = w.star_lists.withColumn("node", R.node_id())
+    return rounded(N.star_matrix(rows, parts=N.tasks_for(w.star_lists)), 3)
 
 
 @query
@@ -309,9 +309,13 @@ def _gray_pairs(w):
     return N.pair_sums(N.star_pairs(rows, node="expnum", mag="m_flat"))
 
 
+def _gray_rows(w):
+    return N.apply_flat(w.star_lists, w.mjds, w.trial_flat, w.cfg.starflat.epoch_boundaries.all_ccds)
+
+
 @query
 def l2_gray_matrix(w):
-    return rounded(N.matrix_entries(_gray_pairs(w).where("i < j").drop("n", "opened")), 3)
+    return rounded(N.star_matrix(_gray_rows(w), node="expnum", mag="m_flat", parts=N.tasks_for(w.star_lists)), 3)
 
 
 @query

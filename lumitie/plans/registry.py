@@ -306,12 +306,6 @@ def l1_counts(w):
     return N.pair_counts(_connected(w)).select(*[F.coalesce(c, none).alias(c) for c in ("n_stars", "n_pairs", "n_self")])
 
 
-def _gray_pairs(w):
-    b = w.cfg.starflat.epoch_boundaries.all_ccds
-    rows = N.apply_flat(w.star_lists, w.mjds, w.trial_flat, b)
-    return N.pair_sums(N.star_pairs(rows, node="expnum", mag="m_flat"))
-
-
 def _gray_rows(w):
     return N.apply_flat(w.star_lists, w.mjds, w.trial_flat, w.cfg.starflat.epoch_boundaries.all_ccds)
 
@@ -328,8 +322,10 @@ def l2_gray_rhs(w):
 
 @query
 def l2_gray_counts(w):
-    return _gray_pairs(w).agg(F.sum(F.when(F.col("i") < F.col("j"), F.col("n"))).alias("n_pairs"),
-                              F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))).alias("n_intra"))
+    """Pairs between exposures and inside one; null where there is none."""
+    some = lambda c: F.when(c > 0, c)
+    return N.pair_counts(_gray_rows(w), node="expnum").select(
+        some(F.col("n_pairs") - F.col("n_self")).alias("n_pairs"), some(F.col("n_self")).alias("n_intra"))
 
 
 @query

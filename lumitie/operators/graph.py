@@ -24,16 +24,17 @@ def spanning_edges(members: DataFrame, keys=STAR) -> DataFrame:
             .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
 
 
-def overlap_edges(members: DataFrame, keys=STAR, key: str = "node") -> DataFrame:
+def overlap_edges(members: DataFrame, keys=STAR, key: str = "node", parts: int | None = None) -> DataFrame:
     """Node pairs src < dst with the number of stars both saw.
 
-    A star contributes at most max_detections_per_star nodes, so its pairs are bounded;
-    counts merge in the map tasks before the shuffle.
+    A star contributes at most max_detections_per_star nodes, so its pairs are bounded.  A node travels once with the star's later ones
+    to the task that counts all pairs of that node (see ``normal.star_pairs``).
     """
     stars = members.groupBy(*keys).agg(F.sort_array(F.collect_list(key)).alias("_m"))
     first = stars.select(F.posexplode("_m").alias("_p", "src"), "_m")
-    return (first.select("src", F.explode(F.slice("_m", F.col("_p") + 2, F.size("_m"))).alias("dst"))
-            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_shared")))
+    fans = first.where(F.col("_p") + 1 < F.size("_m")).select("src", F.slice("_m", F.col("_p") + 2, F.size("_m")).alias("_m"))
+    dealt = fans.repartition(parts, "src") if parts else fans.repartition("src")
+    return dealt.select("src", F.explode("_m").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def edge_stats(edges: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ class Workspace:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.stage.write(G.overlap_edges(self.members), "edges")
+        return self.stage.write(G.overlap_edges(self.members, parts=N.tasks_for(self.members)), "edges")
 
     @cached_property
     def marked(self) -> DataFrame:

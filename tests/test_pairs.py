@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lumitie.operators import graph as G
 from lumitie.operators import normal as N
 from lumitie.operators.relational import node_id
 
@@ -71,3 +72,9 @@ def test_counts_need_no_pairs(stars):
     counts = N.pair_counts(stars)
     assert counts.first() == sums and sums.n_self > 0
     assert "posexplode" not in plan(counts)
+
+
+def test_edges_are_not_moved_one_by_one(stars):
+    text = plan(G.overlap_edges(G.star_nodes(stars), parts=11))
+    assert "hashpartitioning(src#" in text
+    assert not any("hashpartitioning(src#" in line and ", dst#" in line for line in text.splitlines())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumitie.operators.normal import tasks_for
 from lumitie.operators.relational import STAR, node_columns, node_id
 from lumitie.sources.stage import Stage
 
@@ -135,14 +136,20 @@ def connectivity_report(dets: DataFrame, marked: DataFrame, edges: DataFrame, ke
 
 
 def exposure_overlaps(dets: DataFrame, positions: DataFrame, keys=("objectid",)) -> DataFrame:
-    """Exposure pairs with shared stars and their RA distance."""
-    seen = dets.select(*keys, "expnum").distinct()
-    pairs = overlap_edges(seen, keys, "expnum")
-    a = positions.select(F.col("expnum").alias("src"), F.col("exp_ra").alias("ra1"))
-    b = positions.select(F.col("expnum").alias("dst"), F.col("exp_ra").alias("ra2"))
-    return (pairs.join(a, "src", "left").join(b, "dst", "left")
-            .select(F.col("src").alias("exp1"), F.col("dst").alias("exp2"), "n_shared",
-                    F.abs(F.col("ra1") - F.col("ra2")).alias("dra")))
+    """Exposure pairs with shared stars and their RA distance.
+
+    Exposures bring their position to the star, so the far more numerous pairs are joined with nothing.
+    """
+    seen = dets.select(*keys, "expnum").distinct().join(positions.select("expnum", "exp_ra"), "expnum", "left")
+    lists = seen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("expnum", "exp_ra"))).alias("_d"))
+    lists = lists.select(F.col("_d")["expnum"].alias("_m"), F.col("_d")["exp_ra"].alias("_ra"))
+    first = lists.select(F.posexplode("_m").alias("_p", "exp1"), "_m", "_ra").where(F.col("_p") + 1 < F.size("_m"))
+    later = lambda c: F.slice(c, F.col("_p") + 2, F.size("_m")).alias(c)
+    fans = first.select("exp1", F.col("_ra")[F.col("_p")].alias("ra1"), later("_m"), later("_ra"))
+    parts = tasks_for(dets)
+    dealt = fans.repartition(parts, "exp1") if parts else fans.repartition("exp1")
+    pairs = dealt.select("exp1", "ra1", "_ra", F.posexplode("_m").alias("_q", "exp2"))
+    return pairs.groupBy("exp1", "exp2").agg(F.count(F.lit(1)).alias("n_shared"), F.max(F.abs(F.col("ra1") - F.col("_ra")[F.col("_q")])).alias("dra"))
 
 
 def exposure_degree(pairs: DataFrame) -> DataFrame:

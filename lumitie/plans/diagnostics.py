@@ -35,9 +35,13 @@ APERTURE_DEGREE = 3
 
 def exposure_positions(dets: DataFrame) -> DataFrame:
     """Median position per exposure, whose rows grow with stars per field."""
-    ra = quantiles(dets, "ra", {"exp_ra": 0.5}, ["expnum"]).drop("n")
     dec = quantiles(dets, "dec", {"exp_dec": 0.5}, ["expnum"]).drop("n")
-    return ra.join(dec, "expnum")
+    return exposure_right_ascensions(dets).join(dec, "expnum")
+
+
+def exposure_right_ascensions(dets: DataFrame) -> DataFrame:
+    """Median right ascension per exposure alone, for reports that need no declination."""
+    return quantiles(dets, "ra", {"exp_ra": 0.5}, ["expnum"]).drop("n")
 
 
 def reference_differences(table: DataFrame, positions: DataFrame, exptime: DataFrame,

@@ -78,3 +78,23 @@ def test_edges_are_not_moved_one_by_one(stars):
     text = plan(G.overlap_edges(G.star_nodes(stars), parts=11))
     assert "hashpartitioning(src#" in text
     assert not any("hashpartitioning(src#" in line and ", dst#" in line for line in text.splitlines())
+
+
+def test_exposure_overlaps_equal_brute_force(spark, stars):
+    """Positions are joined to exposures of stars, not to pairs; an exposure without a position gives null."""
+    positions = spark.createDataFrame([(e, 50.0 + 0.3 * e) for e in range(0, 29)], "expnum long, exp_ra double")
+    seen = {}
+    for r in stars.collect():
+        seen.setdefault(r.objectid, set()).add(r.expnum)
+    want = {}
+    for exps in seen.values():
+        for a in exps:
+            for b in exps:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    out = G.exposure_overlaps(stars, positions)
+    got = {(r.exp1, r.exp2): r for r in out.collect()}
+    assert {k: r.n_shared for k, r in got.items()} == want
+    for (a, b), r in got.items():
+        assert (r.dra is None) == (29 in (a, b)) and (r.dra is None or abs(r.dra - 0.3 * (b - a)) < 1e-9)
+    assert not any("exp2#" in line and "Exchange" in line for line in plan(out).splitlines())

@@ -1,15 +1,15 @@
 """Weighted normal equations of the overlap constraints.
 
 Every pair of detections of one star states that its two nodes' zero-points differ by
-the measured magnitude difference.  Summed over stars, a node pair i < j keeps two
-numbers, the weight w and the weighted difference wdm; matrix and right-hand side follow
-from those sums, which is all that is ever shuffled or stored.
+the measured magnitude difference.  A system is stored as its stars, each with its detections in arrays, for there are an
+order of magnitude more pairs than detections.  Summed over stars, a node pair i < j keeps two numbers, the weight w and the weighted
+difference wdm; matrix and right-hand side follow from those sums, which are formed where they are asked for.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,12 @@ def _stars(dets: DataFrame, keys, node: str, mag: str, err: str, cap: int, basis
     size = F.size("_d")
     safe = F.when(size <= PIXELS_PER_STAR * cap, F.col("_d")).otherwise(
         F.raise_error(F.lit("star above the detection cap; run cap_detections first")))
-    return stars.where(size >= 2).select(safe.alias("_d"))
+    return stars.where(size >= 2).select(*keys, safe.alias("_d"))
+
+
+def _lists(dets: DataFrame, keys, node: str, mag: str, err: str, cap: int, basis=()) -> DataFrame:
+    """Stars of at least two rows: keys and arrays k (sorted), m, v and those of ``basis``."""
+    return _stars(dets, keys, node, mag, err, cap, basis).select(*keys, *[F.col("_d")[c].alias(c) for c in ("k", "m", "v", *basis)])
 
 
 def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err",
@@ -48,8 +53,13 @@ def star_pairs(dets: DataFrame, keys=STAR, node="node", mag="m_inst", err="m_err
     travels once with the later ones of its star, as plain arrays, to the task of its node, which forms the pairs: all
     pairs of a node i are together and their sums need no further shuffle.  They are dealt over ``parts`` tasks (see ``tasks_for``).
     """
+    return _pairs_of(_lists(dets, keys, node, mag, err, cap, basis), basis, parts)
+
+
+def _pairs_of(stars: DataFrame, basis=(), parts: int | None = None) -> DataFrame:
+    """The pairs of stars given as arrays."""
     names = ("k", "m", "v", *basis)
-    lists = _stars(dets, keys, node, mag, err, cap, basis).select(*[F.col("_d")[c].alias(f"_l{c}") for c in names])
+    lists = stars.select(*[F.col(c).alias(f"_l{c}") for c in names])
     first = lists.select(F.posexplode("_lk").alias("_p", "i"), *[f"_l{c}" for c in names])
     fans = first.where(F.col("_p") + 1 < F.size("_lk")).select(
         "i", (F.col("_p") == 0).alias("_first"), *[F.col(f"_l{c}")[F.col("_p")].alias(f"_a{c}") for c in names[1:]],
@@ -103,14 +113,45 @@ def pair_counts(dets: DataFrame, keys=STAR, node="node") -> DataFrame:
 
 @dataclass
 class System:
-    """Summed constraints between unknowns ``i < j`` and the table of all unknowns."""
+    """Constraints of the stars on the unknowns, and the table of all unknowns."""
 
-    links: DataFrame          # i, j, w, wdm with i < j
+    stars: DataFrame          # keys, k (unknowns, in order), m, v and arrays of any basis: a row per star
     unknowns: DataFrame       # i
     n_stars: int = 0
     n_pairs: int = 0
     n_self: int = 0
-    sums: DataFrame | None = None   # the stored sums, i <= j, of which the links are a part
+    keys: tuple = STAR
+
+    @property
+    def links(self) -> DataFrame:
+        """i, j, w, wdm with i < j, summed over the stars."""
+        return pair_sums(_pairs_of(self.stars)).where("i < j").select("i", "j", "w", "wdm")
+
+
+def _stored(lists: DataFrame, unknowns: DataFrame | None, keys, stage: Stage, name: str) -> System:
+    """The system of stars given as arrays; without ``unknowns`` these are the ones that the stars hold."""
+    n = F.size("k").cast("long")
+    # In an array in order, a value stands behind as many equal ones as places from the first of them.
+    equal = F.aggregate(F.transform("k", lambda e, at: at.cast("long") + 1 - F.array_position("k", e)), F.lit(0).cast("long"), lambda a, x: a + x)
+    repeats = F.when(F.size(F.array_distinct("k")) < n, equal).otherwise(F.lit(0))
+    none = F.lit(0).cast("long")
+    stars, seen = stage.write(lists, name, {"stars": F.count(F.lit(1)), "pairs": F.coalesce(F.sum(n * (n - 1) / 2), none).cast("long"),
+                                            "self": F.coalesce(F.sum(repeats), none)})
+    if unknowns is None:
+        unknowns = stage.write(stars.select(F.explode("k").alias("i")).distinct(), f"{name}-unknowns")
+    return System(stars, unknowns, int(seen["stars"]), int(seen["pairs"]), int(seen["self"]), tuple(keys))
+
+
+def _detections(system: System) -> DataFrame:
+    """One row per detection of a stored system: keys, k, m, v."""
+    return system.stars.select(*system.keys, F.explode(F.arrays_zip("k", "m", "v")).alias("_d")).select(*system.keys, "_d.*")
+
+
+def _gathered(rows: DataFrame, keys) -> DataFrame:
+    """The inverse of ``_detections``, without stars of a single row."""
+    d = F.sort_array(F.collect_list(F.struct("k", "m", "v")))
+    stars = rows.groupBy(*keys).agg(d.alias("_d")).where(F.size("_d") >= 2)
+    return stars.select(*keys, *[F.col("_d")[c].alias(c) for c in ("k", "m", "v")])
 
 
 def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_inst",
@@ -118,61 +159,45 @@ def accumulate(dets: DataFrame, nodes: DataFrame, stage: Stage, mag: str = "m_in
     """Constraints between connected nodes.
 
     Repeat detections of a star on one node cancel out of the equations but count as
-    pairs.  Weighted differences of the columns in ``basis`` are stored beside those of the magnitudes.
+    pairs.  The columns in ``basis`` are stored beside the magnitudes.
     """
     keyed = nodes.select("expnum", "ccdnum", node_id().alias("node"))
     used = dets.join(keyed, ["expnum", "ccdnum"])
-    sums, seen = stage.write(pair_sums(star_pairs(used, keys, mag=mag, cap=cap, basis=basis, parts=tasks_for(dets))), "pair-sums", {
-        "pairs": F.coalesce(F.sum("n"), F.lit(0)), "stars": F.coalesce(F.sum("opened"), F.lit(0)),
-        "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
-    return System(sums.where("i < j").select("i", "j", "w", "wdm"),
-                  keyed.select(F.col("node").alias("i")),
-                  int(seen["stars"]), int(seen["pairs"]), int(seen["self"]), sums)
+    return _stored(_lists(used, keys, "node", mag, "m_err", cap, basis), keyed.select(F.col("node").alias("i")), keys, stage, "stars")
 
 
 def sub_system(system: System, keep: DataFrame, stage: Stage) -> System:
-    """The constraints among the nodes ``keep`` (i) alone, read from the stored sums.
+    """The constraints among the nodes ``keep`` (i) alone, read from the stored stars.
 
-    Every pair of detections lies between two nodes, so leaving exposures out needs no new pairing.  A node stays an
-    unknown while one of its stars has another detection left, on whichever node.
+    A node stays an unknown while one of its stars has another detection left, on whichever node.
     """
-    left = keep.select("i").distinct()
-    sums = (system.sums.join(left, "i", "left_semi")
-            .join(left.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "w", "wdm", "n"))
-    sums, seen = stage.write(sums, "sub-sums", {
-        "pairs": F.coalesce(F.sum("n"), F.lit(0)), "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0))})
-    unknowns = sums.select("i").unionAll(sums.select(F.col("j").alias("i"))).distinct()
-    return System(sums.where("i < j").select("i", "j", "w", "wdm"), unknowns, 0, int(seen["pairs"]), int(seen["self"]), sums)
+    left = keep.select(F.col("i").alias("k")).distinct()
+    return _stored(_gathered(_detections(system).join(left, "k", "left_semi"), system.keys), None, system.keys, stage, "sub-stars")
 
 
-def corrected(system: System, coeffs: dict) -> System:
-    """The system for magnitudes from which sum of coefficient times basis column is taken.
+def _times(c: float):
+    return lambda x: F.lit(float(c)) * x
 
-    Right-hand sides are linear in the magnitudes, so stored sums answer for any coefficients.
-    """
-    shift = F.lit(0.0)
+
+def corrected(system: System, coeffs: dict) -> System:
+    """The system for magnitudes from which sum of coefficient times basis column is taken."""
+    m = F.col("m")
     for name, c in coeffs.items():
-        shift = shift + F.lit(float(c)) * F.col(f"wd_{name}")
-    links = system.sums.where("i < j").select("i", "j", "w", (F.col("wdm") - shift).alias("wdm"))
-    return System(links, system.unknowns, system.n_stars, system.n_pairs, system.n_self)
+        m = F.zip_with(m, F.transform(F.col(name), _times(c)), lambda a, b: a - b)
+    return replace(system, stars=system.stars.withColumn("m", m))
 
 
 def gray_system(system: System, flat: DataFrame, exposure_mjd: DataFrame, bounds, stage: Stage) -> System:
-    """Constraints between exposures under a star flat, derived from a node system's links.
+    """Constraints between exposures under a star flat, derived from a node system's stars.
 
-    A flat shifts all magnitudes of a node alike, so it shifts the weighted difference of two nodes by w (flat_i - flat_j).
     Nodes of exposures without MJD carry no constraint.
     """
-    at = system.unknowns.select(F.col("i").alias("node"), *node_columns("i"))
+    at = system.unknowns.select(F.col("i").alias("k"), *node_columns("i"))
     timed = at.join(exposure_mjd.select("expnum", "mjd"), "expnum").withColumn("epoch_idx", epoch_index(F.col("mjd"), bounds))
     shifts = timed.join(flat, ["ccdnum", "epoch_idx"], "left").select(
-        "node", "expnum", F.coalesce("flat_correction", F.lit(0.0)).alias("f"))
-    a = shifts.select(F.col("node").alias("i"), F.col("expnum").alias("a"), F.col("f").alias("fa"))
-    b = shifts.select(F.col("node").alias("j"), F.col("expnum").alias("b"), F.col("f").alias("fb"))
-    met = system.links.join(a, "i").join(b, "j").where("a <> b")
-    links = met.groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(
-        F.sum("w").alias("w"), F.sum(F.col("wdm") + F.col("w") * (F.col("fa") - F.col("fb"))).alias("wdm"))
-    return System(stage.write(links, "gray-links"), at.select(F.col("expnum").alias("i")).distinct())
+        "k", "expnum", F.coalesce("flat_correction", F.lit(0.0)).alias("f"))
+    rows = _detections(system).join(shifts, "k").select(*system.keys, F.col("expnum").alias("k"), (F.col("m") + F.col("f")).alias("m"), "v")
+    return _stored(_gathered(rows, system.keys), at.select(F.col("expnum").alias("i")).distinct(), system.keys, stage, "gray-stars")
 
 
 def apply_flat(dets: DataFrame, exposure_mjd: DataFrame, flat: DataFrame, bounds) -> DataFrame:
@@ -188,14 +213,8 @@ def accumulate_gray(dets: DataFrame, exposures: DataFrame, exposure_mjd: DataFra
                     cap: int = QualityCuts().max_detections_per_star) -> System:
     """Constraints between whole exposures; pairs inside one exposure carry none."""
     used = apply_flat(dets.join(exposures.select("expnum"), "expnum"), exposure_mjd, flat, bounds)
-    sums, seen = stage.write(
-        pair_sums(star_pairs(used, keys, node="expnum", mag="m_flat", cap=cap, parts=tasks_for(dets))), "gray-sums", {
-            "pairs": F.coalesce(F.sum(F.when(F.col("i") < F.col("j"), F.col("n"))), F.lit(0)),
-            "self": F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("n"))), F.lit(0)),
-            "stars": F.coalesce(F.sum("opened"), F.lit(0))})
-    return System(sums.where("i < j").select("i", "j", "w", "wdm"),
-                  exposures.select(F.col("expnum").alias("i")),
-                  int(seen["stars"]), int(seen["pairs"]), int(seen["self"]))
+    system = _stored(_lists(used, keys, "expnum", "m_flat", "m_err", cap), exposures.select(F.col("expnum").alias("i")), keys, stage, "gray-stars")
+    return replace(system, n_pairs=system.n_pairs - system.n_self)
 
 
 def both_ways(links: DataFrame) -> DataFrame:

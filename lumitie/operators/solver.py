@@ -1,7 +1,8 @@
 """Conjugate gradients on DataFrames.
 
-Matrix and vectors stay distributed: the links are cached, dealt by row or by cells of two blocks of unknowns;
-the vectors are one staged table with a row per unknown.  The single-reduction form of
+Matrix and vectors stay distributed: the stars are cached as arrays, and a product is formed star by star, so no table of node
+pairs is ever written or moved; each task adds up what its stars give to the unknowns.  Where the vectors are too long to be handed to every task,
+the links are cached instead, dealt by row or by cells of two blocks of unknowns.  The vectors are one staged table with a row per unknown.  The single-reduction form of
 the preconditioned recurrence (Chronopoulos and Gear 1989) needs one Spark job per iteration: the job
 updates the vectors, multiplies by the matrix, writes the new state and sums the three
 scalars that steer the next step.  A lost executor costs at most one iteration.  Several systems that share
@@ -11,9 +12,12 @@ their links advance in one recurrence.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,13 @@ LINKS_PER_PARTITION = 1_000_000
 # Numbers of a vector that every task may hold, and blocks into which the unknowns of a longer one are cut.
 BROADCAST_VALUES = 1_000_000
 BLOCKS = 16
+#: Numbers of the vectors that the tasks get as plain arrays, 8 bytes each, detections of the stars in a cached row,
+#: pairs of detections weighed at once, rows that a task hands back at once, and sums that one task of a step adds up.
+PACKED_VALUES = 32_000_000
+CHUNK_DETECTIONS = 500_000
+PAIRS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 50_000
+VALUES_PER_TASK = 100_000
 
 
 @contextmanager
@@ -76,8 +87,146 @@ def _hold(links: DataFrame, n_values: int, n_parts: int) -> DataFrame:
     return cells.repartition(n_parts, "cell").sortWithinPartitions("cell", "j")
 
 
+def _packed(stars: DataFrame, unknowns: DataFrame) -> DataFrame:
+    """The stars (k, m, v) in rows of many, the shorter ones first: c (number in its partition), size (detections of each star) and for each
+    detection pos (place of its unknown in their order), m and v, as plain arrays."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, c = [], 0
+
+        def row() -> pa.RecordBatch:
+            size = np.concatenate([h[0] for h in held])
+            order = np.argsort(size, kind="stable")
+            moved = size[order]
+            at = np.repeat((np.cumsum(size) - size)[order] - (np.cumsum(moved) - moved), moved) + np.arange(size.sum())
+            k, m, v = (np.concatenate([h[n] for h in held])[at] for n in (1, 2, 3))
+            held.clear()
+            # A detection without an error has no weight.
+            arrays = (moved.astype(np.int32), k.astype(np.int64), m, np.where(np.isnan(v), np.inf, v))
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["c", "size", "k", "m", "v"])
+
+        for batch in batches:
+            lists = [batch.column(n) for n in range(3)]
+            held.append((np.diff(lists[0].offsets.to_numpy()), *[x.flatten().to_numpy(zero_copy_only=False).astype(t) for x, t in zip(lists, (np.int64, float, float))]))
+            if sum(len(h[1]) for h in held) >= CHUNK_DETECTIONS:
+                yield row()
+                c += 1
+        if any(len(h[0]) for h in held):
+            yield row()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                c, size, k, m, v, vector = (batch.column(f)[n].as_py() for f in range(6))
+                ids = ids if vector is None else _unpacked(vector)[0]
+                k = np.frombuffer(k, np.int64)
+                pos = np.searchsorted(ids, k)
+                if not len(ids) or not np.array_equal(ids[np.minimum(pos, len(ids) - 1)], k):
+                    raise ValueError("a star lies on a node that is not an unknown")
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *[pa.array([x], pa.binary()) for x in (size, pos.astype(np.int32).tobytes(), m, v)]],
+                                                 ["c", "size", "pos", "m", "v"])
+
+    chunks = stars.select("k", "m", "v").mapInArrow(gather, "c int, size binary, k binary, m binary, v binary")
+    return _with_vector(chunks, _vector(unknowns.select("i"), ())).mapInArrow(place, "c int, size binary, pos binary, m binary, v binary")
+
+
+def _vector(vec: DataFrame, columns) -> DataFrame:
+    """One row: the unknowns with the given columns, as plain arrays of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if parts:
+            arrays = [np.concatenate(c) for c in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["i", *columns])
+
+    parts = vec.select(F.col("i").cast("long"), *[F.col(c).cast("double") for c in columns]).mapInArrow(run, ", ".join(f"{c} binary" for c in ("i", *columns)))
+    return parts.agg(F.collect_list(F.struct("i", *columns)).alias("vector"))
+
+
+def _unpacked(vector: list[dict]) -> list[np.ndarray]:
+    """The unknowns of a ``_vector`` in order and its columns."""
+    names = list(vector[0]) if vector else ["i"]
+    arrays = [np.frombuffer(b"".join(part[c] for part in vector), np.int64 if c == "i" else float) for c in names]
+    order = np.argsort(arrays[0], kind="stable")
+    return [a[order] for a in arrays]
+
+
+def _with_vector(held: DataFrame, vector: DataFrame) -> DataFrame:
+    """The rows of each partition, the first with the vector."""
+    return held.crossJoin(F.broadcast(vector)).withColumn("vector", F.when(F.col("c") == 0, F.col("vector")))
+
+
+def _weights(size: np.ndarray, pos: np.ndarray, v: np.ndarray):
+    """Detections [a, b) of some stars of equal length and the weights of their pairs, (star, detection, detection); 0 on one node."""
+    ends = np.searchsorted(size, np.unique(size), "right")
+    first, at = 0, 0
+    for end in ends.tolist():
+        n = int(size[first])
+        step = max(1, PAIRS_AT_ONCE // (n * n))
+        for _ in range(first, end, step):
+            stop = at + n * min(step, end - first)
+            first += min(step, end - first)
+            p, x = pos[at:stop].reshape(-1, n), v[at:stop].reshape(-1, n)
+            with np.errstate(divide="raise"):
+                w = 1.0 / (x[:, :, None] + x[:, None, :])
+            w[p[:, :, None] == p[:, None, :]] = 0.0
+            yield at, stop, w
+            at = stop
+
+
+def _over_stars(held: DataFrame, vector: DataFrame, names, terms) -> DataFrame:
+    """i and the sums ``names``: what ``terms(columns of the vector, pos, m, w)`` gives to each detection, added up by unknown in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, columns, sums, met = None, None, None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, size, pos, m, v, given = (batch.column(f)[row].as_py() for f in range(6))
+                if given is not None:
+                    ids, *columns = _unpacked(given)
+                    sums, met = [np.zeros(len(ids)) for _ in names], np.zeros(len(ids), bool)
+                size, pos, m, v = np.frombuffer(size, np.int32), np.frombuffer(pos, np.int32), np.frombuffer(m), np.frombuffer(v)
+                got = [np.empty(len(pos)) for _ in names]
+                for a, b, w in _weights(size, pos, v):
+                    shape = w.shape[:2]
+                    for out, value in zip(got, terms(columns, pos[a:b].reshape(shape), m[a:b].reshape(shape), w)):
+                        out[a:b] = value.ravel()
+                for total, out in zip(sums, got):
+                    total += np.bincount(pos, out, len(ids))
+                met[pos] = True
+        if ids is not None:
+            at = np.flatnonzero(met)
+            for k in range(0, len(at), ROWS_AT_ONCE):
+                some = at[k:k + ROWS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), *[pa.array(t[some]) for t in sums]], ["i", *names])
+
+    rows = _with_vector(held, vector).mapInArrow(run, ", ".join(["i long", *[f"{n} double" for n in names]]))
+    return rows.groupBy("i").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _diagonal_and_sums(held: DataFrame, unknowns: DataFrame) -> DataFrame:
+    """i, d, b: diagonal and right-hand side of the stars."""
+
+    def terms(_, pos, m, w):
+        return w.sum(2), np.nan_to_num(w * (m[:, None, :] - m[:, :, None])).sum(2)
+
+    return _over_stars(held, _vector(unknowns.select("i"), ()), ("d", "b"), terms)
+
+
+def _products(held: DataFrame, vec: DataFrame, c: str, tags) -> DataFrame:
+    """i, _off<tag>: the weighted sums of the column ``c`` over the partners of each unknown."""
+
+    def terms(columns, pos, m, w):
+        return [np.einsum("sij,sj->si", w, x[pos]) for x in columns]
+
+    return _over_stars(held, _vector(vec, [c + t for t in tags]), [f"_off{t}" for t in tags], terms)
+
+
 def _times_matrix(links: DataFrame, vec: DataFrame, c: str, out: str, tags=("",)) -> DataFrame:
-    """Add ``out`` = A * c to ``vec`` (i, d, ...) for every tag; links carry both directions and are dealt by ``_hold``."""
+    """Add ``out`` = A * c to ``vec`` (i, d, ...) for every tag; ``links`` are packed stars, or carry both directions and are dealt by ``_hold``."""
+    if "pos" in links.columns:
+        return _with_products(vec, _products(links, vec, c, tags), c, out, tags)
     rhs = vec.select(F.col("i").alias("j"), *[F.col(c + t).alias(f"_c{t}") for t in tags])
     if "cell" in links.columns:
         blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
@@ -86,7 +235,10 @@ def _times_matrix(links: DataFrame, vec: DataFrame, c: str, out: str, tags=("",)
     else:
         met = links.join(F.broadcast(rhs), "j")
     # The products are summed alone: rows that carried the other vectors as well would fill the tasks' memory.
-    sums = met.groupBy("i").agg(*[F.sum(F.col("w") * F.col(f"_c{t}")).alias(f"_off{t}") for t in tags])
+    return _with_products(vec, met.groupBy("i").agg(*[F.sum(F.col("w") * F.col(f"_c{t}")).alias(f"_off{t}") for t in tags]), c, out, tags)
+
+
+def _with_products(vec: DataFrame, sums: DataFrame, c: str, out: str, tags) -> DataFrame:
     return vec.join(sums, "i", "left").select(*vec.columns, *[
         (F.col("d" + t) * F.col(c + t) - F.coalesce(f"_off{t}", F.lit(0.0))).alias(out + t) for t in tags])
 
@@ -95,7 +247,7 @@ def conjugate_gradient(links: DataFrame, vec: DataFrame, stage: Stage, rtol: flo
                        maxiter: int = 5000, tags=("",), precondition: bool = True, start: DataFrame | None = None):
     """Solve A x = b until |r| <= rtol |b|, for one or several systems that differ in diagonal and right-hand side.
 
-    ``links`` (i, j, w) lists both directions of the negated off-diagonal, ``vec``
+    ``links`` are the cached stars of ``assembled``, or (i, j, w) with both directions of the negated off-diagonal; ``vec`` has
     (i, d, b) the diagonal and right-hand side of every unknown; with ``tags`` it has columns d<tag>, b<tag> for each
     system, and one pass over the matrix serves all.  ``start`` (i, x<tag>) is where to begin, else 0.  The
     diagonal is the preconditioner unless ``precondition`` is false.
@@ -103,8 +255,12 @@ def conjugate_gradient(links: DataFrame, vec: DataFrame, stage: Stage, rtol: flo
     Returns (i, x<tag>...) and an outcome for each tag (a single one for a single system): iteration count, convergence flag
     and the true relative residual |Ax - b| / |b|, by which convergence is judged.
     """
-    n_parts = max(links.sparkSession.sparkContext.defaultParallelism,
-                  math.ceil(links.count() / LINKS_PER_PARTITION))
+    at_least = links.sparkSession.sparkContext.defaultParallelism
+    if "pos" in links.columns:
+        with shuffle_partitions(links.sparkSession, max(at_least, math.ceil(vec.count() * len(tuple(tags)) / VALUES_PER_TASK))):
+            x, infos = _descend(links, vec, stage, rtol, maxiter, tuple(tags), precondition, start)
+        return x, (infos[0] if tuple(tags) == ("",) else dict(zip(tags, infos)))
+    n_parts = max(at_least, math.ceil(links.count() / LINKS_PER_PARTITION))
     with shuffle_partitions(links.sparkSession, n_parts):
         held = _hold(links, vec.count() * len(tuple(tags)), n_parts).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -190,19 +346,39 @@ def _descend(held, vec, stage, rtol, maxiter, tags, precondition, start):
         last = residual
 
 
+@contextmanager
+def assembled(system: N.System, terms=(), extra_links=(), tikhonov: float = 0.0, tags: int = 1):
+    """The matrix of a system with its additions, as ``conjugate_gradient`` takes it, and the (i, d, b) table."""
+    if system.unknowns.count() * tags > PACKED_VALUES:
+        yield assemble(system, terms, extra_links, tikhonov)
+        return
+    stars = system.stars.select("k", "m", "v")
+    for extra in extra_links:  # a link is a star of two detections
+        half = F.lit(0.5) / F.col("w")
+        stars = stars.unionByName(extra.where("w > 0").select(F.array("i", "j").alias("k"), F.array(F.col("wdm") / F.col("w"), F.lit(0.0)).alias("m"), F.array(half, half).alias("v")))
+    held = _packed(stars, system.unknowns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held, _summed(system, _diagonal_and_sums(held, system.unknowns), terms, tikhonov)
+    finally:
+        held.unpersist()
+
+
+def _summed(system: N.System, parts: DataFrame, terms, tikhonov: float) -> DataFrame:
+    """(i, d, b) of every unknown."""
+    for t in terms:
+        parts = parts.unionByName(t.select("i", "d", "b"))
+    sums = parts.groupBy("i").agg(F.sum("d").alias("d"), F.sum("b").alias("b"))
+    return system.unknowns.join(sums, "i", "left").select(
+        "i", (F.coalesce("d", F.lit(0.0)) + F.lit(tikhonov)).alias("d"), F.coalesce("b", F.lit(0.0)).alias("b"))
+
+
 def assemble(system: N.System, terms=(), extra_links=(), tikhonov: float = 0.0):
     """Directed links and the (i, d, b) table of a system with its additions."""
     links = system.links
     for extra in extra_links:
         links = links.unionByName(extra.select("i", "j", "w", "wdm"))
     full = N.both_ways(links)
-    parts = full.select("i", F.col("w").alias("d"), (-F.col("wdm")).alias("b"))
-    for t in terms:
-        parts = parts.unionByName(t.select("i", "d", "b"))
-    sums = parts.groupBy("i").agg(F.sum("d").alias("d"), F.sum("b").alias("b"))
-    vec = system.unknowns.join(sums, "i", "left").select(
-        "i", (F.coalesce("d", F.lit(0.0)) + F.lit(tikhonov)).alias("d"),
-        F.coalesce("b", F.lit(0.0)).alias("b"))
+    vec = _summed(system, full.select("i", F.col("w").alias("d"), (-F.col("wdm")).alias("b")), terms, tikhonov)
     if extra_links:
         full = full.groupBy("i", "j").agg(F.sum("w").alias("w"))
     return full.select("i", "j", "w"), vec
@@ -210,10 +386,10 @@ def assemble(system: N.System, terms=(), extra_links=(), tikhonov: float = 0.0):
 
 def _run(system, cfg, stage, terms=(), extra_links=(), tikhonov=0.0, mode="", must=True, start=None):
     """Solve a system with its additions, from ``start`` (i, x) if given; an unconverged solution raises if it ``must``."""
-    links, vec = assemble(system, terms, extra_links, tikhonov)
-    vec = stage.write(vec, "cg-vec")
-    x, info = conjugate_gradient(links, vec, stage, cfg.solve.tolerance, cfg.solve.max_iterations,
-                                 precondition=cfg.solve.precondition, start=start)
+    with assembled(system, terms, extra_links, tikhonov) as (held, vec):
+        vec = stage.write(vec, "cg-vec")
+        x, info = conjugate_gradient(held, vec, stage, cfg.solve.tolerance, cfg.solve.max_iterations,
+                                     precondition=cfg.solve.precondition, start=start)
     info.n_params = vec.count()
     if must and not info.converged:
         raise RuntimeError(f"{mode} solve stopped at relative residual {info.relative_residual:.3g} "
@@ -289,14 +465,14 @@ def solve_with_priors(system: N.System, nodes: DataFrame, anchors: DataFrame, zp
         known = nodes.join(zpterm, ["expnum", "ccdnum"]).select((F.col("zpterm") + F.lit(offset)).alias("t"))
         default = scalar_median(known, "t")
         default = offset if default is None else default
-    links, vec = assemble(system, (), (), cfg.solve.tikhonov_reg)
     pull = N.prior_terms(nodes, zpterm, 1.0, offset, default).groupBy("i").agg(F.sum("d").alias("_d"), F.sum("b").alias("_b"))
     tags = [f"_{k}" for k in range(len(strengths))]
-    both = vec.join(pull, "i", "left").na.fill(0.0, ["_d", "_b"])
-    both = both.select("i", *[c for t, lam in zip(tags, strengths) for c in (
-        (F.col("d") + F.lit(float(lam)) * F.col("_d")).alias("d" + t), (F.col("b") + F.lit(float(lam)) * F.col("_b")).alias("b" + t))])
-    both = stage.write(both, "cg-priors")
-    x, infos = conjugate_gradient(links, both, stage, cfg.solve.tolerance, cfg.solve.max_iterations, tags)
+    with assembled(system, (), (), cfg.solve.tikhonov_reg, len(tags)) as (held, vec):
+        both = vec.join(pull, "i", "left").na.fill(0.0, ["_d", "_b"])
+        both = both.select("i", *[c for t, lam in zip(tags, strengths) for c in (
+            (F.col("d") + F.lit(float(lam)) * F.col("_d")).alias("d" + t), (F.col("b") + F.lit(float(lam)) * F.col("_b")).alias("b" + t))])
+        both = stage.write(both, "cg-priors")
+        x, infos = conjugate_gradient(held, both, stage, cfg.solve.tolerance, cfg.solve.max_iterations, tags)
     out = {}
     for t, lam in zip(tags, strengths):
         if not infos[t].converged:

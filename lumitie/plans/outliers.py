@@ -168,6 +168,13 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
             bad_ccds(resid).select("expnum", "ccdnum")
             .join(out.flagged_nodes, ["expnum", "ccdnum"], "left_anti"), "flag-node",
             {"n": F.count(F.lit(1))})
+        new = s["n"] + e["n"] + m["n"]
+        if not new and not seen["bad"] and out.system is not None and out.stats[-1].converged:
+            # No row goes, so system, solution and residuals stay as they are.
+            stage.drop(resid)
+            out.stats.append(Row(**{**out.stats[-1].asDict(), "iteration": iteration, "n_stars_flagged": 0, "n_exposures_flagged": 0, "n_nodes_flagged": 0,
+                                    "n_outlier_dets": 0, "rms_before_mmag": seen["rms"], "rms_after_mmag": seen["rms"]}))
+            break
         before = out.flagged_detections, out.star_lists, out.zp
         out.flagged_detections = dets
         out.flagged_stars = out.flagged_stars.unionByName(new_stars)
@@ -190,7 +197,7 @@ def reject(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, exposure
             n_nodes_flagged=m["n"], n_outlier_dets=seen["bad"], rms_before_mmag=seen["rms"],
             rms_after_mmag=after, n_stars_clean=out.system.n_stars,
             n_pairs_clean=out.system.n_pairs, converged=info.converged))
-        if s["n"] + e["n"] + m["n"] == 0:
+        if not new:
             break
         if len(out.stats) >= 2 and (after or 0.0) > 1.5 * (out.stats[-2].rms_after_mmag or 0.0):
             break

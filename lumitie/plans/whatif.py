@@ -1,6 +1,6 @@
 """What-if solves: the same survey without some exposures, or with corrected magnitudes.
 
-Both start from stored sums of pairs, so a variant costs a filter or a linear combination and a solve, never another pairing.
+Both start from stored stars, so a variant costs a filter or a linear combination of their arrays and a solve.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def depth_verdict(compared: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def aperture_system(dets: DataFrame, nodes: DataFrame, cfg, stage, degree: int = D.APERTURE_DEGREE) -> N.System:
-    """Constraints of the detections with usable seeing, with the sums of powers u1, u2, ... of the seeing about the fit's middle."""
+    """Constraints of the detections with usable seeing, with the powers u1, u2, ... of the seeing about the fit's middle."""
     mid = sum(D.FWHM_FIT) / 2.0
     rows = D.usable_seeing(dets)
     for k in range(1, degree + 1):

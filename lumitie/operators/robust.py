@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 
 
-def attach(df: DataFrame, per_group: DataFrame, keys) -> DataFrame:
-    """Join a per-group table to its rows; Catalyst broadcasts it if it is small."""
-    return df.join(per_group, list(keys))
+def attach(df: DataFrame, per_group: DataFrame, keys, few: bool = False) -> DataFrame:
+    """Join a per-group table to its rows; Catalyst broadcasts it if it is small.
+
+    Groups that are ``few`` by nature (bins, detectors and epochs) are always broadcast: a table that comes out of an aggregation has no size
+    beforehand, and rows dealt by so few keys would meet in as few tasks.
+    """
+    return df.join(F.broadcast(per_group) if few else per_group, list(keys))
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -31,15 +35,16 @@ def exact_mean(value: str) -> Column:
 
 
 def quantiles(df: DataFrame, value: str, probs: dict, keys=(), accuracy: int = SKETCH_ACCURACY,
-              small: int | None = None) -> DataFrame:
+              small: int | None = None, few: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per group, plus ``n``.
 
     A mergeable sketch brackets each target rank; a second pass counts the rows below
     the bracket and ranks only the values inside it, a few in ``accuracy`` of the group.
     Groups up to ``small`` rows are bracketed by their extremes; both brackets give the same exact
     answer.  No task ever holds a whole large group, and a bracket that missed its rank raises
-    instead of answering.
+    instead of answering.  With ``few`` groups, or a single one, the rows stay where they are (see ``attach``).
     """
+    few = few or not keys
     small = 4 * accuracy if small is None else small
     keys = list(keys) or ["_all"]
     rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
@@ -59,7 +64,7 @@ def quantiles(df: DataFrame, value: str, probs: dict, keys=(), accuracy: int = S
     sketch = sketch.select(*keys, "n", brackets.alias("_b"))
 
     # Values under a bracket collapse to one NULL row per map task and group.
-    inside = (attach(rows, sketch, keys)
+    inside = (attach(rows, sketch, keys, few)
               .select(*keys, "n", "_v", F.explode("_b").alias("_b"))
               .where(F.col("_v") <= F.col("_b.hi"))
               .select(*keys, "n", F.col("_b.k").alias("_k"),
@@ -98,17 +103,17 @@ def scalar_median(df: DataFrame, value: str):
     return scalar_quantiles(df, value, {"median": 0.5})["median"]
 
 
-def robust_stats(df: DataFrame, value: str, keys=()) -> DataFrame:
+def robust_stats(df: DataFrame, value: str, keys=(), few: bool = False) -> DataFrame:
     """Per group: n, median, mad and sigma = 1.4826 MAD, or the population std when MAD is 0."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    med = quantiles(rows, value, {"median": 0.5}, keys).drop("n")
-    joined = attach(rows, med, keys) if keys else attach_scalar(rows, med)
+    med = quantiles(rows, value, {"median": 0.5}, keys, few=few).drop("n")
+    joined = attach(rows, med, keys, few) if keys else attach_scalar(rows, med)
     dev = joined.withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = quantiles(dev, "_dev", {"mad": 0.5}, keys)
+    mad = quantiles(dev, "_dev", {"mad": 0.5}, keys, few=few)
     spread = dev.groupBy(*keys).agg(F.first("median").alias("median"),
                                     F.stddev_pop(value).alias("_std"))
-    out = mad.join(spread, keys) if keys else attach_scalar(mad, spread)
+    out = attach(mad, spread, keys, few) if keys else attach_scalar(mad, spread)
     sigma = F.when(F.col("mad") > 0, F.lit(1.4826) * F.col("mad")).otherwise(F.col("_std"))
     return out.select(*keys, "n", "median", "mad", sigma.alias("sigma"))
 
@@ -146,7 +151,7 @@ def binned_median(df: DataFrame, x: str, value: str, lo: float, width: float, n_
     keys = list(keys)
     binned = df.withColumn("bin", bin_index(F.col(x), lo, width, n_bins)).where(
         F.col("bin").isNotNull() & F.col(value).isNotNull())
-    med = quantiles(binned, value, {"median": 0.5}, [*keys, "bin"])
+    med = quantiles(binned, value, {"median": 0.5}, [*keys, "bin"], few=True)
     spread = binned.groupBy(*keys, "bin").agg(F.stddev_samp(value).alias("std"))
     return (med.where(F.col("n") >= least).join(spread, [*keys, "bin"])
             .select(*keys, "bin", (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(width)).alias("center"),

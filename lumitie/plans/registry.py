@@ -474,12 +474,13 @@ def i6_final_zeropoints(w):
 def a6_robust_stats(w):
     """Median, MAD and robust sigma of the plane residuals per detector and epoch."""
     r = SF.plane_residuals(w.dets, w.trial_zp.where("zp_solved > 1.0"), w.cfg)
-    return Q.robust_stats(r, "residual", ["ccdnum", "epoch"])
+    return Q.robust_stats(w.stage.write(r.select("ccdnum", "epoch", "residual"), "plane-values"), "residual", ["ccdnum", "epoch"], few=True)
 
 
 @query
 def m6_clipped_counts(w):
     r = SF.plane_residuals(w.dets, w.trial_zp.where("zp_solved > 1.0"), w.cfg)
+    r = w.stage.write(r.select("ccdnum", "epoch", "residual"), "plane-values")
     return SF.clipped(r).groupBy("ccdnum", "epoch").agg(
         F.count(F.lit(1)).alias("n_good"), F.sqrt(F.avg(F.col("residual") ** 2)).alias("rms"))
 

@@ -36,10 +36,10 @@ def plane_residuals(dets: DataFrame, zp: DataFrame, cfg: Config) -> DataFrame:
 
 
 def clipped(resid: DataFrame, value: str = "residual", keys=("ccdnum", "epoch")) -> DataFrame:
-    """Rows within three robust sigmas of their group's median."""
+    """Rows within three robust sigmas of their group's median; the groups are few, as detectors and epochs are."""
     keys = list(keys)
-    stats = robust_stats(resid, value, keys).select(*keys, "median", "sigma")
-    joined = attach(resid, stats, keys)
+    stats = robust_stats(resid, value, keys, few=True).select(*keys, "median", "sigma")
+    joined = attach(resid, stats, keys, few=True)
     return joined.where(F.abs(F.col(value) - F.col("median")) < 3.0 * F.col("sigma")).drop(
         "median", "sigma")
 
@@ -90,7 +90,7 @@ def corrections(dets: DataFrame, zp: DataFrame, cfg: Config, stage):
     resid = stage.write(plane_residuals(dets, usable_zeropoints(zp), cfg), "plane-resid")
     sizes = resid.groupBy("ccdnum", "epoch").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") >= least).drop("_n")
-    good = stage.write(clipped(attach(resid, sizes, ["ccdnum", "epoch"])), "plane-good")
+    good = stage.write(clipped(attach(resid, sizes, ["ccdnum", "epoch"], few=True)), "plane-good")
     coeffs = stage.write(fit_chebyshev(good, "residual", cfg.starflat.polynomial_order, least),
                          "coeffs")
     return coeffs, good
@@ -99,7 +99,7 @@ def corrections(dets: DataFrame, zp: DataFrame, cfg: Config, stage):
 def correction_stats(good: DataFrame, coeffs: DataFrame, order: int = 3) -> DataFrame:
     """Per group: points, size of the correction, residual RMS before and after (mmag)."""
     rms = lambda c: F.sqrt(F.avg(c * c)) * 1000.0
-    joined = attach(good, coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"])
+    joined = attach(good, coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"], few=True)
     fit = C.evaluate(F.col("x"), F.col("y"), F.col("coeffs"), order)
     joined = joined.withColumn("_fit", fit)
     return joined.groupBy("ccdnum", "epoch").agg(

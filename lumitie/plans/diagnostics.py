@@ -289,7 +289,7 @@ def seeing_bins(dets: DataFrame) -> DataFrame:
     n_bins = int(round((hi - lo) / FWHM_BIN))
     b = bin_index(F.col("fwhm"), lo, FWHM_BIN, n_bins)
     binned = rows.withColumn("bin", b).where(F.col("bin").isNotNull())
-    med = quantiles(binned, "residual", {"median": 0.5}, ["bin"]).where(F.col("n") >= 50)
+    med = quantiles(binned, "residual", {"median": 0.5}, ["bin"], few=True).where(F.col("n") >= 50)
     err = binned.groupBy("bin").agg(F.stddev_pop("residual").alias("_s"))
     return med.join(err, "bin").select(
         "bin", (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(FWHM_BIN)).alias("center"), "n", "median",
@@ -317,12 +317,13 @@ def corrected_magnitudes(dets: DataFrame, coeffs) -> DataFrame:
 
 
 def correction_by_node(corrected: DataFrame, positions: DataFrame) -> DataFrame:
-    """Mean correction and median FWHM per node with its RA."""
-    mean = corrected.groupBy("expnum", "ccdnum").agg(F.avg("ac").alias("mean_ac"))
-    med = quantiles(corrected, "fwhm", {"median_fwhm": 0.5}, ["expnum", "ccdnum"]).withColumnRenamed(
-        "n", "n_det")
-    return mean.join(med, ["expnum", "ccdnum"]).join(
-        positions.select("expnum", "ccdnum", F.col("ra_mean").alias("ra")), ["expnum", "ccdnum"])
+    """Mean correction and median FWHM per node with its RA.
+
+    A node's rows are the stars in the field of one detector, a bounded group, so they meet once in a task.
+    """
+    rows = corrected.select("expnum", "ccdnum", "fwhm", "ac").repartition("expnum", "ccdnum")
+    nodes = rows.groupBy("expnum", "ccdnum").agg(F.avg("ac").alias("mean_ac"), F.count(F.lit(1)).alias("n_det"), F.median("fwhm").alias("median_fwhm"))
+    return nodes.join(positions.select("expnum", "ccdnum", F.col("ra_mean").alias("ra")), ["expnum", "ccdnum"])
 
 
 def flat_closure(star_lists: DataFrame, nodes: DataFrame, anchors: DataFrame, positions: DataFrame,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumitie.operators.normal import tasks_for
@@ -14,15 +14,15 @@ def star_nodes(dets: DataFrame, keys=STAR) -> DataFrame:
     """Distinct (star, node) rows of stars seen on at least two distinct nodes."""
     from lumitie.operators.relational import min_detections
 
-    distinct = dets.select(*keys, node_id().alias("node")).distinct()
+    # Dealt by star once, for the distinct rows and for their count.
+    distinct = dets.select(*keys, node_id().alias("node")).repartition(*keys).distinct()
     return min_detections(distinct, 2, keys)
 
 
 def spanning_edges(members: DataFrame, keys=STAR) -> DataFrame:
-    """Every node of a star tied to the star's smallest node: enough for connectivity."""
-    hubs = members.groupBy(*keys).agg(F.min("node").alias("hub"))
-    return (members.join(hubs, list(keys)).where(F.col("node") > F.col("hub"))
-            .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    """Every node of a star tied to the star's smallest node: enough for connectivity.  Stars are bounded, edges may repeat."""
+    hub = F.min("node").over(Window.partitionBy(*keys))
+    return members.withColumn("hub", hub).where(F.col("node") > F.col("hub")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
 def overlap_edges(members: DataFrame, keys=STAR, key: str = "node", parts: int | None = None) -> DataFrame:
@@ -53,6 +53,27 @@ def edge_stats(edges: DataFrame) -> DataFrame:
                          "edge_stars_mean", "edge_stars_max")
 
 
+def spanned_components(edges: DataFrame, stage: Stage) -> DataFrame:
+    """``connected_components`` where there are far more edges than nodes.
+
+    The rounds first run over one edge of each node, that to its smallest neighbour.  Edges between
+    two components found that way, as a rule none, are contracted in turn: all edges are read twice, however many rounds there are.
+    """
+    every = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "cc-edges")
+    found = stage.write(connected_components(every.groupBy("u").agg(F.min("v").alias("v")), stage), "cc-found")
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    # A node without a smaller neighbour may be the smallest neighbour of none.
+    met = every.join(label("u"), "u").join(label("v"), "v", "left").select(F.col("_u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    rest, seen = stage.write(met.where("u <> v").distinct(), "cc-rest", {"n": F.count(F.lit(1))})
+    stage.drop(every)
+    if not seen["n"]:
+        return found
+    joined = stage.write(connected_components(rest, stage), "cc-joined")
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    alone = joined.join(found.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    return found.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(alone)
+
+
 def connected_components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, component) with the smallest node of each component as its label.
 

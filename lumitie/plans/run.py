@@ -115,7 +115,7 @@ class Run:
         dets = self.detections(band)
         members = self.stage.write(G.star_nodes(dets), "members")
         edges = self.stage.write(G.overlap_edges(members), "edges")
-        comps = G.connected_components(G.spanning_edges(members), self.stage)
+        comps = G.spanned_components(G.spanning_edges(members), self.stage)
         marked = self.stage.write(
             G.select_component(comps, T.anchor_exposures(self.given("anchor", S.ANCHOR), band)), "marked")
         for relation, cond in (("connected_nodes", "connected"), ("dropped_nodes", "NOT connected"),

@@ -78,7 +78,7 @@ class Workspace:
 
     @cached_property
     def marked(self) -> DataFrame:
-        comps = G.connected_components(G.spanning_edges(self.members), self.stage)
+        comps = G.spanned_components(G.spanning_edges(self.members), self.stage)
         return self.stage.write(
             G.select_component(comps, T.anchor_exposures(self.anchor_raw, self.band)), "marked")
 

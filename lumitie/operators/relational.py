@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumitie.sources.stage import Stage
 
 STAR = ("healpix_pixel", "objectid")     # a star inside one stored pixel
+#: The same to sort by: pixels are few, and rows that agree in the first key are compared whole.
+BY_STAR = ("objectid", "healpix_pixel")
 NODE = ("expnum", "ccdnum")              # one detector of one exposure
 
 
@@ -21,7 +23,7 @@ def node_columns(key="node"):
             F.col(key).bitwiseAND(F.lit(1023)).cast("int").alias("ccdnum"))
 
 
-def cap_detections(df: DataFrame, limit: int, keys=STAR, tiebreak=("expnum", "ccdnum", "mjd")):
+def cap_detections(df: DataFrame, limit: int, keys=BY_STAR, tiebreak=("expnum", "ccdnum", "mjd")):
     """The ``limit`` detections of each star with the smallest errors.
 
     The row_number filter lets Spark keep only ``limit`` rows per star in every map task
@@ -60,7 +62,7 @@ def cap_arrivals(df: DataFrame, limit: int, keys=STAR) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def min_detections(df: DataFrame, least: int, keys=STAR) -> DataFrame:
+def min_detections(df: DataFrame, least: int, keys=BY_STAR) -> DataFrame:
     """Rows of stars with at least ``least`` rows.  Input groups are capped already."""
     counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     return counted.where(F.col("_n") >= least).drop("_n")
@@ -83,7 +85,7 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 
 
 def remove_flagged(df: DataFrame, stars=None, detections=None, exposures=None, nodes=None,
-                   keys=STAR, least: int = 2) -> DataFrame:
+                   keys=BY_STAR, least: int = 2) -> DataFrame:
     """Anti-join the four kinds of flags, then drop stars left with too few rows."""
     for flags, on in ((stars, ["objectid"]), (detections, ["objectid", *NODE]),
                       (exposures, ["expnum"]), (nodes, list(NODE))):

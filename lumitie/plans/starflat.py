@@ -100,8 +100,7 @@ def correction_stats(good: DataFrame, coeffs: DataFrame, order: int = 3) -> Data
     """Per group: points, size of the correction, residual RMS before and after (mmag)."""
     rms = lambda c: F.sqrt(F.avg(c * c)) * 1000.0
     joined = attach(good, coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"], few=True)
-    fit = C.evaluate(F.col("x"), F.col("y"), F.col("coeffs"), order)
-    joined = joined.withColumn("_fit", fit)
+    joined = C.with_series(joined, "_fit", order=order)
     return joined.groupBy("ccdnum", "epoch").agg(
         F.count(F.lit(1)).alias("n_stars"), rms(F.col("_fit")).alias("correction_rms_mmag"),
         rms(F.col("residual")).alias("rms_before_mmag"),
@@ -115,9 +114,9 @@ def flat_offset(rows: DataFrame, coeffs: DataFrame | None, cfg: Config) -> DataF
     bounds = cfg.starflat.epoch_boundaries
     keyed = rows.withColumn("epoch", epoch_for_ccd(F.col("mjd"), F.col("ccdnum"), bounds))
     joined = keyed.join(coeffs.select("ccdnum", "epoch", "coeffs"), ["ccdnum", "epoch"], "left")
-    value = C.evaluate(F.col("x"), F.col("y"), F.col("coeffs"), cfg.starflat.polynomial_order)
+    joined = C.with_series(joined, "delta_sf", order=cfg.starflat.polynomial_order)
     known = F.col("mjd").isNotNull()
-    return joined.withColumn("delta_sf", F.coalesce(F.when(known, value), F.lit(0.0))).drop(
+    return joined.withColumn("delta_sf", F.coalesce(F.when(known, F.col("delta_sf")), F.lit(0.0))).drop(
         "coeffs", "epoch")
 
 

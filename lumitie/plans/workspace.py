@@ -38,9 +38,10 @@ class Workspace:
     def meas(self):
         return X.meas(self.spark, self.sf_dir, self.band)
 
-    @property
+    @cached_property
     def chip(self):
-        return X.chip(self.spark, self.sf_dir, self.band)
+        # The nodes of all measurements: found once, and with a known size lookups are broadcast while they are small.
+        return self.stage.write(X.chip(self.spark, self.sf_dir, self.band), "chip")
 
     @property
     def exposure(self):

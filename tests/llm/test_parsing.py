@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -86,3 +87,36 @@ def test_every_start_has_the_anchor_its_string_gives_it(seed):
     for i in rng.integers(0, len(data) - L + 1, 200).tolist():
         alone = parsing.anchors(data[i:i + L])
         assert alone.tolist() == [[of[i] - i, 0, 0]] and of[i] - i <= parsing.REACH
+
+
+def test_texts_parsed_together_have_the_anchors_of_each():
+    rng = np.random.default_rng(3)
+    kinds = [lambda n: rng.integers(97, 123, n), lambda n: np.full(n, 97), lambda n: rng.integers(97, 99, n), lambda n: np.repeat(rng.integers(97, 120, n // 40 + 1), 40)[:n]]
+    for _ in range(60):
+        texts = [kinds[rng.integers(0, 4)](int(rng.choice([0, 5, L - 1, L, L + 1, 700, 5000]))).astype(np.uint8) for _ in range(rng.integers(1, 9))]
+        sizes = np.array([len(t) for t in texts])
+        each = [parsing.anchors(t) + at for t, at in zip(texts, np.cumsum(sizes) - sizes)]
+        assert np.array_equal(parsing.anchors(np.concatenate(texts), sizes), np.concatenate(each))
+
+
+def test_a_task_parses_short_texts_together_and_long_ones_alone(monkeypatch):
+    monkeypatch.setattr(parsing, "GROUP", 1000)
+    texts = ["a" * 300, None, "b" * 600, "c" * 5000, "d" * 900, "e" * 200, *["f"] * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["td", "text"])
+    got = [(piece.num_rows, data) for piece, data, _, _ in parsing._together([batch], 64)]
+    assert [n for n, _ in got] == [3, 1, 1, 64, 64, 64, 9] and b"".join(d for _, d in got) == "".join(t or "" for t in texts).encode()
+
+
+def test_runs_are_found_in_one_shuffle_of_the_anchors(spark):
+    rows = [(b"x", at, at - 40, at, 1, 50 if at == 300 else at, at, at, 400 if at < 900 else 380) for at in range(50, 1500, 50)]
+    anchor = spark.createDataFrame(rows, "td binary, at long, first long, last long, g long, q long, c1 long, c2 long, match int")
+    staged = Stage(spark, "t").write(parsing.with_runs(anchor), "anchors")
+    ends = parsing.ends_of_runs(staged)
+    assert "Window" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    inside = {r["at"] for r in staged.where("inside").collect()}
+    assert inside == set(range(100, 900, 50))
+    assert {(r["first"], r["last"]) for r in ends.collect()} == {(10, 50), (260, 300)} | {(at - 40, at - 20) for at in range(900, 1500, 50)}
+
+
+def test_common_prefix():
+    assert [parsing._shared(a, b) for a, b in [(b"", b"x"), (b"ab", b"ab"), (b"abc", b"abd"), (b"abc", b"ab"), (b"\x00\x00", b"\x00\x01"), (b"xa", b"ya")]] == [0, 2, 2, 2, 1, 0]

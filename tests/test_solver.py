@@ -98,6 +98,24 @@ def test_recovery_below_one_mmag(spark, stage):
     assert info.converged and np.std(e) * 1000 < 1.0
 
 
+def test_strengths_too_long_together_are_solved_in_turn(spark, stage, monkeypatch):
+    """No task gets more numbers at once than fixed, and every strength ends as in a recurrence shared by all."""
+    stars, nd, anchors, truth, _ = synthetic(spark, 60, 300, anchored=20)
+    zpterm = nd.withColumn("zpterm", F.lit(0.01) * F.col("ccdnum"))
+    system, strengths = N.accumulate(stars, nd, stage), (10 ** 6, 10 ** 7, 10 ** 8)
+    def sweep():
+        return V.solve_with_priors(system, nd, anchors, zpterm, strengths, 31.4, None, Config(), stage)
+    whole, vector, sent = sweep(), V._vector, []
+    monkeypatch.setattr(V, "TOGETHER_VALUES", 130, raising=False)
+    monkeypatch.setattr(V, "_vector", lambda vec, columns: sent.append(len(columns)) or vector(vec, columns))
+    parts = sweep()
+    assert max(sent) == 2 and list(parts) == list(whole) == list(strengths)
+    for lam in strengths:
+        (zp, info), (alone, same) = whole[lam], parts[lam]
+        assert (info.iterations, info.converged, info.mode) == (same.iterations, same.converged, same.mode)
+        assert np.abs(errors(alone, truth) - errors(zp, truth)).max() < 1e-9
+
+
 def test_empty_nodes_keep_their_documented_values(spark, stage):
     stars, nd, anchors, truth, _ = synthetic(spark, 60, 300, anchored=20)
     extra = nd.unionByName(spark.createDataFrame([(9999, 1), (9998, 1)], "expnum bigint, ccdnum int"))
